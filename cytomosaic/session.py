@@ -57,3 +57,10 @@ def cut(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Persist a table that several branches of one job read (recomputable from lineage when lost)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast an already materialised table when its counted rows fit; otherwise leave the join to Spark."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
