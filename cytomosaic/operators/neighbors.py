@@ -239,8 +239,8 @@ def embedding_knn(vectors: DataFrame, k: int, block_rows: int = 2048) -> DataFra
                 out[-2:] = [pd.concat(out[-2:])]
         return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "dist": []})
 
-    def unpack(pdf):
-        return pdf["cell_id"].to_numpy().astype(str), np.stack(pdf["vec"].to_numpy()).astype(float)
+    def unpack(pdf, side=""):
+        return pdf[f"cell_id{side}"].to_numpy().astype(str), np.stack(pdf[f"vec{side}"].to_numpy()).astype(float)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = unpack(pdf)
@@ -289,11 +289,12 @@ def embedding_knn(vectors: DataFrame, k: int, block_rows: int = 2048) -> DataFra
     def across(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        return topk(*unpack(left), *unpack(right), k)
+        return topk(*unpack(left, "_qb"), *unpack(right, "_tb"), k)
 
-    rows_of = lambda side: blocks.withColumnRenamed("block", side).join(pairs, side).select("qb", "tb", "cell_id", "vec")
+    rows_of = lambda side: blocks.withColumnRenamed("block", side).join(pairs, side).select(
+        *[F.col(c).alias(f"{c}_{side}") for c in ("qb", "tb", "cell_id", "vec")])  # new names keep the two sides apart
     query, store = rows_of("qb"), rows_of("tb")
-    cross = query.groupBy("qb", "tb").cogroup(store.groupBy("qb", "tb")).applyInPandas(across, edge)
+    cross = query.groupBy("qb_qb", "tb_qb").cogroup(store.groupBy("qb_tb", "tb_tb")).applyInPandas(across, edge)
     return _rank_neighbours(own.unionByName(cross), k)
 
 

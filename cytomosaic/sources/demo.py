@@ -79,8 +79,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signatures(spark: SparkSession) -> DataFrame:
-    rows = [("demo", label, f"G{size}", i) for label, sizes in SIGNATURE_SIZES.items() for i, size in enumerate(sizes)]
-    return spark.createDataFrame(rows, "set_name string, label string, gene string, position int")
+    from ..operators.annotate import signature_table
+
+    return signature_table(spark, {label: [f"G{n}" for n in sizes] for label, sizes in SIGNATURE_SIZES.items()}, "demo")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
