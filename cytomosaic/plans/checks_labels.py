@@ -153,7 +153,7 @@ def _(spark, d):
     return out.select("cluster", "cell_type", *r6("confidence"))
 
 
-RULES = [("first", "G1", 2.5), ("second", "G2", 2.2), ("first", "G3", 1.9), ("third", "G10", 1.5)]
+RULES = [("first", "G1", 2.5), ("second", "G2", 2.2), ("first", "G3", 1.9), ("third", "G10", 1.5), ("fourth", "X1", 0.5)]
 RULE_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{l}', '{g}', {t}::DOUBLE)" for i, (l, g, t) in enumerate(RULES)) + ") r(rule, label, gene, threshold))"
 
 
@@ -168,9 +168,9 @@ def _(spark, d):
 
 @register("annotation_rules_skipped", FEATURES, RULE_SQL, sql="""
  SELECT count(*) AS n_rules, count(*) FILTER (f.gene IS NULL) AS n_skipped, count(*) FILTER (f.gene IS NULL) > 0.5 * count(*) AS doubtful
- FROM rules LEFT JOIN (SELECT DISTINCT gene FROM features WHERE slide_id = 'N0') f USING (gene)""")
+ FROM rules LEFT JOIN (SELECT DISTINCT gene FROM features) f USING (gene)""")
 def _(spark, d):
-    return annotate.rules_skipped(annotate.rule_table(spark, RULES), demo.features(spark, d).filter("slide_id = 'N0'"))
+    return annotate.rules_skipped(annotate.rule_table(spark, RULES), demo.features(spark, d))
 
 
 # ---- composition -------------------------------------------------------------------------------------------

@@ -125,12 +125,12 @@ def _(spark, d):
     return inside.select("slide_id", "cell_id", "gene", F.col("count").cast("bigint").alias("count"))
 
 
-@register("marker_coverage", SIGNATURES, FEATURES, sql="""
+@register("marker_coverage", SIGNATURES, *BASE, sql="""
  SELECT label, gene, position, in_panel, round(CAST(greatest(0.4, 1 - 0.2 * position) AS DOUBLE), 6) AS tier,
   round(avg(CASE WHEN in_panel THEN 1.0 ELSE 0 END) OVER (PARTITION BY label), 6) AS coverage
- FROM (SELECT *, gene IN (SELECT gene FROM features WHERE slide_id = 'N2') AS in_panel FROM signatures)""")
+ FROM (SELECT *, gene IN (SELECT gene FROM features JOIN panel USING (gene) GROUP BY gene HAVING count(*) = 25) AS in_panel FROM signatures)""")
 def _(spark, d):
-    genes = demo.features(spark, d).filter("slide_id = 'N2'")
+    genes = panel.harmonised_genes(*parts(spark, d), mode="intersection")
     out = panel.marker_coverage(demo.signatures(spark), genes)
     return out.withColumn("tier", F.round("tier", 6)).withColumn("coverage", F.round("coverage", 6))
 
