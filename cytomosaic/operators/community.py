@@ -30,10 +30,10 @@ def modularity(edges: DataFrame, labels: DataFrame, by: list[str] | None = None,
     return out.select(*keys, "n_labels", F.when(F.col("n_labels") < 2, F.lit(0.0)).otherwise(F.col("_q")).alias("modularity"))
 
 
-def communities(edges: DataFrame, variants: DataFrame, seed: int = 42, max_levels: int = 10, max_rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, variants: DataFrame, seed: int = 42, max_levels: int = 8, max_rounds: int = 12) -> DataFrame:
     """Modularity communities (resolution ``gamma``) per variant as (variant, cell_id, label).
 
-    ``edges``: (variant, src, dst, weight), symmetric. ``variants``: (variant, gamma). Local moving with one hash half of
+    ``edges``: (variant, src, dst, weight), symmetric. ``variants``: (variant, gamma). Local moving with one random half of
     the nodes per round, then contraction; a level is kept only where it raises the modularity. Labels are numbered by
     size, largest first.
     """
@@ -87,12 +87,12 @@ def _local_moving(graph: DataFrame, scale: DataFrame, seed: int, max_rounds: int
         # ties stay; otherwise the smaller id wins, which keeps the result independent of the layout
         pick = F.max_by(F.struct("comm", "own", "k"), F.struct(gain, (F.col("comm") == F.col("own")).cast("int"), F.xxhash64(F.lit(seed), "comm")))
         best = scored.groupBy("variant", "node").agg(pick.alias("b"))
-        turn = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(2)) == (r % 2)
+        turn = F.pmod(F.xxhash64(F.lit(seed + r), "node"), F.lit(2)) == 0  # a fresh half each round breaks swaps
         target = F.when(turn, F.col("b.comm")).otherwise(F.col("b.own"))
         state = cut(best.select("variant", "node", F.col("b.k").alias("k"), target.alias("comm"), (target != F.col("b.own")).alias("moved")))
-        n_moved = state.filter("moved").count()
-        quiet = quiet + 1 if n_moved == 0 else 0
-        if quiet == 2:  # both halves at rest
+        n_moved, n = state.agg(F.count_if("moved"), F.count(F.lit(1))).first()
+        quiet = quiet + 1 if n_moved * 200 <= n else 0
+        if quiet == 2:  # two halves in a row practically at rest
             break
     return state.select("variant", "node", "comm")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -33,25 +34,25 @@ def local_session(cores: int | str = "*", app: str = "cytomosaic", shuffle_parti
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only for local masters without a setting."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         configured = tempfile.mkdtemp(prefix="cytomosaic-ckpt-")
-    context.setCheckpointDir(configured)
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder: survives executor loss, stops plan growth."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back: survives executor loss and stops plan growth.
+
+    A written table also carries its true size, so later joins can choose to broadcast it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
