@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLE, PLANS
 
-MODULES = ["checks_core", "checks_panel", "checks_spatial", "checks_labels", "checks_graph"]
+MODULES = ["checks_core", "checks_panel", "checks_spatial", "checks_labels", "checks_graph", "checks_tables"]
 
 
 def load():
