@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.tails import chi2_sf
 from ..schemas import CELL_KEY
 from .matrix import distinct_values, group_gene_stats
@@ -81,9 +82,10 @@ def receptor_distances(points: DataFrame, table: DataFrame, pool_slides: bool =
 
 def distance_summary(distances: DataFrame) -> DataFrame:
     long = distances.select("condition", F.expr("stack(2, 'r1', dist_r1, 'r2', dist_r2) AS (receptor, dist)")).filter("dist IS NOT NULL")
-    q = lambda p: F.percentile("dist", F.lit(p))
-    return long.groupBy("condition", "receptor").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))
+    by = ["condition", "receptor"]
+    means = long.groupBy(*by).agg(F.avg("dist").alias("mean"))
+    q = exact_quantiles(long, by, "dist", [0.25, 0.5, 0.75])
+    return q.join(means, by).select(*by, "n", "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
 def regional_summary(expr: DataFrame, cells: DataFrame, table: DataFrame, region: str, axis: Axis = Axis(),

@@ -65,7 +65,7 @@ def spatial_knn(points: DataFrame, k: int, targets: DataFrame | None = None, poo
     asking = _gridded(sources.select("slide_id", "x", "y").distinct(), frame).withColumn(
         "level", F.col("_start")).withColumn("_ub", F.lit(None).cast("double"))
     pending = _refine(asking, target, cap=16 * want)
-    done = None
+    done, step = None, 1
     while True:
         found = _one_round(pending, target, want)
         found = cut(found)
@@ -75,9 +75,10 @@ def spatial_knn(points: DataFrame, k: int, targets: DataFrame | None = None, poo
         levels = [r[0] for r in rest.select("level").distinct().collect()]
         if not levels:
             break
-        # the next round looks one level coarser, and no further than the k-th distance already seen
-        pending = rest.withColumn("level", F.col("level") - 1).withColumn(
+        # the next round looks at coarser tiles, and no further than the k-th distance already seen
+        pending = rest.withColumn("level", F.greatest(F.col("level") - step, F.lit(0))).withColumn(
             "_ub", F.when(F.size("near") >= want, F.element_at("near", -1)["dist"])).drop("near")
+        step = 2
     per_location = done.select("slide_id", "x", "y", "near")
 
     asked = sources.join(per_location, ["slide_id", "x", "y"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import scalar_quantile
 from ..schemas import CELL_KEY
 from .matrix import group_gene_stats
 
@@ -16,7 +17,7 @@ def scale_by_area(values: DataFrame, cells: DataFrame, value: str = "count", out
     """value x median valid area / area; cells without a valid area keep their values."""
     area = F.col("cell_area")
     valid = area.isNotNull() & ~F.isnan(area) & (area > 0)
-    median = cells.filter(valid).select(F.percentile("cell_area", F.lit(0.5))).scalar()
+    median = scalar_quantile(cells.filter(valid), "cell_area", 0.5)
     factor = cells.select(*CELL_KEY, F.when(valid, median / area).otherwise(F.lit(1.0)).alias("_f"))
     joined = values.join(factor, CELL_KEY, "left")
     return joined.withColumn(out, F.col(value) * F.coalesce("_f", F.lit(1.0))).drop("_f")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..schemas import CELL_KEY
 
 
@@ -80,15 +81,14 @@ def run_qc(cells: DataFrame, counts: DataFrame, min_cells_per_gene: int = 5, **t
 
 def percentiles(df: DataFrame, by: list[str], column: str, points: list[float], prefix: str) -> DataFrame:
     """Exact interpolated percentiles in named columns."""
-    arr = F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("_q")
-    named = [F.col("_q")[i].alias(f"{prefix}{round(p * 100):02d}") for i, p in enumerate(points)]
-    return df.groupBy(*by).agg(arr, F.count(column).alias("n")).select(*by, "n", *named)
+    named = [F.col("q")[i].alias(f"{prefix}{round(p * 100):02d}") for i, p in enumerate(points)]
+    return exact_quantiles(df, by, column, points).select(*by, "n", *named)
 
 
 def cells_overview(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Cells and median total counts per slide / condition."""
-    return metrics.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_cells"), F.percentile("total_counts", F.lit(0.5)).alias("median_counts"))
+    return exact_quantiles(metrics, by, "total_counts", [0.5]).select(
+        *by, F.col("n").alias("n_cells"), F.col("q")[0].alias("median_counts"))
 
 
 def condition_balance(cells: DataFrame) -> DataFrame:

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import seeded_hash
 from ..schemas import CELL_KEY
 
 
 def positive_limit(expr: DataFrame, by: list[str], value: str = "lognorm", percentile: float = 0.99, min_positive: int = 1) -> DataFrame:
     """Upper colour limit: a percentile of the positive values, 1.0 when too few are positive."""
-    positive = F.when(F.col(value) > 0, F.col(value))
-    return expr.groupBy(*by).agg(F.count(positive).alias("n_positive"), F.percentile(positive, F.lit(percentile)).alias("_q")).select(
-        *by, "n_positive", F.when(F.col("n_positive") >= min_positive, F.col("_q")).otherwise(F.lit(1.0)).alias("limit"))
+    positive = expr.filter(F.col(value) > 0)
+    limits = exact_quantiles(positive, by, value, [percentile])
+    joined = expr.select(*by).distinct().join(limits, by, "left")
+    enough = F.coalesce("n", F.lit(0)) >= min_positive
+    return joined.select(*by, F.coalesce("n", F.lit(0)).alias("n_positive"), F.when(enough, F.col("q")[0]).otherwise(F.lit(1.0)).alias("limit"))
 
 
 def density_curve(values: DataFrame, by: list[str], value: str, factor: float = 0.3, points: int = 200, min_n: int = 5,
@@ -26,7 +29,8 @@ def density_curve(values: DataFrame, by: list[str], value: str, factor: float =
     Equal values collapse first, so the grid is spread over distinct values only.
     """
     present = values.filter(F.col(value).isNotNull())
-    st = present.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.lit(upper)).alias("top"))
+    top = exact_quantiles(present, by, value, [upper]).select(*by, F.col("q")[0].alias("top"))
+    st = present.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd")).join(top, by)
     usable = st.filter((F.col("n") >= min_n) & (F.col("sd") > 0)).withColumn("h", F.col("sd") * factor)
     tally = present.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     grid = tally.join(usable, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
@@ -38,9 +42,8 @@ def density_curve(values: DataFrame, by: list[str], value: str, factor: float =
 
 def box_summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and the extreme values inside 1.5 interquartile ranges."""
-    q = values.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    fences = q.select(*by, "n", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
+    fences = exact_quantiles(values, by, value, [0.25, 0.5, 0.75]).select(
+        *by, "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
     iqr = F.col("q75") - F.col("q25")
     inside = (F.col(value) >= F.col("q25") - 1.5 * iqr) & (F.col(value) <= F.col("q75") + 1.5 * iqr)
     ends = values.join(fences, by).groupBy(*by).agg(
