@@ -75,10 +75,13 @@ def spatial_knn(points: DataFrame, k: int, targets: DataFrame | None = None, poo
         levels = [r[0] for r in rest.select("level").distinct().collect()]
         if not levels:
             break
-        # the next round looks at coarser tiles, and no further than the k-th distance already seen
-        pending = rest.withColumn("level", F.greatest(F.col("level") - step, F.lit(0))).withColumn(
-            "_ub", F.when(F.size("near") >= want, F.element_at("near", -1)["dist"])).drop("near")
-        step = 2
+        # with k found, the level whose tiles are wider than the k-th distance must settle it; otherwise look further out
+        kth = F.element_at("near", -1)["dist"]
+        full = F.size("near") >= want
+        settle = F.floor(F.log2(F.col("_ext") / F.greatest(kth * (1.0 + 1e-6), F.col("_ext") * 1e-12)))
+        coarser = F.when(full, F.least(settle, F.col("level") - 1)).otherwise(F.col("level") - step)
+        pending = rest.withColumn("_ub", F.when(full, kth)).withColumn("level", F.greatest(coarser, F.lit(0)).cast("int")).drop("near")
+        step *= 2
     per_location = done.select("slide_id", "x", "y", "near")
 
     asked = sources.join(per_location, ["slide_id", "x", "y"])
@@ -94,19 +97,20 @@ def spatial_knn(points: DataFrame, k: int, targets: DataFrame | None = None, poo
 def _refine(asking: DataFrame, target: DataFrame, cap: int) -> DataFrame:
     """Descend crowded tiles: locations whose tile holds more than ``cap`` targets move to finer levels."""
     work = asking
+    tile = ["slide_id", "level", "_gx", "_gy"]
     while True:
-        active = work.select("slide_id", "level").distinct()
-        crowded = target.join(active, "slide_id").groupBy(
+        placed = work.withColumn("_gx", _tile("level", "ix")).withColumn("_gy", _tile("level", "iy"))
+        # only tiles that somebody asks from matter: a crowd that has moved on stays in the coarse tile it left
+        crowded = target.join(work.select("slide_id", "level").distinct(), "slide_id").groupBy(
             "slide_id", "level", _tile("level", "ix").alias("_gx"), _tile("level", "iy").alias("_gy")).agg(
-            F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > cap) & (F.col("level") < FINEST)).drop("_n")
-        crowded = cut(crowded.withColumn("_hot", F.lit(True)))
+            F.count(F.lit(1)).alias("_n"), F.greatest(F.max("ix") - F.min("ix"), F.max("iy") - F.min("iy")).alias("_w")
+        ).filter((F.col("_n") > cap) & (F.col("level") < FINEST)).join(placed.select(*tile).distinct(), tile, "left_semi")
+        # go straight to tiles of the clump's own extent, split further by its load
+        fit = FINEST - F.ceil(F.log2(F.col("_w") + 1.0)) + F.floor(F.log2(F.col("_n") / float(cap)) / 2.0)
+        crowded = cut(crowded.withColumn("_to", F.least(F.greatest(fit, F.col("level") + 1), F.lit(FINEST)).cast("int")).drop("_n", "_w"))
         if crowded.isEmpty():
             return work
-        joined = work.withColumn("_gx", _tile("level", "ix")).withColumn("_gy", _tile("level", "iy")).join(
-            crowded, ["slide_id", "level", "_gx", "_gy"], "left")
-        deeper = F.least(F.col("level") + 2, F.lit(FINEST))
-        moved = cut(joined.withColumn("level", F.when(F.col("_hot"), deeper).otherwise(F.col("level"))).drop("_hot", "_gx", "_gy"))
-        work = moved
+        work = cut(placed.join(crowded, tile, "left").withColumn("level", F.coalesce("_to", "level")).drop("_to", "_gx", "_gy"))
 
 
 def _one_round(pending: DataFrame, target: DataFrame, want: int) -> DataFrame:
