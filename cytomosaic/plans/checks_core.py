@@ -93,7 +93,7 @@ def _(spark, d):
 @register("normalise_lognorm", CELLS, COUNTS, EXPR, sql="""
  SELECT slide_id, cell_id, gene, cnt AS count, round(lognorm, 6) AS lognorm FROM expr""")
 def _(spark, d):
-    return demo.expression(spark, d).select(
+    return demo.expression(spark, d, stage=False).select(
         "slide_id", "cell_id", "gene", F.col("count").cast("bigint").alias("count"), *r6("lognorm"))
 
 

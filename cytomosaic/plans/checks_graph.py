@@ -12,6 +12,10 @@ from . import pipelines
 from .registry import CELLS, POINTS, STUDY, knn_cte, register, symmetric_cte
 
 
+# scaled to the weakly structured sample: at the default resolution all of it is one domain, which has no markers
+DOMAINS = StudyConfig(domain_resolution=1.2, domain_min_cells=3)
+
+
 def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -170,14 +174,14 @@ def _(spark, d):
 @register("spatial_domains")
 def _(spark, d):
     expr = pipelines.expression_graph(demo.point_vectors(spark, d), 12)
-    found, _, _ = pipelines.spatial_domains(demo.points(spark, d), demo.point_expression(spark, d), cut(expr), StudyConfig(), with_markers=False)
+    found, _, _ = pipelines.spatial_domains(demo.points(spark, d), demo.point_expression(spark, d), cut(expr), DOMAINS, with_markers=False)
     return found
 
 
 @register("domain_markers")
 def _(spark, d):
     expr = pipelines.expression_graph(demo.point_vectors(spark, d), 12)
-    return pipelines.spatial_domains(demo.points(spark, d), demo.point_expression(spark, d), cut(expr), StudyConfig())[2]
+    return pipelines.spatial_domains(demo.points(spark, d), demo.point_expression(spark, d), cut(expr), DOMAINS)[2]
 
 
 @register("subcluster_counts")

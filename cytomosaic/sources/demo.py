@@ -48,10 +48,13 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slide_id", F.col("o_custkey").cast("string").alias("cell_id"), "gene", "count")
 
 
-def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expression(spark: SparkSession, sf_dir: str, stage: bool = True) -> DataFrame:
+    """Normalised values; written as a stage table by default because the analyses read them several times."""
     from ..operators.normalize import lognorm
+    from ..session import cut
 
-    return lognorm(counts(spark, sf_dir))
+    values = lognorm(counts(spark, sf_dir))
+    return cut(values) if stage else values
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
