@@ -6,7 +6,7 @@ import pytest
 from compare import compare, connect
 
 SMOKE = "/root/testdata/sf0.001"
-CHOSEN = ["qc_filtered_counts", "normalise_lognorm", "group_mean_pct", "dge_wilcoxon", "markers_vs_rest", "panel_gene_meta", "roi_yield", "spatial_knn",
+CHOSEN = ["qc_removal_report", "normalise_lognorm", "group_mean_pct", "dge_wilcoxon", "markers_vs_rest", "panel_gene_meta", "roi_yield", "spatial_knn",
           "gene_set_scores", "composition_clr_test", "box_summary"]
 
 
