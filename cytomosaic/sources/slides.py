@@ -44,11 +44,26 @@ def _paths(slides: DataFrame, relative: str) -> list[str]:
     return [f"{r.run_dir.rstrip('/')}/{relative}" for r in slides.select("run_dir").collect()]  # one row per slide
 
 
+def _numbered(scan: DataFrame, out: str) -> DataFrame:
+    """0-based row number within the file, whatever the file splits.
+
+    ``scan`` carries _path, _block (start of the split) and _n, an id that rises by one within a split. A split's rows start at the
+    total of the file's earlier splits; only one row per split is ranked.
+    """
+    blocks = scan.groupBy("_path", "_block").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select("_path", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return scan.join(starts, ["_path", "_block"]).withColumn(out, F.col("_n") + F.col("_shift")).drop("_block", "_n", "_shift")
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n")]
+
+
 def _lines(spark: SparkSession, slides: DataFrame, relative: str) -> DataFrame:
-    """Text lines with their 0-based position in the (unsplittable) file."""
-    raw = spark.read.text(_paths(slides, relative)).select("value", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_n"))
-    start = raw.groupBy("_path").agg(F.min("_n").alias("_first"))
-    return _with_slide(raw.join(start, "_path").withColumn("line", F.col("_n") - F.col("_first")).drop("_n", "_first"), slides, relative)
+    """Text lines with their 0-based position in the file."""
+    raw = spark.read.text(_paths(slides, relative)).select("value", *_place())
+    return _with_slide(_numbered(raw, "line"), slides, relative)
 
 
 def read_features(spark: SparkSession, slides: DataFrame) -> DataFrame:
@@ -123,9 +138,7 @@ def read_cell_tables(spark: SparkSession, slides: DataFrame) -> DataFrame:
             if name.endswith(".parquet"):
                 scan = spark.read.parquet(*group).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("row_index"))
             else:
-                scan = spark.read.csv(group, header=True).select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_n"))
-                first = scan.select(F.min("_n")).scalar()
-                scan = scan.withColumn("row_index", F.col("_n") - first).drop("_n")
+                scan = _numbered(spark.read.csv(group, header=True).select("*", *_place()), "row_index")
             part = _with_slide(_standard_columns(scan), slides, name)
             tables = part if tables is None else tables.unionByName(part)
     if tables is None:
@@ -144,11 +157,12 @@ def _same_columns(spark: SparkSession, paths: list[str]) -> list[list[str]]:
 STRATEGIES = ["id", "index", "zero_based", "positional"]
 
 
-def align_cells(barcodes: DataFrame, tables: DataFrame, allow_positional: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Barcodes with their cell attributes, and the strategy each slide used.
+def align_cells(barcodes: DataFrame, tables: DataFrame, allow_positional: bool = False, min_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Barcodes with their cell attributes, and per slide the strategy, the barcodes matched and their share.
 
     Tried in order: id column, row index as text, 1-based barcode to 0-based row, position (opt-in). The strategy that
-    matches most barcodes of the slide wins, the earlier one on ties; a slide with a table but no match is an error.
+    matches most barcodes of the slide wins, the earlier one on ties; a slide with a table but no match, or with a smaller matched
+    share than ``min_share``, is an error.
     """
     number = F.col("barcode").try_cast("bigint")
     left_keys = {"id": F.col("barcode"), "index": F.col("barcode"), "zero_based": (number - 1).cast("string"), "positional": F.col("cell_idx").cast("string")}
@@ -166,9 +180,16 @@ def align_cells(barcodes: DataFrame, tables: DataFrame, allow_positional: bool =
     lost = tables.select("slide_id").distinct().join(chosen, "slide_id", "left_anti").collect()
     if lost:
         raise ValueError("no cell of the table matches a barcode on " + ", ".join(sorted(r.slide_id for r in lost)))
+    sizes = barcodes.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n_barcodes"))
+    chosen = chosen.join(sizes, "slide_id").withColumn("share", F.col("n") / F.col("n_barcodes"))
+    if min_share > 0:
+        poor = chosen.filter(F.col("share") < min_share).collect()
+        if poor:
+            raise ValueError("too few barcodes matched on " + ", ".join(f"{r.slide_id} ({r.n} of {r.n_barcodes})" for r in sorted(poor, key=lambda r: r.slide_id)))
     used = matched.join(chosen.select("slide_id", "strategy"), ["slide_id", "strategy"]).select("slide_id", "cell_idx", *attributes)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("strategy") + 1)
-    return barcodes.join(used, ["slide_id", "cell_idx"], "left"), chosen.select("slide_id", label.alias("strategy"), F.col("n").alias("n_matched"))
+    return barcodes.join(used, ["slide_id", "cell_idx"], "left"), chosen.select(
+        "slide_id", label.alias("strategy"), F.col("n").alias("n_matched"), F.col("share").alias("matched_share"))
 
 
 def read_run_metadata(spark: SparkSession, slides: DataFrame, file_name: str) -> DataFrame:
@@ -184,12 +205,12 @@ def read_transcripts(spark: SparkSession, slides: DataFrame) -> DataFrame:
     return _with_slide(scan, slides, TRANSCRIPTS)
 
 
-def read_study(spark: SparkSession, slides: DataFrame, allow_positional: bool = False):
+def read_study(spark: SparkSession, slides: DataFrame, allow_positional: bool = False, min_share: float = 0.0):
     """(cells, counts, features) of all slides with study-wide cell ids ``slide__barcode``; control features dropped from counts."""
     features, barcodes = read_features(spark, slides), read_barcodes(spark, slides)
     entries, sizes = read_matrix(spark, slides)
     check_shapes(sizes, features, barcodes)
-    aligned, _ = align_cells(barcodes, read_cell_tables(spark, slides), allow_positional)
+    aligned, _ = align_cells(barcodes, read_cell_tables(spark, slides), allow_positional, min_share)
     labelled = unique_names(aligned, "barcode", ["slide_id"], "cell_idx").withColumn("cell_id", F.concat_ws("__", "slide_id", "barcode"))
     cells = labelled.join(slides.select("slide_id", "condition", F.coalesce("replicate_id", "slide_id").alias("replicate_id")), "slide_id").drop("barcode", "cell_idx")
     named = entries.join(features.select("slide_id", "feature_idx", "gene"), ["slide_id", "feature_idx"])
