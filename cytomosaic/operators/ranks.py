@@ -1,7 +1,7 @@
 """Tie-aware rank sums over distinct values.
 
 Cells never enter a window: non-zeros collapse to (group, gene, value, label) counts first (map-side),
-values are spread over equal-width buckets so that no gene is one task's work, and the zeros of the sparse
+values are spread over buckets that follow them so that no gene is one task's work, and the zeros of the sparse
 matrix form one tie block added by formula. Bucket totals give the offsets of later buckets.
 """
 
@@ -13,22 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import bucketed
 from ..functions.tails import normal_two_sided
 
 BUCKETS = 256
 
 
 def _bucketed(values: DataFrame, keys: list[str], value_range: tuple[float, float] | None) -> DataFrame:
-    """Attach an exact monotone bucket; without a known range the per-key minimum and maximum define it."""
+    """Attach an exact monotone bucket: equal widths of a known range, else equal widths within each power of two."""
     v = F.col("v")
     if value_range is not None:
         lo, hi = value_range
         width = (hi - lo) / BUCKETS or 1.0
         return values.withColumn("bucket", F.floor((v - lo) / width).cast("int"))
-    limits = values.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    where = F.when(span > 0, F.floor((v - F.col("_lo")) / span * BUCKETS)).otherwise(F.lit(0))
-    return values.join(limits, keys).withColumn("bucket", where.cast("int")).drop("_lo", "_hi")
+    return bucketed(values, keys, "v", "bucket")
 
 
 def rank_sums(expr: DataFrame, keys: list[str], label: str, value: str, frame: DataFrame,

@@ -162,3 +162,31 @@ def test_named_conditions_must_be_two(spark):
     _, cells = expression(spark, {"A": [1], "B": [1], "C": [1]})
     with pytest.raises(ValueError, match="exactly two"):
         dge.pick_conditions(cells)
+
+
+def test_one_far_value_leaves_the_buckets_alone(spark):
+    from cytomosaic.functions.quantiles import bucketed, exact_quantiles
+
+    values = spark.range(200_000).select((F.col("id") / 1000.0).alias("v")).union(spark.createDataFrame([(1e12,), (-1e300,), (float("inf"),)], "v double"))
+    largest = bucketed(values, [], "v", "b").groupBy("b").count().agg(F.max("count")).first()[0]
+    assert largest < 1000
+    order = bucketed(values, [], "v", "b").groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+    assert all(a.hi < b.lo for a, b in zip(order, order[1:]))
+    finite = values.filter("v < 1e13 AND v > -1")
+    q = exact_quantiles(finite, [], "v", [0.0, 0.25, 0.5, 1.0]).first()
+    assert q.n == 200_001 and q.q[0] == 0.0 and abs(q.q[1] - 50.0) < 1e-9 and abs(q.q[2] - 100.0) < 1e-9 and q.q[3] == 1e12
+
+
+def test_gene_filter_reaches_a_lazy_expression(spark, tmp_path):
+    """No stage is written for a query that reads one gene."""
+    import os
+
+    from cytomosaic.session import checkpoint_dir
+    from cytomosaic.sources import demo
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("sample tables are not here")
+    root = checkpoint_dir(spark)
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    demo.expression(spark, "/root/testdata/sf0.001").filter("gene = 'G1'").count()
+    assert (set(os.listdir(root)) if os.path.isdir(root) else set()) == before
