@@ -30,20 +30,21 @@ def modularity(edges: DataFrame, labels: DataFrame, by: list[str] | None = None,
     return out.select(*keys, "n_labels", F.when(F.col("n_labels") < 2, F.lit(0.0)).otherwise(F.col("_q")).alias("modularity"))
 
 
-def communities(edges: DataFrame, variants: DataFrame, seed: int = 42, max_levels: int = 8, max_rounds: int = 12) -> DataFrame:
+def communities(edges: DataFrame, variants: DataFrame, seed: int = 42) -> DataFrame:
     """Modularity communities (resolution ``gamma``) per variant as (variant, cell_id, label).
 
     ``edges``: (variant, src, dst, weight), symmetric. ``variants``: (variant, gamma). Local moving with one random half of
-    the nodes per round, then contraction; a level is kept only where it raises the modularity. Labels are numbered by
-    size, largest first.
+    the nodes per round, then contraction; a level is kept only where it raises the modularity. Every variant stops by itself,
+    when its rounds no longer raise its modularity, so its labels do not depend on the variants it runs with. Labels are numbered by size,
+    largest first.
     """
     graph = cut(edges.select("variant", "src", "dst", F.col("weight").cast("double").alias("weight")))
     gammas = cut(variants.select("variant", F.col("gamma").cast("double").alias("gamma")))
     scale = cut(graph.groupBy("variant").agg(F.sum("weight").alias("m2")).join(gammas, "variant"))
     members = graph.select("variant", F.col("src").alias("cell_id")).distinct().withColumn("node", F.col("cell_id"))
-    quality = None
-    for level in range(max_levels):
-        moved = _local_moving(graph, scale, seed + 1000 * level, max_rounds)
+    quality, level = None, 0
+    while True:
+        moved = _local_moving(graph, scale, seed + 1000 * level)
         graph = cut(_contract(graph, moved))
         now = cut(_level_quality(graph, scale))
         if quality is None:
@@ -58,6 +59,7 @@ def communities(edges: DataFrame, variants: DataFrame, seed: int = 42, max_level
             break
         graph = cut(graph.join(better, "variant", "left_semi"))
         quality = now.join(better, "variant", "left_semi")
+        level += 1
     return number_by_size(members.withColumnRenamed("node", "raw"))
 
 
@@ -68,33 +70,66 @@ def number_by_size(members: DataFrame) -> DataFrame:
     return members.join(size.select("variant", "raw", rank.cast("string").alias("label")), ["variant", "raw"]).select("variant", "cell_id", "label")
 
 
-def _local_moving(graph: DataFrame, scale: DataFrame, seed: int, max_rounds: int) -> DataFrame:
-    """(variant, node, comm) after moving nodes to their best neighbouring community until nothing moves."""
+#: Rounds without a rise of its modularity after which a variant is at rest: each half of the nodes has had its turn.
+QUIET = 2
+#: A level needs a dozen rounds or so; beyond this many something is wrong, and the run fails rather than returning half a result.
+GUARD = 1000
+
+
+def _local_moving(graph: DataFrame, scale: DataFrame, seed: int) -> DataFrame:
+    """(variant, node, comm) after moving nodes to their best neighbouring community until rounds no longer raise the modularity.
+
+    Every variant keeps its best state and leaves the loop by itself: when none of its nodes wants to move, or when both halves
+    have moved without a rise.
+    """
     degree = graph.groupBy("variant", F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
-    state = cut(degree.withColumn("comm", F.col("node")).withColumn("moved", F.lit(True)))
-    quiet = 0
-    for r in range(max_rounds):
+    state = cut(degree.withColumn("comm", F.col("node")))
+    links_of = graph.filter("src <> dst")
+    facts = {r.variant: (r.m2, r.gamma) for r in scale.collect()}  # one row per variant
+    best: dict[str, tuple] = {}
+    quiet: dict[str, int] = {}
+    settled: list[tuple] = []
+    for r in range(GUARD):
         totals = state.groupBy("variant", "comm").agg(F.sum("k").alias("tot"))
         other = state.select("variant", F.col("node").alias("dst"), F.col("comm"))
-        links = graph.filter("src <> dst").join(other, ["variant", "dst"]).groupBy("variant", F.col("src").alias("node"), "comm").agg(
+        links = links_of.join(other, ["variant", "dst"]).groupBy("variant", F.col("src").alias("node"), "comm").agg(
             F.sum("weight").alias("k_in"))
         stay = state.select("variant", "node", "comm", F.lit(0.0).alias("k_in"))
         options = links.unionByName(stay).groupBy("variant", "node", "comm").agg(F.sum("k_in").alias("k_in"))
         own = state.select("variant", "node", "k", F.col("comm").alias("own"))
         scored = options.join(own, ["variant", "node"]).join(totals, ["variant", "comm"]).join(scale, "variant")
-        rest = F.col("tot") - F.when(F.col("comm") == F.col("own"), F.col("k")).otherwise(0.0)
+        here = F.col("comm") == F.col("own")
+        rest = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
         gain = F.round(F.col("k_in") - F.col("gamma") * F.col("k") * rest / F.col("m2"), SCALE)
-        # ties stay; otherwise the smaller id wins, which keeps the result independent of the layout
-        pick = F.max_by(F.struct("comm", "own", "k"), F.struct(gain, (F.col("comm") == F.col("own")).cast("int"), F.xxhash64(F.lit(seed), "comm")))
-        best = scored.groupBy("variant", "node").agg(pick.alias("b"))
+        # ties stay; otherwise the larger hash wins, which keeps the result independent of the layout
+        pick = F.max_by(F.struct("comm", "own", "k"), F.struct(gain, here.cast("int"), F.xxhash64(F.lit(seed), "comm")))
+        chosen = scored.groupBy("variant", "node").agg(pick.alias("b"), F.max(F.when(here, F.col("k_in"))).alias("inside"), F.max(F.when(here, F.col("tot"))).alias("tot"))
         turn = F.pmod(F.xxhash64(F.lit(seed + r), "node"), F.lit(2)) == 0  # a fresh half each round breaks swaps
-        target = F.when(turn, F.col("b.comm")).otherwise(F.col("b.own"))
-        state = cut(best.select("variant", "node", F.col("b.k").alias("k"), target.alias("comm"), (target != F.col("b.own")).alias("moved")))
-        n_moved, n = state.agg(F.count_if("moved"), F.count(F.lit(1))).first()
-        quiet = quiet + 1 if n_moved * 200 <= n else 0
-        if quiet == 2:  # two halves in a row practically at rest
+        wants = F.col("b.comm") != F.col("b.own")
+        moved = cut(chosen.select("variant", "node", F.col("b.k").alias("k"), F.when(turn, F.col("b.comm")).otherwise(F.col("b.own")).alias("comm"),
+                                  wants.alias("wants"), "inside", "tot"))
+        done = []
+        for row in moved.groupBy("variant").agg(F.count_if("wants").alias("n"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("t2")).collect():
+            m2, gamma = facts[row.variant]
+            q = row.inside / m2 - gamma * row.t2 / (m2 * m2)  # of the state before this round; loops add the same to every round
+            if row.variant not in best or q > best[row.variant][0] + 1e-9:
+                best[row.variant], quiet[row.variant] = (q, state), 0
+            else:
+                quiet[row.variant] += 1
+            if row.n == 0 or quiet[row.variant] >= QUIET:
+                done.append(row.variant)
+                settled.append((row.variant, best[row.variant][1]))
+        if set(best) == {v for v, _ in settled}:
             break
-    return state.select("variant", "node", "comm")
+        state = moved.filter(~F.col("variant").isin(done)) if done else moved
+        links_of = links_of.filter(~F.col("variant").isin(done)) if done else links_of
+    else:
+        raise RuntimeError(f"communities did not settle in {GUARD} rounds")
+    out = None
+    for variant, table in settled:
+        part = table.filter(F.col("variant") == variant).select("variant", "node", "comm")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _contract(graph: DataFrame, moved: DataFrame) -> DataFrame:
@@ -120,11 +155,11 @@ def detect_communities(edges: DataFrame, resolution: float = 0.6, seed: int = 42
     return communities(edges.withColumn("variant", F.lit("one")), variants, seed).select("cell_id", "label")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cell_id, component): smallest id reachable; min-label exchange plus pointer jumping, so rounds grow with log(diameter)."""
     links = cut(edges.select("src", "dst").filter("src <> dst"))
     state = cut(nodes.select("cell_id", F.col("cell_id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         label = state.select(F.col("cell_id").alias("dst"), F.col("component").alias("c"))
         seen = links.join(label, "dst").groupBy(F.col("src").alias("cell_id")).agg(F.min("c").alias("c"))
         hooked = state.join(seen, "cell_id", "left").select("cell_id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))

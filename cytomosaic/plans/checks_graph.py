@@ -40,8 +40,8 @@ def graph(spark, d, k=10):
 
 @register("pca_scores")
 def _(spark, d):
-    scores, _, _ = embedding.pca(*study(spark, d), 10)
-    return scores.select("slide_id", "cell_id", *[F.round(F.col("vec")[i], 6).alias(f"pc{i}") for i in range(3)])
+    scores, _, _ = embedding.pca(*study(spark, d), StudyConfig.n_pcs)
+    return scores.select("slide_id", "cell_id", *[F.round(F.col("vec")[i], 6).alias(f"pc{i}") for i in range(StudyConfig.n_pcs)])
 
 
 @register("pca_total_variance", *STUDY, sql="""
@@ -54,7 +54,7 @@ def _(spark, d):
 
 @register("pca_cumulative_variance")
 def _(spark, d):
-    _, _, variance = embedding.pca(*study(spark, d), 10)
+    _, _, variance = embedding.pca(*study(spark, d), StudyConfig.n_pcs)
     return summaries.cumulative_variance(variance)
 
 
@@ -110,15 +110,14 @@ def _(spark, d):
  db AS (SELECT la, max((p.s + q.s) / d) AS worst FROM m JOIN s p ON p.label = la JOIN s q ON q.label = lz GROUP BY 1)
  SELECT 'given' AS variant, round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz, round((SELECT avg(worst) FROM db), 6) AS davies_bouldin FROM b, w""")
 def _(spark, d):
-    sample = quality.sample_vectors(demo.point_vectors(spark, d))
-    return quality.scatter_indices(sample, variant_labels(spark, d)).select("variant", *r6("calinski_harabasz", "davies_bouldin"))
+    return quality.scatter_indices(demo.point_vectors(spark, d), variant_labels(spark, d)).select("variant", *r6("calinski_harabasz", "davies_bouldin"))
 
 
 @register("resolution_sweep")
 def _(spark, d):
     g = cut(pipelines.expression_graph(demo.point_vectors(spark, d), 12))
     near = cut(neighbors.spatial_knn(demo.points(spark, d), 15))
-    metrics, _ = sweeps.resolution_sweep(g, demo.point_vectors(spark, d), near, resolutions=[0.3, 0.6, 1.0, 1.5])
+    metrics, _ = sweeps.resolution_sweep(g, demo.point_vectors(spark, d), near)
     return metrics
 
 
@@ -145,7 +144,7 @@ def _(spark, d):
 def _(spark, d):
     expr = cut(pipelines.expression_graph(demo.point_vectors(spark, d), 12))
     space = cut(graph(spark, d, 15))
-    return sweeps.lambda_sweep(expr, space, demo.point_vectors(spark, d), lambdas=[0.0, 0.3, 0.6])[0]
+    return sweeps.lambda_sweep(expr, space, demo.point_vectors(spark, d))[0]
 
 
 COMPONENTS = """same AS (SELECT g.src, g.dst FROM graph g JOIN points a ON a.cell_id = g.src JOIN points b ON b.cell_id = g.dst WHERE a.cell_type = b.cell_type),

@@ -179,3 +179,30 @@ def test_silhouette_edge_cases(spark):
                                    "variant string, cell_id string, label string")
     out = {r.variant: r.silhouette for r in quality.silhouette(frame, labels).collect()}
     assert out["one"] == -1.0 and out["two"] == pytest.approx((0.9 + 8 / 9) / 3)
+
+
+def ring_of_cliques(spark, variant, n=6, size=5):
+    rows = []
+    for c in range(n):
+        nodes = [f"{c:02d}_{i}" for i in range(size)]
+        rows += [(variant, a, b, 1.0) for a in nodes for b in nodes if a != b]
+        other = f"{(c + 1) % n:02d}_0"
+        rows += [(variant, nodes[1], other, 0.5), (variant, other, nodes[1], 0.5)]
+    return spark.createDataFrame(rows, "variant string, src string, dst string, weight double")
+
+
+def test_a_variant_is_the_same_alone_and_in_company(spark):
+    mine = ring_of_cliques(spark, "a")
+    resting = spark.createDataFrame([("b", f"p{i}", f"p{j}", 1.0) for k in range(300) for i, j in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k))],
+                                    "variant string, src string, dst string, weight double")
+    variants = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "variant string, gamma double")
+    alone = {(r.cell_id, r.label) for r in community.communities(mine, variants.filter("variant = 'a'")).collect()}
+    both = {(r.cell_id, r.label) for r in community.communities(mine.unionByName(resting), variants).filter("variant = 'a'").collect()}
+    assert alone == both and len({label for _, label in alone}) == 6
+
+
+def test_components_of_a_long_chain(spark):
+    n = 150
+    edges = spark.createDataFrame([(f"{i:04d}", f"{i + d:04d}") for i in range(n) for d in (-1, 1) if 0 <= i + d < n], "src string, dst string")
+    nodes = spark.createDataFrame([(f"{i:04d}",) for i in range(n)], "cell_id string")
+    assert {r.component for r in community.connected_components(edges, nodes).collect()} == {"0000"}
