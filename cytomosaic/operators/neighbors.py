@@ -308,14 +308,47 @@ def _rank_neighbours(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def exact_neighbours(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int = 512, block_rows: int = 4096) -> DataFrame:
+    """Exact k-NN of some cells among all ``vectors(cell_id, vec)``, tile by tile: (src, dst, dist, rank)."""
+    n, n_queries = vectors.count(), queries.count()
+    tiles = {"q": max(1, math.ceil(n_queries / query_rows)), "v": max(1, math.ceil(n / block_rows))}
+    place = lambda c: F.pmod(F.xxhash64("cell_id"), F.lit(tiles[c]).cast("bigint")).alias(c)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(tiles[c] - 1)).cast("array<bigint>")).alias(c)
+    asked = queries.select("cell_id", "vec", place("q")).select("*", every("v"))
+    stored = vectors.select("cell_id", "vec", place("v")).select("*", every("q"))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+        right = right.sort_values("cell_id", kind="stable")
+        ids, y = right["cell_id"].to_numpy().astype(str), np.stack(right["vec"].to_numpy()).astype(float)
+        rows = []
+        for src, x in zip(left["cell_id"], left["vec"]):
+            dist = np.round(np.sqrt(((y - x) ** 2).sum(1)), 12)
+            dist[ids == src] = np.inf
+            best = np.argsort(dist, kind="stable")[:k]
+            best = best[np.isfinite(dist[best])]
+            rows.append(pd.DataFrame({"src": src, "dst": ids[best], "dist": dist[best]}))
+        return pd.concat(rows)
+
+    return _rank_neighbours(asked.groupBy("q", "v").cogroup(stored.groupBy("q", "v")).applyInPandas(nearest, "src string, dst string, dist double"), k)
+
+
 def approximate_embedding_knn(vectors: DataFrame, k: int, bucket_length: float, radius: float, n_tables: int = 4) -> DataFrame:
-    """Random-projection hashing for very large embeddings: neighbours within ``radius`` that share a bucket."""
+    """Random-projection hashing for very large embeddings: k neighbours of every cell.
+
+    Neighbours within ``radius`` that share a bucket come first; cells with fewer than k of them are settled exactly.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select("cell_id", array_to_vector("vec").alias("features"))
+    base = cut(vectors.select("cell_id", "vec"))
+    rows = base.select("cell_id", array_to_vector("vec").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=n_tables, seed=42).fit(rows)
     joined = model.approxSimilarityJoin(rows, rows, radius, distCol="dist").select(
         F.col("datasetA.cell_id").alias("src"), F.col("datasetB.cell_id").alias("dst"), "dist").filter("src <> dst")
-    return _rank_neighbours(joined, k)
+    near = cut(_rank_neighbours(joined, k))
+    full = near.filter(F.col("rank") == k).select(F.col("src").alias("cell_id"))
+    short = cut(base.join(full, "cell_id", "left_anti"))
+    return near.join(full, near.src == full.cell_id, "left_semi").unionByName(exact_neighbours(short, base, k))

@@ -8,6 +8,7 @@ from ..operators import ligand_receptor as lr
 from ..operators import neighbors as nb
 from ..operators import roi, spatial
 from ..operators.ranks import score_test
+from ..session import cut
 from ..sources import demo
 from .registry import POINT_EXPR, POINTS, bh, knn_cte, p_normal, register, symmetric_cte
 
@@ -63,9 +64,14 @@ def _(spark, d):
     return out.select("src", "dst", *r6("dist"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("embedding_knn_approximate")
+@register("embedding_knn_approximate", sql="SELECT count(*) AS n_sources, CAST(12 AS BIGINT) AS fewest, CAST(12 AS BIGINT) AS most, true AS recall_reached FROM embeddings")
 def _(spark, d):
-    return nb.approximate_embedding_knn(demo.point_vectors(spark, d), 12, bucket_length=1.0, radius=1.2)
+    vectors = demo.point_vectors(spark, d)
+    found = cut(nb.approximate_embedding_knn(vectors, 12, bucket_length=1.0, radius=1.2))
+    exact = nb.embedding_knn(vectors, 12).select("src", "dst", F.lit(1).alias("hit"))
+    per = found.join(exact, ["src", "dst"], "left").groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    return per.agg(F.count(F.lit(1)).alias("n_sources"), F.min("n").alias("fewest"), F.max("n").alias("most"),
+                   (F.sum("hits") >= 0.9 * F.sum("n")).alias("recall_reached"))
 
 
 @register("graph_blend", POINTS, knn_cte(15), symmetric_cte(), EMB, sql="""
@@ -87,18 +93,21 @@ WNORM = "wn AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src)
 LAGS = "lags AS (SELECT w.src AS cell_id, gene, sum(w.w * v) AS lag FROM wn w JOIN pd ON pd.cell_id = w.dst GROUP BY 1, 2)"
 
 
-@register("morans_i", POINTS, POINT_EXPR, knn_cte(6), symmetric_cte(), PDENSE, WNORM, LAGS, sql=f"""
- , z AS (SELECT d.gene, d.v - avg(d.v) OVER (PARTITION BY d.gene) AS z, l.lag - avg(d.v) OVER (PARTITION BY d.gene) AS lz
-   FROM pd d JOIN lags l USING (cell_id, gene)),
- i AS (SELECT gene, count(*) AS n, sum(z * lz) / sum(z * z) AS morans_i FROM z GROUP BY gene),
+MORAN = (POINTS, POINT_EXPR, knn_cte(6), symmetric_cte(), PDENSE, WNORM, LAGS, f"""mz AS (
+ SELECT d.gene, d.v - avg(d.v) OVER (PARTITION BY d.gene) AS z, l.lag - avg(d.v) OVER (PARTITION BY d.gene) AS lz FROM pd d JOIN lags l USING (cell_id, gene)),
+ mi AS (SELECT gene, count(*) AS n, sum(z * lz) / sum(z * z) AS morans_i FROM mz GROUP BY gene),
  deg AS (SELECT src, count(*) AS k FROM graph GROUP BY 1),
- s AS (SELECT sum(k) AS s0, 2.0 * sum(k) AS s1, sum(4.0 * k * k) AS s2 FROM deg),
- t AS (SELECT gene, morans_i, -1.0::DOUBLE / (n - 1) AS expected_i,
-  (morans_i + 1.0 / (n - 1)) / sqrt((n * n * s1 - n * s2 + 3.0 * s0 * s0) / ((n * n - 1.0) * s0 * s0) - 1.0 / ((n - 1.0) * (n - 1))) AS z_score FROM i, s),
- p AS (SELECT *, {p_normal('z_score')} AS p_value FROM t),
- q AS (SELECT *, row_number() OVER (ORDER BY p_value) AS rk, count(*) OVER () AS m FROM p)
+ ms AS (SELECT sum(k) AS s0, 2.0 * sum(k) AS s1, sum(4.0 * k * k) AS s2 FROM deg),
+ mt AS (SELECT gene, morans_i, -1.0::DOUBLE / (n - 1) AS expected_i,
+  (morans_i + 1.0 / (n - 1)) / sqrt((n * n * s1 - n * s2 + 3.0 * s0 * s0) / ((n * n - 1.0) * s0 * s0) - 1.0 / ((n - 1.0) * (n - 1))) AS z_score FROM mi, ms),
+ mp AS (SELECT *, {p_normal('z_score')} AS p_value FROM mt),
+ mq AS (SELECT *, row_number() OVER (ORDER BY p_value) AS rk, count(*) OVER () AS m FROM mp),
+ moran AS (SELECT gene, morans_i, expected_i, z_score, p_value, {bh('p_value')} AS p_adj FROM mq)""")
+
+
+@register("morans_i", *MORAN, sql="""
  SELECT gene, round(morans_i, 6) AS morans_i, round(expected_i, 6) AS expected_i, round(z_score, 6) AS z_score, round(p_value, 6) AS p_value,
-  round({bh('p_value')}, 6) AS p_adj FROM q""")
+  round(p_adj, 6) AS p_adj FROM moran""")
 def _(spark, d):
     points = demo.points(spark, d)
     out = spatial.morans_scan(spatial.spatial_graph(points, 6), demo.point_expression(spark, d), points)
@@ -146,7 +155,7 @@ def _(spark, d):
 
 @register("neighbourhood_enrichment")
 def _(spark, d):
-    return spatial.enrichment_test(nb.spatial_knn(demo.points(spark, d), 10), labels(spark, d), n_permutations=50)
+    return spatial.enrichment_test(nb.spatial_knn(demo.points(spark, d), 10), labels(spark, d))
 
 
 @register("spatial_coherence", POINTS, knn_cte(15), sql="""
