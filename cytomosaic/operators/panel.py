@@ -161,3 +161,13 @@ def keep_expression_features(counts: DataFrame, features: DataFrame, kind: str =
     """Counts of real genes only: control feature types leave before anything else runs."""
     wanted = features.filter(F.col("feature_type") == kind).select("slide_id", "gene").distinct()
     return counts.join(wanted, ["slide_id", "gene"], "left_semi")
+
+
+def harmonise(counts: DataFrame, features: DataFrame, panel: DataFrame, slides: DataFrame, mode: str = "partial_union",
+              min_slides: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Counts of the harmonised genes only, and the gene annotation with its structural-zero flags.
+
+    Genes outside the harmonised panel leave before any cell total is taken. Genes a slide lacks are zeros already.
+    """
+    genes = harmonised_genes(features, panel, slides, mode, min_slides).select("gene")
+    return counts.join(genes, "gene", "left_semi"), gene_meta(features, panel, slides, mode, min_slides)

@@ -394,7 +394,7 @@ def _(spark, d):
 
 @register("markers_logreg")
 def _(spark, d):
-    return dge.logreg_markers(*study(spark, d), "cell_type", n_genes=10, max_iter=20)
+    return dge.logreg_markers(*study(spark, d), "cell_type", n_genes=10)
 
 
 @register("dge_search_top", *STUDY, rank_cte("", PAIR), sql="""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from ..operators import annotate, dge, ligand_receptor, neighbors, qc, roi, spatial, summaries
+from ..config import StudyConfig
+from ..operators import annotate, dge, ligand_receptor, neighbors, normalize, panel, qc, roi, spatial, summaries
 from ..sources import demo, manifest, slides, tables
 from . import figure_tables as ft
-from .checks_core import BY_TYPE, MARKERS
+from . import pipelines
+from .checks_core import BY_TYPE, DGE_OUT, MARKERS, PAIR, dge_out, rank_cte, t_sql
 from .checks_labels import MWU_OUT, SIG, mwu
-from .checks_spatial import AXIS, LR, NEAR
-from .registry import CELLS, COUNTS, FEATURES, METRICS, PANEL, POINT_EXPR, POINTS, SIGNATURES, SLIDES, STUDY, knn_cte, register
+from .checks_spatial import AXIS, LR, MORAN, NEAR
+from .registry import CELLS, COUNTS, DENSE, FEATURES, METRICS, PANEL, POINT_EXPR, POINTS, SIGNATURES, SLIDES, STUDY, knn_cte, register
 
 A, B = demo.REFERENCE, demo.TEST
 
@@ -58,12 +62,14 @@ def _(spark, d):
     return demo.features(spark, d).join(demo.panel(spark, d), "gene", "left").select("slide_id", "gene", "annotation", "ensembl_id")
 
 
-@register("source_cell_alignment", CELLS, sql="SELECT slide_id, CAST(cell_id AS BIGINT) AS cell_idx, cell_id AS barcode, cell_area FROM cells")
+@register("source_cell_alignment", CELLS, sql="""
+ SELECT slide_id, CAST(cell_id AS BIGINT) AS cell_idx, cell_id AS barcode, cell_area, 'zero_based' AS strategy, CAST(1 AS DOUBLE) AS matched_share FROM cells""")
 def _(spark, d):
     cells = demo.cells(spark, d)
     barcodes = cells.select("slide_id", F.col("cell_id").cast("bigint").alias("cell_idx"), F.col("cell_id").alias("barcode"))
     offered = cells.select("slide_id", F.lit(None).cast("string").alias("cell_key"), (F.col("cell_id").cast("bigint") - 1).alias("row_index"), "cell_area")
-    return slides.align_cells(barcodes, offered)[0].select("slide_id", "cell_idx", "barcode", "cell_area")
+    aligned, used = slides.align_cells(barcodes, offered)
+    return aligned.join(used, "slide_id").select("slide_id", "cell_idx", "barcode", "cell_area", "strategy", "matched_share")
 
 
 @register("source_roi_import", POINTS, sql="""
@@ -226,16 +232,126 @@ def _(spark, d):
     return out.select("domain", "condition", "n", *r6("share_of_a", "share_of_b"))
 
 
-@register("table_moran_top")
+def moran(spark, d):
+    points = demo.points(spark, d)
+    return spatial.morans_scan(spatial.spatial_graph(points, 6), demo.point_expression(spark, d), points)
+
+
+MORAN_OUT = ["morans_i", "expected_i", "z_score", "p_value", "p_adj"]
+MORAN_SQL = f"SELECT gene, {', '.join(f'round({c}, 6) AS {c}' for c in MORAN_OUT)} FROM moran"
+
+
+@register("table_moran_top", *MORAN, sql=f"{MORAN_SQL} WHERE p_value < 0.5 ORDER BY morans_i DESC, gene LIMIT 30")
+def _(spark, d):
+    return ft.moran_top(moran(spark, d), p_max=0.5).select("gene", *r6(*MORAN_OUT))
+
+
+@register("moran_search", *MORAN, sql=f"{MORAN_SQL} WHERE p_adj < 0.99 ORDER BY abs(morans_i) DESC, gene LIMIT 25")
+def _(spark, d):
+    return ft.search_moran(moran(spark, d), 0.99, 25).select("gene", *r6(*MORAN_OUT))
+
+
+@register("cluster_dge_search", *STUDY, BY_TYPE, sql="""
+ SELECT cell_type, gene, round(log2fc, 6) AS log2fc, round(pval_adj, 6) AS pval_adj FROM dge WHERE cell_type = 'BUILDING' AND pval_adj < 0.999
+ ORDER BY round(pval_adj, 9), gene LIMIT 15""")
+def _(spark, d):
+    table = dge.two_condition_dge(*study(spark, d), A, B, group="cell_type")
+    found = ft.search_groups(table, "cell_type", "BUILDING", 0.999, 15)
+    return found.select("cell_type", "gene", *r6("log2fc", "pval_adj"))
+
+
+@register("table_domain_points", POINTS, sql="""
+ SELECT slide_id, cell_id, condition, round(x, 6) AS x, round(y, 6) AS y, cell_type AS domain, row_number() OVER (PARTITION BY cell_type ORDER BY slide_id, cell_id) AS nth FROM points""")
+def _(spark, d):
+    points = demo.points(spark, d)
+    out = ft.domain_points(points.select("cell_id", F.col("cell_type").alias("label")), points)
+    return out.select("slide_id", "cell_id", "condition", *r6("x", "y"), "domain", F.col("nth").cast("bigint").alias("nth"))
+
+
+@register("table_functional_pivot", *STUDY, BY_TYPE, sql="""
+ , g AS (SELECT * FROM dge WHERE gene IN ('G1', 'G2', 'G3')), k AS (SELECT DISTINCT gene FROM g WHERE pval_adj < 0.99), t AS (SELECT DISTINCT cell_type FROM g WHERE pval_adj < 0.99)
+ SELECT k.gene, t.cell_type, round(coalesce(avg(g.log2fc), 0), 6) AS mean_log2fc FROM k CROSS JOIN t LEFT JOIN g ON g.gene = k.gene AND g.cell_type = t.cell_type AND g.pval_adj < 0.99 GROUP BY 1, 2""")
+def _(spark, d):
+    expr, cells = study(spark, d)
+    table = dge.two_condition_dge(expr, cells, A, B, group="cell_type")
+    _, _, pivot = ft.functional_panel(expr, cells, table, {"one": ["G1", "G2"], "two": ["G3"]}, p_max=0.99)
+    return pivot.select("gene", "cell_type", *r6("mean_log2fc"))
+
+
+@register("table_functional_dots", *STUDY, sql="""
+ SELECT condition, cell_type, gene, round(avg(v), 6) AS mean, round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pct FROM dense WHERE gene IN ('G1', 'G2', 'G3') GROUP BY 1, 2, 3""")
+def _(spark, d):
+    expr, cells = study(spark, d)
+    _, dots, _ = ft.functional_panel(expr, cells, dge.two_condition_dge(expr, cells, A, B, group="cell_type"), {"one": ["G1", "G2"], "two": ["G3"]})
+    return dots.select("condition", "cell_type", "gene", *r6("mean", "pct"))
+
+
+@register("ligand_receptor_job", *LR, sql="""
+ SELECT condition, count(*) AS n, count(*) FILTER (lig_pos) AS n_ligand, count(*) FILTER (r1_pos) AS n_r1, count(*) FILTER (r2_pos) AS n_r2, round(avg(idx), 6) AS mean_index
+ FROM axis GROUP BY 1""")
 def _(spark, d):
     points = demo.points(spark, d)
-    return ft.moran_top(spatial.morans_scan(spatial.spatial_graph(points, 6), demo.point_expression(spark, d), points), p_max=0.5)
+    job = ft.ligand_receptor_job(demo.point_expression(spark, d), points, points, AXIS, "A", "B", threshold=0.05, region="cell_type")
+    return job["cells"].groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.count_if("lig_pos").alias("n_ligand"), F.count_if("r1_pos").alias("n_r1"),
+                                                 F.count_if("r2_pos").alias("n_r2"), F.round(F.avg("index"), 6).alias("mean_index"))
+
+
+# ---- the study pipeline's panel stage and dispatch -----------------------------------------------------------------
+
+HARMONISED = """harmonised AS (SELECT gene FROM features LEFT JOIN panel p USING (gene) GROUP BY gene HAVING count(p.ensembl_id) > 0 OR count(DISTINCT slide_id) >= 17),
+ hcounts AS (SELECT * FROM counts WHERE gene IN (SELECT gene FROM harmonised)),
+ hexpr AS (SELECT slide_id, cell_id, gene, cnt, ln(1 + cnt * 100.0 / sum(cnt) OVER (PARTITION BY cell_id)) AS lognorm FROM hcounts)"""
+STUDY_CONFIG = StudyConfig(reference_condition=A, test_condition=B, min_slides=17)
+
+
+def harmonised(spark, d):
+    counts, meta = panel.harmonise(demo.counts(spark, d), demo.features(spark, d), demo.panel(spark, d), demo.slides(spark, d),
+                                   STUDY_CONFIG.harmonise_mode, STUDY_CONFIG.min_slides)
+    return normalize.lognorm(counts, STUDY_CONFIG.target_sum), counts, meta
+
+
+@register("study_harmonised_lognorm", COUNTS, FEATURES, PANEL, HARMONISED, sql="SELECT slide_id, cell_id, gene, round(lognorm, 6) AS lognorm FROM hexpr")
+def _(spark, d):
+    expr, _, _ = harmonised(spark, d)
+    return expr.select("slide_id", "cell_id", "gene", *r6("lognorm"))
+
+
+@register("study_dge_without_structural_zeros", CELLS, COUNTS, FEATURES, PANEL, SLIDES, HARMONISED, """expr AS (
+ SELECT * FROM hexpr WHERE gene NOT IN (SELECT gene FROM harmonised h CROSS JOIN slides s WHERE s.condition IN ('AFRICA', 'ASIA')
+  AND NOT EXISTS (SELECT 1 FROM features f WHERE f.gene = h.gene AND f.slide_id = s.slide_id)))""",
+          "genes AS (SELECT DISTINCT gene FROM expr)", DENSE, rank_cte("", PAIR), sql=f"SELECT {DGE_OUT} FROM dge")
+def _(spark, d):
+    expr, counts, meta = harmonised(spark, d)
+    cells = demo.cells(spark, d)
+    config = replace(STUDY_CONFIG, dge_method="wilcoxon")
+    return dge_out(pipelines.study_dge(expr, cells, counts, config, meta)["dge"])
+
+
+@register("study_replicate_check", SLIDES, sql="""
+ SELECT condition, count(*) AS n_slides, count(DISTINCT replicate_id) AS n_replicates, least(3, min(count(DISTINCT replicate_id)) OVER ()) AS floor
+ FROM slides WHERE condition IN ('AFRICA', 'ASIA') GROUP BY condition""")
+def _(spark, d):
+    used = demo.slides(spark, d).filter(F.col("condition").isin(A, B))
+    manifest.check_replicates(used, {A: 5, B: 5})
+    least = pipelines.replicate_floor(demo.cells(spark, d), STUDY_CONFIG, A, B)
+    return manifest.summary(used).select("condition", "n_slides", "n_replicates", F.lit(least).cast("bigint").alias("floor"))
+
+
+@register("dge_dispatch_t_test", *STUDY, rank_cte("", PAIR), sql=t_sql(False))
+def _(spark, d):
+    return dge.run_dge(*study(spark, d), A, B, "t-test").select("gene", *r6("log2fc", "score", "pval"))
+
+
+@register("condition_pair", CELLS, sql=f"SELECT min(condition) AS reference, max(condition) AS test FROM cells WHERE {PAIR}")
+def _(spark, d):
+    pair = dge.pick_conditions(demo.cells(spark, d).filter(F.col("condition").isin(A, B)))
+    return demo.cells(spark, d).limit(1).select(F.lit(pair[0]).alias("reference"), F.lit(pair[1]).alias("test"))
 
 
 @register("table_enrichment_stars")
 def _(spark, d):
     labels = demo.points(spark, d).select("slide_id", "cell_id", F.col("cell_type").alias("label"))
-    return ft.enrichment_cells(spatial.enrichment_test(neighbors.spatial_knn(demo.points(spark, d), 10), labels, n_permutations=25))
+    return ft.enrichment_cells(spatial.enrichment_test(neighbors.spatial_knn(demo.points(spark, d), 10), labels))
 
 
 @register("table_display_sample", CELLS, sql="SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS n_distinct FROM cells")

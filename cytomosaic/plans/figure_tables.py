@@ -68,6 +68,16 @@ def moran_top(moran: DataFrame, n: int = 30, p_max: float = 0.05) -> DataFrame:
     return moran.filter(F.col("p_value") < p_max).orderBy(F.col("morans_i").desc(), "gene").limit(n)
 
 
+def search_moran(moran: DataFrame, p_max: float = 0.05, limit: int = 200) -> DataFrame:
+    """Result browser of the Moran table: strongest statistic first."""
+    return dge.search_results(moran.withColumnRenamed("p_adj", "pval_adj"), p_max, limit, [F.abs("morans_i").desc(), F.col("gene")]).withColumnRenamed("pval_adj", "p_adj")
+
+
+def search_groups(table: DataFrame, group: str, wanted: str, p_max: float = 0.05, limit: int = 200) -> DataFrame:
+    """Result browser of one cluster, cell type or domain: best adjusted p first."""
+    return dge.search_results(table.filter(F.col(group) == wanted), p_max, limit, [F.round("pval_adj", 9), F.col("gene")])
+
+
 def enrichment_cells(enrichment: DataFrame) -> DataFrame:
     """z matrix in long form with significance stars."""
     return enrichment.withColumn("stars", stars(F.col("p_adj")))
@@ -179,6 +189,14 @@ def domain_overview(domains: DataFrame, cells: DataFrame) -> tuple[DataFrame, Da
     return composition.cross_tab(tagged, "domain", "condition"), composition.cross_tab(tagged, "domain", "cell_type")
 
 
+def domain_points(domains: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells with coordinates and domain, numbered within their domain in id order."""
+    from pyspark.sql import Window as W
+
+    tagged = cells.join(domains.withColumnRenamed("label", "domain"), "cell_id")
+    return tagged.withColumn("nth", F.row_number().over(W.partitionBy("domain").orderBy(*CELL_KEY)))
+
+
 def ordered_labels(df: DataFrame, label: str) -> list[Column]:
     return label_order(F.col(label))
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import StudyConfig
-from ..operators import annotate, community, composition, dge, embedding, neighbors, normalize, qc, spatial, sweeps
+from ..operators import annotate, community, composition, dge, embedding, ligand_receptor, neighbors, normalize, panel, qc, spatial, sweeps
 from ..operators.matrix import group_gene_stats
 from ..schemas import CELL_KEY
 from ..session import cut
+from ..sources import defaults
+from . import figure_tables
 
 
 @dataclass
@@ -22,6 +24,7 @@ class Preprocessed:
     corrected: DataFrame
     graph: DataFrame
     markers: DataFrame
+    counts: DataFrame
 
 
 def expression_graph(vectors: DataFrame, n_neighbors: int) -> DataFrame:
@@ -48,7 +51,7 @@ def preprocess(cells: DataFrame, counts: DataFrame, config: StudyConfig = StudyC
     labels = community.detect_communities(graph, config.resolution, config.random_state)
     clustered = cut(kept.join(labels.withColumnRenamed("label", "cluster"), "cell_id", "left"))
     markers = dge.cluster_markers(expr, clustered, "cluster", target_sum=config.target_sum)
-    return Preprocessed(clustered, expr, scores, corrected, graph, markers)
+    return Preprocessed(clustered, expr, scores, corrected, graph, markers, clean)
 
 
 def spatial_domains(points: DataFrame, expr: DataFrame, expression: DataFrame, config: StudyConfig = StudyConfig(), with_markers: bool = True):
@@ -89,25 +92,85 @@ def replicate_floor(cells: DataFrame, config: StudyConfig, reference: str, test:
     return min([config.min_consistent_replicates, *counts])
 
 
-def two_condition_study(cells: DataFrame, counts: DataFrame, signatures: DataFrame, config: StudyConfig) -> dict[str, DataFrame]:
-    """Annotated cells and the result tables of a two-condition study."""
+def study_signatures(spark) -> DataFrame:
+    """The default marker sets of the broad cell types."""
+    return annotate.signature_table(spark, defaults.BROAD_MARKERS, "broad")
+
+
+def dge_options(cells: DataFrame, config: StudyConfig) -> dict:
+    """Arguments of the configured test."""
+    if config.dge_method == "stringent_wilcoxon":
+        return {"lfc_min": config.log2fc_threshold, "p_max": config.pval_threshold, "min_pct": config.min_pct, "min_mean": config.min_mean,
+                "min_consistent": replicate_floor(cells, config, config.reference_condition, config.test_condition)}
+    return {}
+
+
+def study_dge(expr: DataFrame, cells: DataFrame, counts: DataFrame, config: StudyConfig, meta: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Differential expression of the two conditions, overall and per cell type, with its labelled and top genes.
+
+    Genes that are structural zeros on a compared slide (``meta``) are not tested.
+    """
+    a, b = config.reference_condition, config.test_condition
+    if meta is not None:
+        pair = cells.filter(F.col("condition").isin(a, b))
+        expr, counts = (dge.drop_zero_filled(t, meta, pair, config.zero_fill_scope) for t in (expr, counts))
+    options = dge_options(cells, config)
+    per_type, summary = dge.group_dge(expr, cells, a, b, "cell_type", config.dge_method, config.dge_min_cells, config.log2fc_threshold, config.pval_threshold,
+                                      counts, **{k: v for k, v in options.items() if k not in ("lfc_min", "p_max")})
+    overall = dge.run_dge(expr, cells, a, b, config.dge_method, counts=counts, **options)
+    return {"dge": overall, "cluster_dge": per_type, "cluster_dge_summary": summary,
+            "dge_labelled": dge.volcano_labels(overall, config.n_top_dge_genes, config.log2fc_threshold, config.pval_threshold),
+            "cluster_dge_top": dge.top_per_direction(per_type, "cell_type", config.n_top_dge_genes)}
+
+
+def study_spatial(cells: DataFrame, expr: DataFrame, config: StudyConfig, genes: list[str]) -> dict[str, DataFrame]:
+    """Moran scan, lag co-expression of ``genes``, neighbourhood enrichment and the map of the representative slides."""
+    graph = cut(spatial.spatial_graph(cells, config.moran_neighbors, config.pool_slides))
+    near = cut(neighbors.spatial_knn(cells, config.n_spatial_neighbors, pool_slides=config.pool_slides))
+    moran, lag = figure_tables.spatial_summary(graph, expr, cells, genes)
+    return {"moran": moran, "lag_coexpression": lag, "moran_top": figure_tables.moran_top(moran),
+            "enrichment": spatial.enrichment_test(near, cells.select(*CELL_KEY, F.col("cell_type").alias("label")), config.n_permutations, config.random_state),
+            "representative_map": figure_tables.spatial_points(cells, ["cell_type"], True, config.representative_slides or None)}
+
+
+def two_condition_study(cells: DataFrame, counts: DataFrame, signatures: DataFrame | None, config: StudyConfig, *, features: DataFrame | None = None,
+                        panel_genes: DataFrame | None = None, slides: DataFrame | None = None, modules: DataFrame | None = None,
+                        axis: ligand_receptor.Axis | None = None, subclusters: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """Annotated cells and the result tables of a two-condition study.
+
+    With ``features``, ``panel_genes`` and ``slides`` the panel stage runs first: genes are harmonised before any total, and
+    structural zeros leave the tests. ``signatures`` and ``modules`` default to the built-in marker and module sets. Cells with
+    coordinates add the spatial tables; a ligand on the panel adds the ligand-receptor tables; ``subclusters`` names clusters to
+    split, with their marker genes.
+    """
+    spark, meta, result = cells.sparkSession, None, {}
+    if panel_genes is not None:
+        result["panel_validation"] = panel.validate_panel(features, panel_genes, slides)
+        counts, meta = panel.harmonise(counts, features, panel_genes, slides, config.harmonise_mode, config.min_slides)
+        counts, meta = cut(counts), cut(meta)
+        result["gene_meta"] = meta
     done = preprocess(cells, counts, config)
-    names = annotate.label_clusters(done.expr, done.cells, "cluster", signatures)
+    names = annotate.label_clusters(done.expr, done.cells, "cluster", signatures if signatures is not None else study_signatures(spark))
     typed = cut(annotate.attach_labels(done.cells, names, "cluster", "cell_type"))
     a, b = config.reference_condition, config.test_condition
-    options = {}
-    if config.dge_method == "stringent_wilcoxon":
-        options["min_consistent"] = replicate_floor(typed, config, a, b)
-    per_type, summary = dge.group_dge(done.expr, typed, a, b, "cell_type", config.dge_method, lfc_min=config.log2fc_threshold,
-                                      p_max=config.pval_threshold, counts=counts, **options)
-    result = {
-        "cells": typed, "cluster_labels": names, "markers": done.markers,
-        "dge": dge.run_dge(done.expr, typed, a, b, config.dge_method, counts=counts, **options),
-        "cluster_dge": per_type, "cluster_dge_summary": summary,
-        "composition": composition.composition_analysis(typed, reference=a, test=b),
-        "clusters": composition.supplementary_clusters(typed, "cluster", a, b),
-    }
-    if config.run_spatial_domains and "x" in typed.columns:
-        labels, coherence, domain_markers = spatial_domains(typed, done.expr, done.graph, config)
+    if modules is None:
+        modules = annotate.signature_table(spark, defaults.NEUROPEPTIDE_MODULES, "modules")
+    result |= {"cells": typed, "cluster_labels": names, "markers": done.markers, **study_dge(done.expr, typed, done.counts, config, meta),
+               "composition": composition.composition_analysis(typed, reference=a, test=b),
+               "clusters": composition.supplementary_clusters(typed, "cluster", a, b),
+               **{f"module_{k}": t for k, t in figure_tables.module_tables(done.expr, typed, modules, a, b).items()}}
+    placed = typed.filter("x IS NOT NULL AND y IS NOT NULL") if "x" in typed.columns else None
+    axis = axis or ligand_receptor.Axis()
+    if placed is not None:
+        on_panel = {r.gene for r in done.expr.filter(F.col("gene").isin(axis.genes)).select("gene").distinct().collect()}
+        result |= study_spatial(placed, done.expr, config, [g for g in axis.genes if g in on_panel])
+        if axis.ligand in on_panel:
+            job = figure_tables.ligand_receptor_job(done.expr, typed, placed, axis, a, b, region="cell_type")
+            result |= {f"ligand_receptor_{k}": t for k, t in job.items()}
+    for target, genes in (subclusters or {}).items():
+        labels, means, per_condition = subcluster(typed, done.corrected, done.expr, "cluster", target, genes, seed=config.random_state)
+        result |= {f"subcluster_{target}": labels, f"subcluster_{target}_markers": means, f"subcluster_{target}_counts": per_condition}
+    if config.run_spatial_domains and placed is not None:
+        labels, coherence, domain_markers = spatial_domains(placed, done.expr, done.graph, config)
         result |= {"domains": labels, "domain_coherence": coherence, "domain_markers": domain_markers}
     return result

@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -56,11 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a table that several branches of one job read (recomputable from lineage when lost)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast an already materialised table when its counted rows fit; otherwise leave the join to Spark."""
     from pyspark.sql import functions as F

@@ -48,8 +48,8 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slide_id", F.col("o_custkey").cast("string").alias("cell_id"), "gene", "count")
 
 
-def expression(spark: SparkSession, sf_dir: str, stage: bool = True) -> DataFrame:
-    """Normalised values; written as a stage table by default because the analyses read them several times."""
+def expression(spark: SparkSession, sf_dir: str, stage: bool = False) -> DataFrame:
+    """Normalised values, lazily, so that gene and cell filters of a query reach them; ``stage`` writes them for loops that read them often."""
     from ..operators.normalize import lognorm
     from ..session import cut
 

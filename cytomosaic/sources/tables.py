@@ -117,19 +117,38 @@ def stage(spark: SparkSession, path: str, build, partition_by: str | None = None
     return written
 
 
-def land_study(spark: SparkSession, slides: DataFrame, root: str, rois: DataFrame | None = None, rebuild: bool = False):
-    """Slide directories to Parquet partitioned by slide: (cells, counts, features), regions applied to the cells."""
+def land_study(spark: SparkSession, slides: DataFrame, root: str, rois: DataFrame | None = None, rebuild: bool = False, min_share: float = 0.0):
+    """Slide directories to Parquet partitioned by slide: (cells, counts, features), regions applied to the cells.
+
+    A slide whose cell table matches fewer than ``min_share`` of its barcodes is an error.
+    """
     from ..operators.roi import apply_rois
     from ..schemas import CELL_KEY
     from .slides import read_study
 
-    cells, counts, features = read_study(spark, slides)
+    cells, counts, features = read_study(spark, slides, min_share=min_share)
     features = stage(spark, f"{root}/features", lambda: features, "slide_id", rebuild)
     kept = stage(spark, f"{root}/cells", lambda: apply_rois(cells, rois) if rois is not None else cells, "slide_id", rebuild)
     inside = counts.join(kept.select(*CELL_KEY), CELL_KEY, "left_semi") if rois is not None else counts
     return kept, stage(spark, f"{root}/counts", lambda: inside, "slide_id", rebuild), features
 
 
+def land_panel(spark: SparkSession, slides: DataFrame, counts: DataFrame, features: DataFrame, panel: DataFrame, root: str, config,
+               expected: dict[str, int] | None = None, rebuild: bool = False):
+    """Panel stage of a study: (harmonised counts, gene annotation, panel validation), the first two as stage tables.
+
+    ``expected`` holds the number of slides per condition; another number is an error.
+    """
+    from ..operators.panel import harmonise, validate_panel
+    from .manifest import check_replicates
+
+    if expected:
+        check_replicates(slides, expected)
+    aligned, meta = harmonise(counts, features, panel, slides, config.harmonise_mode, config.min_slides)
+    return (stage(spark, f"{root}/counts_harmonised", lambda: aligned, "slide_id", rebuild),
+            stage(spark, f"{root}/gene_meta", lambda: meta, None, rebuild), validate_panel(features, panel, slides))
+
+
 def write_results(tables: dict[str, DataFrame], root: str, fmt: str = "csv") -> dict[str, int]:
     """Each result table under ``root/<name>``; rows are counted while they are written."""
     from pyspark.sql import Observation

@@ -154,3 +154,48 @@ def test_two_condition_runs(spark, study):
     assert {r.condition for r in cells.select("condition").distinct().collect()} == {"A", "B"}
     assert slides.prefix_cells(cells, "x").first().cell_id.startswith("x__")
     assert slides.union_studies(cells, cells.drop("x")).count() == 240
+
+
+def test_csv_row_numbers_survive_file_splits(spark, tmp_path):
+    """A table without id column matches by row number, however many splits its file has."""
+    n = 1000
+    d = tmp_path / "split"
+    (d / "cell_feature_matrix").mkdir(parents=True)
+    pd.DataFrame({"x": np.arange(n, dtype=float), "y": np.arange(n) * 2.0, "pad": ["p" * 40] * n}).to_csv(d / "cells.csv", index=False)
+    with gzip.open(d / "cell_feature_matrix" / "barcodes.tsv.gz", "wt") as fh:
+        fh.writelines(f"{i + 1}\n" for i in range(n))
+    man = manifest.from_rows(spark, [{"slide_id": "S", "condition": "c", "run_dir": str(d)}])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        table = slides.read_cell_tables(spark, man)
+        assert table.select(F.min("row_index"), F.max("row_index"), F.countDistinct("row_index")).first() == (0, n - 1, n)
+        aligned, used = slides.align_cells(slides.read_barcodes(spark, man), table)
+        assert aligned.filter("x IS NULL OR x <> cell_idx").count() == 0
+        assert used.first().asDict() == {"slide_id": "S", "strategy": "zero_based", "n_matched": n, "matched_share": 1.0}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_poor_alignment_is_an_error_below_the_callers_share(spark):
+    barcodes = spark.createDataFrame([("S", i, str(i)) for i in range(10)], "slide_id string, cell_idx long, barcode string")
+    table = spark.createDataFrame([("S", str(i), i, 1.0) for i in range(4)], "slide_id string, cell_key string, row_index long, x double")
+    _, used = slides.align_cells(barcodes, table)
+    assert used.first().matched_share == 0.4
+    with pytest.raises(ValueError, match="4 of 10"):
+        slides.align_cells(barcodes, table, min_share=0.5)
+
+
+def test_panel_stage_lands_harmonised_counts(spark, tmp_path):
+    from cytomosaic.config import StudyConfig
+
+    man = manifest.from_rows(spark, [{"slide_id": s, "condition": c, "run_dir": "/x"} for s, c in (("S1", "A"), ("S2", "B"))])
+    features = spark.createDataFrame([("S1", "g1"), ("S2", "g1"), ("S1", "own")], "slide_id string, gene string")
+    panel = spark.createDataFrame([("g1", "E1", 1, "x")], "gene string, ensembl_id string, n_probesets int, annotation string")
+    counts = spark.createDataFrame([("S1", "c1", "g1", 3), ("S1", "c1", "own", 5)], "slide_id string, cell_id string, gene string, count int")
+    kept, meta, checked = tables.land_panel(spark, man, counts, features, panel, str(tmp_path / "a"), StudyConfig(min_slides=2), {"A": 1, "B": 1})
+    assert [r.gene for r in kept.collect()] == ["g1"] and meta.count() == 2 and checked.filter("base_complete").count() == 2
+    kept, meta, _ = tables.land_panel(spark, man, counts, features, panel, str(tmp_path / "b"), StudyConfig(harmonise_mode="union"))
+    assert {r.gene for r in kept.collect()} == {"g1", "own"} and [r.slide_id for r in meta.filter("zero_filled").collect()] == ["S2"]
+    with pytest.raises(ValueError, match="expected 2"):
+        tables.land_panel(spark, man, counts, features, panel, str(tmp_path / "c"), StudyConfig(), {"A": 2})
