@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import bh_adjust, seeded_hash
 from ..functions.tails import normal_two_sided
 from ..schemas import CELL_KEY
+from ..session import cut
 from .matrix import distinct_values
 
 
@@ -106,41 +107,79 @@ def _group_rate(y, s, alpha, steps=60):
     return q
 
 
-def fit_wald(y: np.ndarray, s: np.ndarray, is_b: np.ndarray) -> dict[str, np.ndarray]:
-    """Two-condition negative-binomial fit for all genes of one group (rows of y; s are size factors)."""
+#: Means below this count are held there.
+FLOOR = 0.5
+
+
+def gene_wise(y: np.ndarray, s: np.ndarray, is_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean of normalised counts, log dispersion) of each gene (rows of y; s are size factors) by itself."""
     norm = y / s
-    base = norm.mean(1)
-    floor = 0.5
+    return norm.mean(1), _maximise(y, _fitted(norm, s, is_b), is_b)
+
+
+def _fitted(norm: np.ndarray, s: np.ndarray, is_b: np.ndarray) -> np.ndarray:
     mean_a, mean_b = norm[:, ~is_b].mean(1), norm[:, is_b].mean(1)
-    mu = np.maximum(np.where(is_b[None, :], mean_b[:, None], mean_a[:, None]) * s[None, :], floor)
-    gene_wise = _maximise(y, mu, is_b)
-    usable = np.exp(gene_wise) > 1e-7
-    trend = np.full(len(y), np.exp(gene_wise[usable]).mean() if usable.any() else 0.01)
+    return np.maximum(np.where(is_b[None, :], mean_b[:, None], mean_a[:, None]) * s[None, :], FLOOR)
+
+
+def dispersion_trend(base: np.ndarray, log_alpha: np.ndarray, n_samples: int) -> dict[str, float]:
+    """Trend alpha = c0 + c1 / mean over one group's genes, the spread around it and the prior's variance; two numbers per gene are read."""
+    usable = np.exp(log_alpha) > 1e-7
+    c0, c1 = (float(np.exp(log_alpha[usable]).mean()) if usable.any() else 0.01), 0.0
     if usable.sum() >= 5:
         x = np.column_stack([np.ones(usable.sum()), 1.0 / np.maximum(base[usable], 1e-8)])
-        fitted, target = trend[usable], np.exp(gene_wise[usable])
+        target = np.exp(log_alpha[usable])
+        fitted = np.full(len(target), c0)
         for _ in range(20):  # gamma-like weights 1 / fitted^2
             coef, *_ = np.linalg.lstsq(x / fitted[:, None], target / fitted, rcond=None)
             coef = np.maximum(coef, 1e-8)
             fitted = np.maximum(x @ coef, 1e-8)
-        trend = np.maximum(coef[0] + coef[1] / np.maximum(base, 1e-8), 1e-8)
-    resid = gene_wise[usable] - np.log(trend[usable])
-    mad = 1.4826 * np.median(np.abs(resid - np.median(resid))) if usable.any() else 1.0
-    half = max(y.shape[1] - 2, 1) / 2.0
+        c0, c1 = coef.tolist()
+    resid = log_alpha[usable] - np.log(_trend(base[usable], c0, c1))
+    mad = float(1.4826 * np.median(np.abs(resid - np.median(resid)))) if usable.any() else 1.0
+    half = max(n_samples - 2, 1) / 2.0
     sampling = sum(1.0 / (half + i) ** 2 for i in range(2000)) + 1.0 / (half + 2000)  # trigamma
-    prior = max(mad**2 - sampling, 0.25)
-    log_map = _maximise(y, mu, is_b, np.log(trend), prior)
-    outlier = usable & (gene_wise > np.log(trend) + 2 * mad)
-    alpha = np.exp(np.where(outlier, gene_wise, log_map))
+    return {"c0": float(c0), "c1": float(c1), "mad": mad, "prior": max(mad**2 - sampling, 0.25)}
+
+
+def _trend(base: np.ndarray, c0, c1) -> np.ndarray:
+    return np.maximum(c0 + c1 / np.maximum(base, 1e-8), 1e-8)
+
+
+def shrunken_wald(y: np.ndarray, s: np.ndarray, is_b: np.ndarray, base: np.ndarray, log_alpha: np.ndarray, c0: float, c1: float, mad: float,
+                  prior: float) -> dict[str, np.ndarray]:
+    """Wald statistics of each gene with its dispersion shrunk towards the group's trend."""
+    trend = _trend(base, c0, c1)
+    log_map = _maximise(y, _fitted(y / s, s, is_b), is_b, np.log(trend), prior)
+    outlier = (np.exp(log_alpha) > 1e-7) & (log_alpha > np.log(trend) + 2 * mad)
+    alpha = np.exp(np.where(outlier, log_alpha, log_map))
     qa, qb = _group_rate(y[:, ~is_b], s[~is_b], alpha), _group_rate(y[:, is_b], s[is_b], alpha)
-    info = lambda q, part: (np.maximum(part[None, :] * q[:, None], floor) / (1 + alpha[:, None] * np.maximum(part[None, :] * q[:, None], floor))).sum(1)
+    info = lambda q, part: (np.maximum(part[None, :] * q[:, None], FLOOR) / (1 + alpha[:, None] * np.maximum(part[None, :] * q[:, None], FLOOR))).sum(1)
     # an empty condition is held at the mean floor so that its log stays finite
-    qa, qb = np.maximum(qa, floor / s[~is_b].sum()), np.maximum(qb, floor / s[is_b].sum())
+    qa, qb = np.maximum(qa, FLOOR / s[~is_b].sum()), np.maximum(qb, FLOOR / s[is_b].sum())
     beta = np.log(qb / qa)
     se = np.sqrt(1.0 / info(qa, s[~is_b]) + 1.0 / info(qb, s[is_b]))
     return {"baseMean": base, "log2fc": beta / np.log(2), "lfcSE": se / np.log(2), "stat": beta / se, "dispersion": alpha}
 
 
+def fit_wald(y: np.ndarray, s: np.ndarray, is_b: np.ndarray) -> dict[str, np.ndarray]:
+    """The whole fit of one group's genes at once."""
+    base, log_alpha = gene_wise(y, s, is_b)
+    return shrunken_wald(y, s, is_b, base, log_alpha, **dispersion_trend(base, log_alpha, y.shape[1]))
+
+
+def _group_matrices(pdf: pd.DataFrame, test: str):
+    """(rows, y, size factors, is_b) of each group in a batch of gene rows; absent samples count 0."""
+    for _, part in pdf.groupby("_group"):
+        samples = [(x["condition"], x["replicate"]) for x in part["samples"].iloc[0]]
+        place = {x: i for i, x in enumerate(samples)}
+        y = np.zeros((len(part), len(samples)))
+        for i, seen in enumerate(part["seen"]):
+            for x in seen:
+                y[i, place[x["condition"], x["replicate"]]] = x["count"]
+        yield part, y, np.array([x["size_factor"] for x in part["samples"].iloc[0]]), np.array([c == test for c, _ in samples])
+
+
 def pseudobulk_dge(counts: DataFrame, cells: DataFrame, reference: str, test: str, group: str | None = None,
                    replicate: str | None = "replicate_id", condition: str = "condition", min_cells: int = 5, min_counts: int = 10,
                    min_samples: int = 2, min_cells_per_side: int = 0, n_pseudo: int = 3) -> DataFrame:
@@ -157,19 +196,33 @@ def pseudobulk_dge(counts: DataFrame, cells: DataFrame, reference: str, test: st
         pair = pair.join(sides.filter(f"_0 >= {min_cells_per_side} AND _1 >= {min_cells_per_side}").select(group), group, "left_semi")
     sums = filter_samples(pseudobulk_sums(counts, pair, keys, replicate, condition), keys, min_cells, min_counts)
     factors = size_factors(sums, keys, [condition, replicate])
-    table = sums.join(factors, [*keys, condition, replicate]).withColumn(
-        "_group", F.col(group) if group else F.lit("all")).select("_group", "gene", condition, replicate, "count", "size_factor")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="gene", columns=[condition, replicate], values="count", aggfunc="first", fill_value=0)
-        s = pdf.groupby([condition, replicate])["size_factor"].first().reindex(wide.columns).to_numpy()
-        is_b = np.array([c == test for c, _ in wide.columns])
-        if is_b.all() or not is_b.any() or len(is_b) < min_samples:
-            return pd.DataFrame({c: [] for c in ("_group", "gene", "baseMean", "log2fc", "lfcSE", "stat", "dispersion")})
-        fit = fit_wald(wide.to_numpy(float), s, is_b)
-        return pd.DataFrame({"_group": pdf["_group"].iloc[0], "gene": wide.index, **fit})
-
+    table = sums.join(factors, [*keys, condition, replicate]).select(
+        (F.col(group) if group else F.lit("all")).alias("_group"), "gene", F.col(condition).alias("condition"), F.col(replicate).alias("replicate"), "count", "size_factor")
+    # a group's samples are a short list; every gene is a row of its own, so no task holds a panel
+    samples = table.groupBy("_group").agg(F.array_sort(F.collect_set(F.struct("condition", "replicate", "size_factor"))).alias("samples")).filter(
+        F.exists("samples", lambda x: x["condition"] == test) & F.exists("samples", lambda x: x["condition"] == reference) & (F.size("samples") >= min_samples))
+    seen = table.groupBy("_group", "gene").agg(F.collect_list(F.struct("condition", "replicate", F.col("count").cast("double").alias("count"))).alias("seen"))
+    rows = cut(seen.join(samples, "_group"))
+
+    def alone(batches):
+        for pdf in batches:
+            for part, y, s, is_b in _group_matrices(pdf, test):
+                base, log_alpha = gene_wise(y, s, is_b)
+                yield pd.DataFrame({"_group": part["_group"], "gene": part["gene"], "base": base, "log_alpha": log_alpha, "n": y.shape[1]})
+
+    def trend(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_group": pdf["_group"].iloc[:1], **dispersion_trend(pdf["base"].to_numpy(), pdf["log_alpha"].to_numpy(), int(pdf["n"].iloc[0]))})
+
+    def shrunk(batches):
+        for pdf in batches:
+            for part, y, s, is_b in _group_matrices(pdf, test):
+                one = part.iloc[0]
+                fit = shrunken_wald(y, s, is_b, part["base"].to_numpy(), part["log_alpha"].to_numpy(), one.c0, one.c1, one.mad, one.prior)
+                yield pd.DataFrame({"_group": part["_group"], "gene": part["gene"], **fit})
+
+    single = cut(rows.mapInPandas(alone, "_group string, gene string, base double, log_alpha double, n int"))
+    around = single.groupBy("_group").applyInPandas(trend, "_group string, c0 double, c1 double, mad double, prior double")
     schema = "_group string, gene string, baseMean double, log2fc double, lfcSE double, stat double, dispersion double"
-    fitted = table.groupBy("_group").applyInPandas(solve, schema).withColumn("pvalue", normal_two_sided(F.col("stat")))
+    fitted = rows.join(single.drop("n"), ["_group", "gene"]).join(around, "_group").mapInPandas(shrunk, schema).withColumn("pvalue", normal_two_sided(F.col("stat")))
     out = bh_adjust(fitted, "pvalue", ["_group"], "pval_adj").withColumn("method", F.lit("pseudobulk_nb"))
     return out.withColumnRenamed("_group", group) if group else out.drop("_group")
