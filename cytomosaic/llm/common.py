@@ -47,6 +47,32 @@ def cut_at_space(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[start:]
 
 
+#: Rows of an Arrow batch that are Python objects at a time: a batch of whole documents is large enough as it is.
+SLICE = 256
+
+
+def slices(batches):
+    """The batches of a task in pieces of SLICE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def sliced(make):
+    """An Arrow function of one or two columns that runs ``make`` (columns as lists -> array) on SLICE rows at a time."""
+    import pyarrow as pa
+
+    def one(a: pa.Array) -> pa.Array:
+        return pa.concat_arrays([make(a.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(a)), SLICE)])
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.concat_arrays([make(*(x.slice(at, SLICE).to_pylist() for x in (a, b))) for at in range(0, max(1, len(a)), SLICE)])
+
+    chosen = one if make.__code__.co_argcount == 1 else two
+    chosen.__annotations__ = dict.fromkeys(("a", "b", "return") if chosen is two else ("a", "return"), pa.Array)
+    return chosen
+
+
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str, out: str) -> DataFrame:
     """Inclusive running sum of ``value`` by ``order`` within ``keys``, without a key's rows ever meeting in one task.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_at_space, fresh, shared
+from .common import cut_at_space, fresh, shared, sliced
 
 WINDOW = 10
 #: Item words per automaton; a larger benchmark takes one pass of the documents for each such part.
@@ -178,27 +178,49 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, out: str
     nothing, repeated items count once, an item without id hits words but has no id to report. The automaton of the benchmark
     is broadcast (at most AUTOMATON_WORDS item words each; more automata take more passes over the same rows).
     """
+    return _matched(docs, _automata(benchmark, window), out)
+
+
+def _matched(docs: DataFrame, automata: list[SuffixAutomaton], out: str) -> DataFrame:
     rows = docs
-    for turn, automaton in enumerate(_automata(benchmark, window)):
-        scan = F.arrow_udf(_scanner(shared(docs.sparkSession, automaton)), _HITS)
+    for turn, automaton in enumerate(automata):
+        scan = F.arrow_udf(sliced(_scanner(shared(docs.sparkSession, automaton))), _HITS)
         rows = rows.withColumn(out, scan(F.col("text").cast("string"), F.col(out) if turn else F.lit(None).cast(_HITS)))
     return rows
 
 
+def _found(machine: SuffixAutomaton, text: str | None, before: dict | None):
+    """(words, hit runs, item names) of one text, on top of what earlier automata found."""
+    n, runs, hit = machine.scan(text.encode()) if text is not None else (0, [], ())
+    names = [machine.names[i] for i in hit if i >= 0]
+    if before is not None and before["runs"]:
+        runs, names = merged([*runs, *((r["begin"], r["end"]) for r in before["runs"])]), names + before["items"]
+    return n, runs, sorted(set(names))
+
+
 def _scanner(automaton):
-    def scan(text: pa.Array, before: pa.Array) -> pa.Array:
-        machine, found = automaton(), []
-        for t, old in zip(text.to_pylist(), before.to_pylist()):
-            n, runs, hit = machine.scan(t.encode()) if t is not None else (0, [], ())
-            names = [machine.names[i] for i in hit if i >= 0]
-            if old is not None and old["runs"]:
-                runs, names = merged([*runs, *((r["begin"], r["end"]) for r in old["runs"])]), names + old["items"]
-            found.append({"n_words": n, "runs": [{"begin": a, "end": b} for a, b in runs], "items": sorted(set(names))})
-        return pa.array(found, _HITS_ARROW)
+    def scan(texts, before):
+        found = [_found(automaton(), t, old) for t, old in zip(texts, before)]
+        return pa.array([{"n_words": n, "runs": [{"begin": a, "end": b} for a, b in runs], "items": names} for n, runs, names in found], _HITS_ARROW)
 
     return scan
 
 
+_CLEAN = "struct<n_words: long, n_hit: long, text: string>"
+
+
+def _cleaner(automaton):
+    """Words, hit words and, where there are any, the text without them."""
+    def clean(texts, before):
+        out = []
+        for t, old in zip(texts, before):
+            n, runs, _ = _found(automaton(), t, old)
+            out.append({"n_words": n, "n_hit": sum(b - a for a, b in runs), "text": without_runs(t.encode(), runs).decode() if runs else None})
+        return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("text", pa.string())]))
+
+    return clean
+
+
 def n_hit(hits: str = "hits"):
     return F.aggregate(F.col(hits)["runs"], F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["begin"])
 
@@ -223,24 +245,20 @@ def without_runs(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _clean_text(text: pa.Array, runs: pa.Array) -> pa.Array:
-    out = []
-    for t, found in zip(text.to_pylist(), runs.to_pylist()):
-        out.append(without_runs(t.encode(), [(r["begin"], r["end"]) for r in found]).decode() if t is not None and found else t)
-    return pa.array(out, pa.string())
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without benchmark spans: hit words are cut out of the text, rows with more than ``max_coverage`` of their words hit go.
 
     A span is any run of at least ``window`` words (or a whole shorter item) that a benchmark item holds. Rows without hits are
     returned unchanged; ``n_chars``, where present, follows a changed text.
     """
-    hits = fresh(docs, "_hits")
-    found = match(docs, benchmark, window, hits)
-    kept = found.filter(n_hit(hits) <= max_coverage * F.col(hits)["n_words"])
-    changed = F.size(F.col(hits)["runs"]) > 0
-    kept = kept.withColumn("text", F.when(changed, F.arrow_udf(_clean_text, "string")(F.col("text"), F.col(hits)["runs"])).otherwise(F.col("text")))
+    hits, out = fresh(docs, "_hits"), fresh(docs, "_clean")
+    *first, last = _automata(benchmark, window)
+    rows = _matched(docs, first, hits)
+    clean = F.arrow_udf(sliced(_cleaner(shared(docs.sparkSession, last))), _CLEAN)
+    found = rows.withColumn(out, clean(F.col("text").cast("string"), F.col(hits) if first else F.lit(None).cast(_HITS)))
+    kept = found.filter(F.col(out)["n_hit"] <= max_coverage * F.col(out)["n_words"])
+    changed = F.col(out)["n_hit"] > 0
+    kept = kept.withColumn("text", F.when(changed, F.col(out)["text"]).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.drop(hits)
+    return kept.drop(hits, out)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, shared
+from .common import fresh, shared, sliced, slices
 
 ORDER = 4
 #: Bound of the training sample: about so many labelled documents per language, chosen by hash of doc_id.
@@ -57,7 +57,7 @@ def gram_codes(folded: np.ndarray) -> np.ndarray:
 
 def count_grams(batches, size: int = 1 << 20):
     """(lang, gram, n) of each batch: the map side of the training counts."""
-    for batch in batches:
+    for batch in slices(batches):
         found: dict[str, list] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for piece in pieces(text.encode(), size):
@@ -161,22 +161,25 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Contexts | None:
     return Contexts(langs, place_of[which.indices.to_numpy()], grams["gram"].to_numpy(), grams["n"].to_numpy().astype(float))
 
 
-def identify(docs: DataFrame, model: Contexts | None) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte``; only the text is read.
+NAMES = ("lang_pred", "score", "bits_per_byte")
 
-    score is the winner's share of the probability that the languages' codes give the text (0 to 1). A text that is null or has
-    no letter is ``und`` with score 0 and null bits, as is every text when nothing was learned. Columns of ``docs`` with these
+
+def identify(docs: DataFrame, model: Contexts | None, names: tuple = NAMES) -> DataFrame:
+    """``docs`` with the predicted language, its score and the bits per byte of its code, under ``names``; only the text is read.
+
+    The score is the winner's share of the probability that the languages' codes give the text (0 to 1). A text that is null or
+    has no letter is ``und`` with score 0 and null bits, as is every text when nothing was learned. Columns of ``docs`` with these
     names are replaced.
     """
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+        return docs.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(None).cast("double")))))
     frozen = shared(docs.sparkSession, model)  # bounded by the training sample
     size = max(1 << 16, (1 << 21) // len(model.langs))
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
-    def predict(text: pa.Array) -> pa.Array:
+    def predict(text):
         trees = frozen()
-        texts = [t.encode() if t is not None else b"" for t in text.to_pylist()]
+        texts = [t.encode() if t is not None else b"" for t in text]
         usable = [i for i, t in enumerate(texts) if has_letter(t)]
         bits = trees.code_lengths([texts[i] for i in usable], size)
         out = [{"lang_pred": UNKNOWN, "score": 0.0, "bits_per_byte": None}] * len(texts)
@@ -189,6 +192,16 @@ def identify(docs: DataFrame, model: Contexts | None) -> DataFrame:
         return pa.array(out, kind)
 
     name = fresh(docs, "_ppm")
-    scored = F.arrow_udf(predict, "struct<lang_pred: string, score: double, bits_per_byte: double>")
+    scored = F.arrow_udf(sliced(predict), "struct<lang_pred: string, score: double, bits_per_byte: double>")
     rows = docs.withColumn(name, scored(F.col("text").cast("string")))
-    return rows.withColumns({c: F.col(name)[c] for c in ("lang_pred", "score", "bits_per_byte")}).drop(name)
+    return rows.withColumns({to: F.col(name)[c] for to, c in zip(names, NAMES)}).drop(name)
+
+
+def in_known_language(docs: DataFrame, model: Contexts | None, max_bits_per_byte: float = 8.0) -> DataFrame:
+    """The rows of ``docs`` in one of the learned languages.
+
+    Texts without a letter go, and texts whose shortest code needs ``max_bits_per_byte`` or more: the uniform code needs 8, so no
+    language explains them.
+    """
+    names = tuple(fresh(docs, f"_{c}") for c in NAMES)
+    return identify(docs, model, names).filter((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) < max_bits_per_byte)).drop(*names)

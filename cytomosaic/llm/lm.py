@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import partitions
+from .common import partitions, slices
 
 ORDER = 5
 BACKOFF = 0.4
@@ -62,7 +62,7 @@ def explode_grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array(gram), pa.array(n)], ["block", "gram", "n"])
         held.clear()
 
-    for batch in batches:
+    for batch in slices(batches):
         waiting: dict[int, list] = {}
         waits = 0
 
@@ -132,8 +132,8 @@ def sum_scores(batches):
                 g = np.concatenate(grams).astype(np.int64) if grams else np.zeros(0, np.int64)
                 order = np.argsort(g)
                 ready = g[order], np.concatenate(values)[order] if grams else g, np.concatenate(used)[order] if grams else g
-            texts = cols["text"].slice(lo, hi - lo).to_pylist()
-            for doc_id, text in zip(cols["doc_id"].slice(lo, hi - lo).to_pylist(), texts):
+            for doc_id, text in zip(cols["doc_id"].slice(lo, hi - lo), cols["text"].slice(lo, hi - lo)):
+                doc_id, text = doc_id.as_py(), text.as_py()
                 n, s, backed = 0, 0.0, 0
                 for code in _codes(text.encode()) if text else ():
                     found, times = np.unique(code, return_counts=True)

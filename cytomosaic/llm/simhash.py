@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import cut_at_space
+from .common import cut_at_space, sliced, slices
 from .components import components
 
 SEGMENTS = 4
@@ -49,10 +49,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > total, bitorder="little").view(np.uint64)[0])
 
 
+def _marks(texts):
+    return pa.array(np.array([fingerprint(t.encode()) if t is not None else 0 for t in texts], np.uint64).view(np.int64))
+
+
 def _fingerprints(batches):
-    for batch in batches:
-        marks = [fingerprint(t.encode()) if t is not None else 0 for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "fp"])
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), _marks(batch.column(1).to_pylist())], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -188,18 +191,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without their near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Of repeated rows with that id one stays. A row without doc_id stays unless its group has a row with one.
+    Of repeated rows with that id one stays. A row without doc_id stays unless its group has a row with one. All columns are kept.
     """
     groups = near_duplicates(docs)
     keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     first = F.row_number().over(Window.partitionBy("_keep").orderBy(F.lit(1)))
-    named = docs.join(keep, docs.doc_id == keep._keep).withColumn("_row", first).filter("_row = 1").drop("_row", "_keep")
-    bare = docs.filter("doc_id is null")
-    lone = cut(groups.filter("doc_id is null and component_id is null").select("fp").distinct())
-    marked = bare.withColumn("_fp", F.arrow_udf(_fingerprint_column, "long")(F.col("text")))
-    kept = marked.join(lone, marked._fp == lone.fp, "left_semi").drop("_fp")
-    return named.unionByName(kept)
-
-
-def _fingerprint_column(text: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t.encode()) if t is not None else 0 for t in text.to_pylist()], np.uint64).view(np.int64))
+    named = rows.join(keep, F.col("_id") == F.col("_keep")).withColumn("_turn", first).filter("_turn = 1").select("_row.*")
+    lone = groups.filter("doc_id is null and component_id is null").select("fp").distinct()
+    bare = rows.filter("_id is null").withColumn("_fp", F.arrow_udf(sliced(_marks), "long")(F.col("_text")))
+    return named.union(bare.join(lone, F.col("_fp") == F.col("fp"), "left_semi").select("_row.*"))
