@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import chat, decontaminate, langid, licences, lm, mixing, repeats, sharding, simhash, topk
+from . import chat, decontaminate, langid, licences, lm, mixing, oracles, repeats, sharding, simhash, topk
 from .common import table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracles.SQL)
 N_SHARDS = 16
 
 
@@ -55,8 +55,7 @@ def op5_segment_topk(spark, sf_dir):
 
 @query
 def op6_bwt_dedup(spark, sf_dir):
-    cleaned = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return repeats.report(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -4,8 +4,8 @@ A string of ``LENGTH`` bytes is removed wherever it starts more than once in the
 
 1. *Anchors.* In every LENGTH-byte window the ``GRAM``-byte string with the smallest hash (leftmost on ties) is its anchor. Equal
    windows have equal anchors at equal offsets, so windows whose anchor occurs once are unique, and all others meet by anchor.
-   An anchor's *region* is the text of all its windows.
-2. *Merging.* Within an anchor bucket each region is a shard with its own transform; symbols are blocks of ``STEP`` bytes, so a
+   An anchor's *region* is the text of all its windows; a region that occurs again as a whole is repeated as a whole.
+2. *Merging.* Within an anchor bucket each distinct region is a shard with its own transform; symbols are blocks of ``STEP`` bytes, so a
    suffix's predecessor starts STEP bytes earlier. The interleave of all shards starts sorted by one block. Each round takes every
    suffix's preceding symbol in the present order and deals the predecessors stably by it (the last-to-first step), which sorts by
    one block more; no suffix is compared or sorted anew. A class of the interleave after round r shares r blocks (its common prefix),
@@ -17,20 +17,22 @@ The interleave holds suffix numbers rather than shard numbers, so a shard needs
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import checkpoint_dir, cut
+from .common import partitions, slices
 
 LENGTH, STEP, GRAM = 200, 25, 32
 WINDOW = LENGTH - GRAM + 1
-#: Regions of an anchor beyond this number meet window by window instead: counted, never gathered.
-CROWD = 20_000
-BUCKET_BYTES = 6 << 20
-_PIECE = 1 << 20
+#: Distinct regions of an anchor beyond this number meet window by window instead: counted, never gathered.
+CROWD = 8_000
+BUCKET_BYTES = 3 << 19
+_PIECE = 1 << 19
 _INDEX = np.uint64((1 << 24) - 1)
 
 
@@ -44,17 +46,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` bytes from every position, by doubling."""
-    out, at, h, size = None, 0, _BYTE[raw], 1
-    count = len(raw) - length + 1
+def string_hashes(raw: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """Hashes of the strings of each length from every position, by doubling; lengths beyond the text give empty arrays."""
+    out = [None] * len(lengths)
+    at, h, size = [0] * len(lengths), _BYTE[raw], 1
     while True:
-        if length & size:
-            part = h[at:at + count]
-            out = part.copy() if out is None else _mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
-            at += size
-        if size * 2 > length:
-            return _mix(out)
+        for i, length in enumerate(lengths):
+            if length & size:
+                part = h[at[i]:at[i] + max(0, len(raw) - length + 1)]
+                out[i] = part.copy() if out[i] is None else _mix(out[i] * np.uint64(0x9E3779B97F4A7C15) + part)
+                at[i] += size
+        if size * 2 > max(lengths) or len(h) <= size:
+            return [_mix(x) if x is not None else np.zeros(0, np.uint64) for x in out]
         h = h[:-size] * np.uint64(0xD1342543DE82EF95 + 2 * size) + (h[size:] ^ (h[size:] >> np.uint64(29)))
         size *= 2
 
@@ -67,57 +70,52 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - size)], x[width - size:]) if width > size else x
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(class, place) of each anchor; place packs the first window start, the last one's distance and the anchor's distance."""
-    classes, places = [], []
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, region, place) of each anchor; region names the region's text (its first and last window cover it), place packs the
+    first window start and the distance of the last one."""
+    found = []
     for at in range(0, len(text) - LENGTH + 1, _PIECE):
         raw = np.frombuffer(text[at:at + _PIECE + LENGTH - 1], np.uint8)
-        h = string_hashes(raw, GRAM)
-        chosen = (_sliding_min((h & ~_INDEX) | np.arange(len(h), dtype=np.uint64), WINDOW) & _INDEX).astype(np.int64)
+        gram, window = string_hashes(raw, GRAM, LENGTH)
+        chosen = (_sliding_min((gram & ~_INDEX) | np.arange(len(gram), dtype=np.uint64), WINDOW) & _INDEX).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1))
         last = np.concatenate((first[1:], [len(chosen)])) - 1
-        where = chosen[first]
-        classes.append(h[where].view(np.int64))
-        places.append((first + at) << 16 | (last - first) << 8 | (where - first))
-    if not classes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(classes), np.concatenate(places)
-
-
-def _packed_anchors(batches):
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        rows = []
-        for t in texts:
-            raw = t.encode()
-            cls, place = anchors(raw)
-            rows.append((xxhash.xxh64_intdigest(raw, 42), len(raw), cls.tobytes() + place.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int64()),
-                                          pa.array([r[2] for r in rows], pa.binary())], ["h", "n", "anchors"])
-
-
-def _unpacked(batches):
-    for batch in batches:
-        h, n, copies = (batch.column(i).to_numpy() for i in (0, 1, 3))
-        raw = batch.column(2).to_pylist()
-        sizes = np.array([len(r) // 16 for r in raw], np.int64)
-        cls = np.concatenate([np.frombuffer(r, np.int64)[:s] for r, s in zip(raw, sizes)]) if len(raw) else np.zeros(0, np.int64)
-        place = np.concatenate([np.frombuffer(r, np.int64)[s:] for r, s in zip(raw, sizes)]) if len(raw) else np.zeros(0, np.int64)
-        for at in range(0, len(cls), 1 << 16):
-            to = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[to]) for x in (cls, np.repeat(h, sizes), np.repeat(n, sizes), place, np.repeat(copies, sizes))],
-                                             ["cls", "h", "n", "place", "copies"])
+        more = last - first
+        region = _mix(window[first] * np.uint64(0x9E3779B97F4A7C15) + window[last] + more.astype(np.uint64))
+        found.append((gram[chosen[first]].view(np.int64), region.view(np.int64), (first + at) << 8 | more))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _all_anchors(batches):
+    """(cls, region, h, n, places, copies) of (h, n, copies, text): one row per distinct region of a text, with all its places."""
+    for batch in slices(batches):
+        rows: list[list] = [[] for _ in range(6)]
+        for h, n, copies, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            cls, region, place = anchors(text.encode())
+            order = np.argsort(region, kind="stable")
+            region, place = region[order], place[order]
+            start = np.concatenate(([0], np.flatnonzero(region[1:] != region[:-1]) + 1)) if len(region) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate((start, [len(region)])))
+            for column, values in zip(rows, (cls[order][start], region[start], np.full(len(start), h), np.full(len(start), n), times, times * copies)):
+                column.append(values)
+            rows[4][-1] = (times, place)
+        if not rows[0]:
+            continue
+        cls, region, h, n = (pa.array(np.concatenate(x)) for x in rows[:4])
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate([t for t, _ in rows[4]])))).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p for _, p in rows[4]])))
+        yield pa.RecordBatch.from_arrays([cls, region, h, n, places, pa.array(np.concatenate(rows[5]))], ["cls", "region", "h", "n", "places", "copies"])
 
 
 def _regions(batches):
-    """(cls, h, n, start, copies, region) of every kept anchor; many small batches, as regions repeat much of the text."""
-    for batch in batches:
+    """(cls, h, n, start, copies, region) of every chosen region; many small batches, as regions repeat much of the text."""
+    for batch in slices(batches):
         out, size = [], 0
-        for h, n, copies, text, kept in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for h, n, text, chosen in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = text.encode()
-            for a in kept:
-                start, more = a["place"] >> 16, (a["place"] >> 8) & 255
-                out.append((a["cls"], h, n, start, copies, raw[start:start + more + LENGTH]))
+            for r in chosen:
+                start, more = r["place"] >> 8, r["place"] & 255
+                out.append((r["cls"], h, n, start, r["copies"], raw[start:start + more + LENGTH]))
                 size += more + LENGTH
                 if size > 4 << 20:
                     yield _region_batch(out)
@@ -138,14 +136,14 @@ def repeated_starts(regions: list[bytes]) -> np.ndarray:
     sizes = np.array([len(r) for r in regions], np.int64)
     ends = np.cumsum(sizes)
     raw = np.frombuffer(b"".join(regions), np.uint8)
-    begin = np.repeat(ends - sizes, sizes)
-    room = np.repeat(ends, sizes) - np.arange(len(raw))
+    begin = np.repeat((ends - sizes).astype(np.int32), sizes)
+    room = np.repeat(ends.astype(np.int32), sizes) - np.arange(len(raw), dtype=np.int32)
     hit = np.zeros(len(raw), bool)
     if len(raw) < STEP:
         return hit
-    blocks, symbol = np.unique(string_hashes(raw, STEP), return_inverse=True)
-    symbol = symbol.astype(np.uint64)
+    symbol = np.unique(string_hashes(raw, STEP)[0], return_inverse=True)[1].astype(np.uint64)
     at = np.flatnonzero(room >= STEP)
+    del room
     order = at[np.argsort(symbol[at], kind="stable")]  # the first interleave: sorted by one block
     key = symbol[order]
     for _ in range(LENGTH // STEP - 1):
@@ -168,7 +166,7 @@ def repeated_starts(regions: list[bytes]) -> np.ndarray:
 def _merged_buckets(batches):
     """(h, n, begin, end) of the repeated intervals; rows come sorted by class, and a bucket holds whole classes."""
     rows, size, last = [], 0, None
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if size > BUCKET_BYTES and row[0] != last:
                 yield _intervals(rows)
@@ -181,103 +179,129 @@ def _merged_buckets(batches):
 
 
 def _intervals(rows):
-    number: dict[bytes, int] = {}
-    weight: list[int] = []
-    for row in rows:
-        i = number.setdefault(row[5], len(number))
-        if i == len(weight):
-            weight.append(0)
-        weight[i] += row[4]
-    regions = list(number)
-    hit = repeated_starts(regions)
-    runs, at = [], 0
-    for region, w in zip(regions, weight):
-        windows = len(region) - LENGTH + 1
-        if w > 1:  # the whole region occurs again
-            runs.append([(0, windows)])
-        else:
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[at:at + windows].view(np.int8), [0]))))
-            runs.append(list(zip(edge[::2].tolist(), edge[1::2].tolist())))
+    """Repeated intervals of the regions that occur once; those that occur again are known to be repeated as a whole."""
+    hit = repeated_starts([r[5] for r in rows])
+    out, at = [], 0
+    for _, h, n, start, copies, region in rows:
+        if copies == 1:
+            windows = hit[at:at + len(region) - LENGTH + 1]
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], windows.view(np.int8), [0])))).tolist()
+            out += [(h, n, start + a, start + b - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2])]
         at += len(region)
-    out = [(h, n, start + a, start + b - 1 + LENGTH) for _, h, n, start, _, region in rows for a, b in runs[number[region]]]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["h", "n", "begin", "end"])
 
 
 def _windows(batches):
-    """(mark1, mark2, h, n, begin, copies) of every single window of crowded anchors."""
-    for batch in batches:
+    """(m1, m2, h, n, begin, copies) of every single window of crowded anchors, named by two hashes."""
+    for batch in slices(batches):
         for _, h, n, start, copies, region in zip(*(batch.column(i).to_pylist() for i in range(6))):
             raw = np.frombuffer(region, np.uint8)
-            one = string_hashes(raw, LENGTH).view(np.int64)
-            two = string_hashes(raw ^ np.uint8(0x5A), LENGTH).view(np.int64)
+            one, two = (string_hashes(x, LENGTH)[0].view(np.int64) for x in (raw, raw ^ np.uint8(0x5A)))
             k = len(one)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(k, h)), pa.array(np.full(k, n)),
                                               pa.array(start + np.arange(k)), pa.array(np.full(k, copies))], ["m1", "m2", "h", "n", "begin", "copies"])
 
 
-def intervals(docs: DataFrame) -> DataFrame:
-    """(h, n, spans): the repeated intervals [begin, end) of each distinct text, named by its XXH64 and byte length; spans may overlap."""
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(h, n, copies, text) of every distinct text of LENGTH bytes or more, named by XXH64 and byte length.
+
+    Copies collapse here, before anything is taken apart. The table is written once, bucketed by name, so that later joins by name
+    move the other side only; its entry in the catalogue is dropped again, the files stay in the shared checkpoint folder.
+    """
+    spark = docs.sparkSession
     text = F.col("text").cast("string")
     long_ = docs.select(text.alias("text")).filter(F.octet_length("text") >= LENGTH)
-    packed = long_.mapInArrow(_packed_anchors, "h long, n long, anchors binary")
-    # copies collapse before anything is exploded: one row per distinct text from here on
-    slim = cut(packed.groupBy("h", "n").agg(F.first("anchors").alias("anchors"), F.count(F.lit(1)).alias("copies")))
-    found = slim.mapInArrow(_unpacked, "cls long, h long, n long, place long, copies long")
-    totals = found.groupBy("cls").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("m")).filter("c > 1")
-    crowded = F.col("m") > CROWD
-    kept = found.join(totals, "cls").select("h", "n", F.struct("cls", "place", crowded.alias("crowded")).alias("a"))
-    lists = kept.groupBy("h", "n").agg(F.collect_list("a").alias("kept"))
-    texts = long_.groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n")).agg(
-        F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    lists = cut(lists)
-    near = texts.join(lists, ["h", "n"]).select("h", "n", "copies", "text", "kept")
-    form = "cls long, h long, n long, start long, copies long, region binary"
-
-    def of(flag: bool):
-        chosen = F.transform(F.filter("kept", lambda a: a["crowded"] == flag), lambda a: F.struct(a["cls"].alias("cls"), a["place"].alias("place")))
-        return near.select("h", "n", "copies", "text", chosen.alias("kept")).filter(F.size("kept") > 0).mapInArrow(_regions, form)
-
-    found = of(False).repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged_buckets, "h long, n long, begin long, end long")
-    if lists.filter(F.exists("kept", lambda a: a["crowded"])).limit(1).count():
-        windows = cut(of(True).mapInArrow(_windows, "m1 long, m2 long, h long, n long, begin long, copies long"))
-        again = windows.groupBy("m1", "m2").agg(F.sum("copies").alias("c")).filter("c > 1").select("m1", "m2")
-        found = found.union(windows.join(again, ["m1", "m2"]).select("h", "n", "begin", (F.col("begin") + LENGTH).alias("end")))
-    return found.groupBy("h", "n").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    named = long_.groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n")).agg(
+        F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    name = f"texts_{uuid.uuid4().hex}"
+    named.write.bucketBy(partitions(spark), "h", "n").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def intervals(texts: DataFrame) -> DataFrame:
+    """(h, n, spans): the repeated intervals [begin, end) of each of ``distinct_texts``; spans may overlap.
+
+    Equal regions are counted first, so only one region of each kind is merged with the others of its anchor.
+    """
+    found = cut(texts.mapInArrow(_all_anchors, "cls long, region long, h long, n long, places array<long>, copies long"))
+    kinds = cut(found.groupBy("cls", "region").agg(F.sum("copies").alias("copies"), F.min(F.struct("h", "n", F.col("places")[0].alias("place"))).alias("one")))
+    again = kinds.filter("copies > 1").select("cls", "region")
+    whole = found.join(again, ["cls", "region"]).select("h", "n", F.explode("places").alias("place")).select(
+        "h", "n", F.shiftright("place", 8).alias("begin"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + LENGTH).alias("end"))
+
+    crowds = kinds.groupBy("cls").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    mixed = kinds.join(crowds, "cls").select("one.h", "one.n", (F.col("m") > CROWD).alias("crowded"), F.struct("cls", "one.place", "copies").alias("r"))
+    lists = cut(mixed.groupBy("h", "n", "crowded").agg(F.collect_list("r").alias("chosen")))
+
+    def of(flag: bool) -> DataFrame:
+        near = texts.join(lists.filter(F.col("crowded") == flag), ["h", "n"]).select("h", "n", "text", "chosen")
+        return near.mapInArrow(_regions, "cls long, h long, n long, start long, copies long, region binary")
+
+    spans = whole.union(of(False).repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged_buckets, "h long, n long, begin long, end long"))
+    if lists.filter("crowded").limit(1).count():
+        windows = of(True).mapInArrow(_windows, "m1 long, m2 long, h long, n long, begin long, copies long")
+        repeated = windows.groupBy("m1", "m2").agg(F.sum("copies").alias("c")).filter("c > 1").select("m1", "m2")
+        spans = spans.union(windows.join(repeated, ["m1", "m2"]).select("h", "n", "begin", (F.col("begin") + LENGTH).alias("end")))
+    return spans.groupBy("h", "n").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 _OUT = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
 def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, found in zip(text.to_pylist(), spans.to_pylist()):
-        if not found:
+    """What is left of each text outside its spans; null where there are none."""
+    out, starts = [], spans.offsets.to_numpy()
+    begins, ends = (spans.values.field(i).to_numpy() for i in (0, 1))
+    for i in range(len(text)):
+        if not spans[i].is_valid or starts[i] == starts[i + 1]:
             out.append(None)
             continue
-        raw, kept, at, n = t.encode(), [], 0, 0
-        runs: list[list[int]] = []
-        for s in sorted(found, key=lambda s: s["begin"]):
-            if runs and s["begin"] <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], s["end"])
-            else:
-                runs.append([s["begin"], s["end"]])
-        for begin, end in runs:
-            kept.append(raw[at:begin])
-            at, n = end, n + end - begin
-        out.append({"n_removed": n, "n_spans": len(runs), "kept": b"".join([*kept, raw[at:]])})
+        raw, at = text[i].as_py().encode(), slice(starts[i], starts[i + 1])
+        order = np.argsort(begins[at], kind="stable")
+        begin, reach = begins[at][order], np.maximum.accumulate(ends[at][order])
+        first = np.concatenate(([0], np.flatnonzero(begin[1:] > reach[:-1]) + 1))
+        runs = list(zip(begin[first].tolist(), reach[np.concatenate((first[1:], [len(begin)])) - 1].tolist()))
+        edges = [0, *(x for run in runs for x in run), len(raw)]
+        out.append({"n_removed": sum(b - a for a, b in runs), "n_spans": len(runs), "kept": b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))})
     return pa.array(out, _OUT)
 
 
+def cleaned_texts(docs: DataFrame) -> DataFrame:
+    """(h, n, n_removed, n_spans, kept) of every distinct text of LENGTH bytes or more; kept is binary, as cuts may split characters."""
+    texts = distinct_texts(docs)
+    cut_out = F.arrow_udf(_without, "struct<n_removed: long, n_spans: long, kept: binary>")
+    rows = texts.join(intervals(texts), ["h", "n"], "left").withColumn("_out", cut_out(F.col("text"), F.col("spans")))
+    none = F.lit(0).cast("long")
+    return rows.select("h", "n", F.coalesce("_out.n_removed", none).alias("n_removed"), F.coalesce("_out.n_spans", none).alias("n_spans"),
+                       F.coalesce("_out.kept", F.col("text").cast("binary")).alias("kept"))
+
+
+def _named(docs: DataFrame, *columns) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(*columns, F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept (binary): every whole text without its repeated strings of LENGTH bytes.
 
     A byte goes if a LENGTH-byte string over it also starts anywhere else in the corpus, the same text included; strings are judged
     on the input. Null and empty texts have no bytes; repeated rows are copies of each other. Columns with these names are replaced.
     """
-    rows = docs.withColumns({"_h": F.xxhash64(F.col("text").cast("string")), "_n": F.octet_length(F.col("text").cast("string")).cast("long")})
-    joined = rows.join(intervals(docs).select(F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("spans").alias("_spans")), ["_h", "_n"], "left")
-    cleaned = joined.withColumn("_out", F.arrow_udf(_without, "struct<n_removed: long, n_spans: long, kept: binary>")(F.col("text").cast("string"), F.col("_spans")))
-    whole = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return cleaned.withColumns({"n_bytes": F.coalesce("_n", F.lit(0)).cast("long"), "n_removed": F.coalesce(F.col("_out.n_removed"), F.lit(0).cast("long")),
-                                "n_spans": F.coalesce(F.col("_out.n_spans"), F.lit(0).cast("long")),
-                                "kept": F.coalesce(F.col("_out.kept"), whole)}).drop("_h", "_n", "_spans", "_out")
+    rows = _named(docs, F.struct("*").alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_raw"))
+    joined = rows.join(cleaned_texts(docs), ["h", "n"], "left")
+    none = F.lit(0).cast("long")
+    added = {"n_bytes": F.coalesce("n", none), "n_removed": F.coalesce("n_removed", none), "n_spans": F.coalesce("n_spans", none), "kept": F.coalesce("kept", "_raw")}
+    return joined.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in added], *[v.alias(k) for k, v in added.items()])
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): ``remove_repeats`` with a digest instead of the bytes, so that no text moves again."""
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = _named(docs, "doc_id", F.when(F.octet_length(raw) < LENGTH, F.sha2(raw, 256)).alias("_sha"))
+    digests = cleaned_texts(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    none = F.lit(0).cast("long")
+    return rows.join(digests, ["h", "n"], "left").select("doc_id", F.coalesce("n", none).alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"),
+                                                         F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256"))
