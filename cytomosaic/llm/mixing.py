@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, ROUNDS = 1.5, 2
 SEED = "mix-0"
 #: Rows that one window of the running sums holds, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8_000
 
 
 def n_words(text):
