@@ -24,7 +24,8 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     """(row, position): every row of ``docs`` as a struct with its position 0 to n - 1 in the shuffled order.
 
     First pass: doc_id and seed decide the bucket; buckets that repeated ids have made heavy are split by row position, so no
-    group of equal rows meets in one task. Second pass: Fisher-Yates within each bucket.
+    group of equal rows meets in one task. Second pass: Fisher-Yates within each bucket. Reruns agree, unless ids repeat so often that
+    a bucket was split, or a map column keeps rows from being ordered.
     """
     n, buckets = _bucket_count(docs, bucket_bytes)
     home = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(buckets))
@@ -37,9 +38,13 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
         again = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.coalesce(ways[home], F.lit(1)))
     else:
         again = F.lit(0).cast("long")
-    scattered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(home.alias("b"), again.alias("s")).alias("bucket"))
-    arrays = scattered.groupBy("bucket").agg(F.collect_list("row").alias("rows"))
-    mixed = arrays.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64("doc_id", "text")
+    scattered = docs.select(F.struct(key.alias("key"), whole.alias("row")).alias("item"), F.struct(home.alias("b"), again.alias("s")).alias("bucket"))
+    arrays = scattered.groupBy("bucket").agg(F.collect_list("item").alias("items"))
+    # rows arrive in any order: sorted, the seed alone decides the permutation, on a rerun or after a lost executor too
+    ordered = F.array_sort("items") if "map<" not in docs.schema.simpleString() else F.col("items")
+    mixed = arrays.select("bucket", F.transform(F.shuffle(ordered, F.lit(seed)), lambda x: x["row"]).alias("rows"))
     counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("bucket").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
