@@ -33,7 +33,7 @@ def modularity(edges: DataFrame, labels: DataFrame, by: list[str] | None = None,
 def communities(edges: DataFrame, variants: DataFrame, seed: int = 42) -> DataFrame:
     """Modularity communities (resolution ``gamma``) per variant as (variant, cell_id, label).
 
-    ``edges``: (variant, src, dst, weight), symmetric. ``variants``: (variant, gamma). Local moving with one random half of
+    ``edges``: (variant, src, dst, weight), symmetric. ``variants``: (variant, gamma). Local moving with two random thirds of
     the nodes per round, then contraction; a level is kept only where it raises the modularity. Every variant stops by itself,
     when its rounds no longer raise its modularity, so its labels do not depend on the variants it runs with. Labels are numbered by size,
     largest first.
@@ -70,46 +70,53 @@ def number_by_size(members: DataFrame) -> DataFrame:
     return members.join(size.select("variant", "raw", rank.cast("string").alias("label")), ["variant", "raw"]).select("variant", "cell_id", "label")
 
 
-#: Rounds without a rise of its modularity after which a variant is at rest: each half of the nodes has had its turn.
+#: Rounds without a rise of its modularity after which a variant is at rest.
 QUIET = 2
 #: A level needs a dozen rounds or so; beyond this many something is wrong, and the run fails rather than returning half a result.
 GUARD = 1000
 
 
+def _with_totals(state: DataFrame) -> DataFrame:
+    """Attach the total degree of each node's community."""
+    totals = state.groupBy("variant", "comm").agg(F.sum("k").alias("tot"))
+    return state.join(totals, ["variant", "comm"])
+
+
 def _local_moving(graph: DataFrame, scale: DataFrame, seed: int) -> DataFrame:
     """(variant, node, comm) after moving nodes to their best neighbouring community until rounds no longer raise the modularity.
 
-    Every variant keeps its best state and leaves the loop by itself: when none of its nodes wants to move, or when both halves
-    have moved without a rise.
+    Every variant keeps its best state and leaves the loop by itself: when none of its nodes wants to move, or after QUIET rounds
+    without a rise.
     """
     degree = graph.groupBy("variant", F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
-    state = cut(degree.withColumn("comm", F.col("node")))
-    links_of = graph.filter("src <> dst")
+    state = cut(_with_totals(degree.withColumn("comm", F.col("node"))))
+    links_of = cut(graph.filter("src <> dst").join(degree.withColumnRenamed("node", "src"), ["variant", "src"]).select(
+        "variant", F.col("src").alias("node"), "dst", "weight", "k"))
     facts = {r.variant: (r.m2, r.gamma) for r in scale.collect()}  # one row per variant
+    level = F.broadcast(scale)
     best: dict[str, tuple] = {}
     quiet: dict[str, int] = {}
     settled: list[tuple] = []
     for r in range(GUARD):
-        totals = state.groupBy("variant", "comm").agg(F.sum("k").alias("tot"))
-        other = state.select("variant", F.col("node").alias("dst"), F.col("comm"))
-        links = links_of.join(other, ["variant", "dst"]).groupBy("variant", F.col("src").alias("node"), "comm").agg(
-            F.sum("weight").alias("k_in"))
-        stay = state.select("variant", "node", "comm", F.lit(0.0).alias("k_in"))
-        options = links.unionByName(stay).groupBy("variant", "node", "comm").agg(F.sum("k_in").alias("k_in"))
-        own = state.select("variant", "node", "k", F.col("comm").alias("own"))
-        scored = options.join(own, ["variant", "node"]).join(totals, ["variant", "comm"]).join(scale, "variant")
-        here = F.col("comm") == F.col("own")
-        rest = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
+        # a neighbour brings its community and that community's total, so the options of a node need no further join
+        other = state.select("variant", F.col("node").alias("dst"), "comm", "tot")
+        links = links_of.join(other, ["variant", "dst"]).select("variant", "node", "comm", "k", "tot", "weight", F.lit(False).alias("here"))
+        stay = state.select("variant", "node", "comm", "k", "tot", F.lit(0.0).alias("weight"), F.lit(True).alias("here"))
+        # dealt by node once: both groupings below follow that partitioning
+        options = links.unionByName(stay).repartition("variant", "node").groupBy("variant", "node", "comm").agg(
+            F.max("k").alias("k"), F.max("tot").alias("tot"), F.sum("weight").alias("k_in"), F.max("here").alias("here"))
+        rest = F.col("tot") - F.when(F.col("here"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("k_in") - F.col("gamma") * F.col("k") * rest / F.col("m2"), SCALE)
         # ties stay; otherwise the larger hash wins, which keeps the result independent of the layout
-        pick = F.max_by(F.struct("comm", "own", "k"), F.struct(gain, here.cast("int"), F.xxhash64(F.lit(seed), "comm")))
-        chosen = scored.groupBy("variant", "node").agg(pick.alias("b"), F.max(F.when(here, F.col("k_in"))).alias("inside"), F.max(F.when(here, F.col("tot"))).alias("tot"))
-        turn = F.pmod(F.xxhash64(F.lit(seed + r), "node"), F.lit(2)) == 0  # a fresh half each round breaks swaps
-        wants = F.col("b.comm") != F.col("b.own")
-        moved = cut(chosen.select("variant", "node", F.col("b.k").alias("k"), F.when(turn, F.col("b.comm")).otherwise(F.col("b.own")).alias("comm"),
-                                  wants.alias("wants"), "inside", "tot"))
+        pick = F.max_by("comm", F.struct(gain, F.col("here").cast("int"), F.xxhash64(F.lit(seed), "comm")))
+        mine = lambda c: F.max(F.when(F.col("here"), F.col(c)))
+        chosen = options.join(level, "variant").groupBy("variant", "node").agg(
+            F.max("k").alias("k"), pick.alias("to"), mine("comm").alias("own"), mine("k_in").alias("inside"), mine("tot").alias("was"))
+        turn = F.pmod(F.xxhash64(F.lit(seed + r), "node"), F.lit(3)) > 0  # a third stays put each round, a fresh one: it breaks swaps
+        moved = cut(_with_totals(chosen.select("variant", "node", "k", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("comm"),
+                                               (F.col("to") != F.col("own")).alias("wants"), "inside", "was")))
         done = []
-        for row in moved.groupBy("variant").agg(F.count_if("wants").alias("n"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("t2")).collect():
+        for row in moved.groupBy("variant").agg(F.count_if("wants").alias("n"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("was")).alias("t2")).collect():
             m2, gamma = facts[row.variant]
             q = row.inside / m2 - gamma * row.t2 / (m2 * m2)  # of the state before this round; loops add the same to every round
             if row.variant not in best or q > best[row.variant][0] + 1e-9:
