@@ -70,8 +70,8 @@ def number_by_size(members: DataFrame) -> DataFrame:
     return members.join(size.select("variant", "raw", rank.cast("string").alias("label")), ["variant", "raw"]).select("variant", "cell_id", "label")
 
 
-#: Rounds without a rise of its modularity after which a variant is at rest.
-QUIET = 2
+#: A round that raises a variant's modularity by no more than RISE is quiet; after QUIET of them in a row the variant is at rest.
+RISE, QUIET = 1e-4, 1
 #: A level needs a dozen rounds or so; beyond this many something is wrong, and the run fails rather than returning half a result.
 GUARD = 1000
 
@@ -119,7 +119,7 @@ def _local_moving(graph: DataFrame, scale: DataFrame, seed: int) -> DataFrame:
         for row in moved.groupBy("variant").agg(F.count_if("wants").alias("n"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("was")).alias("t2")).collect():
             m2, gamma = facts[row.variant]
             q = row.inside / m2 - gamma * row.t2 / (m2 * m2)  # of the state before this round; loops add the same to every round
-            if row.variant not in best or q > best[row.variant][0] + 1e-9:
+            if row.variant not in best or q > best[row.variant][0] + RISE:
                 best[row.variant], quiet[row.variant] = (q, state), 0
             else:
                 quiet[row.variant] += 1
