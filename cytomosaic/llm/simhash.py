@@ -55,12 +55,14 @@ def _marks(texts):
 
 def _fingerprints(batches):
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), _marks(batch.column(1).to_pylist())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _marks(batch.column(2).to_pylist())], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; a null or wordless text has fingerprint 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, mark, fp) of every row; mark is a hash of the text; a null or wordless text has fingerprint 0."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(
+        _fingerprints, "doc_id long, mark long, fp long")
 
 
 def _keys(batches):
@@ -179,25 +181,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Every row is returned, repeated rows too; rows without doc_id take part and get their group's smallest id (null if no row
     of the group has one). Null, empty and wordless texts share fingerprint 0. Other columns are ignored.
     """
+    return _grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, fp, component, component_id); component is a fingerprint of the group, the same for all its rows."""
     marks = cut(fingerprints(docs))
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = components(link_edges(distinct))
     named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return marks.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = named.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
+    return marks.join(labels, "fp").select("doc_id", "mark", "fp", "component", "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without their near-duplicates: of each group the row with the smallest doc_id stays.
+    """The rows of ``docs`` without their near-duplicates: of each group one row stays, that with the smallest doc_id.
 
-    Of repeated rows with that id one stays. A row without doc_id stays unless its group has a row with one. All columns are kept.
+    Rows without doc_id come after those with one, ties go by a hash of the text, and of wholly equal choices one row stays.
+    Rows that share a doc_id but belong to different groups are kept apart. All columns are kept.
     """
-    groups = near_duplicates(docs)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    first = F.row_number().over(Window.partitionBy("_keep").orderBy(F.lit(1)))
-    named = rows.join(keep, F.col("_id") == F.col("_keep")).withColumn("_turn", first).filter("_turn = 1").select("_row.*")
-    lone = groups.filter("doc_id is null and component_id is null").select("fp").distinct()
-    bare = rows.filter("_id is null").withColumn("_fp", F.arrow_udf(sliced(_marks), "long")(F.col("_text")))
-    return named.union(bare.join(lone, F.col("_fp") == F.col("fp"), "left_semi").select("_row.*"))
+    rank = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")
+    keep = _grouped(docs).groupBy("component").agg(F.min(rank).alias("one")).select(F.col("one.doc_id").alias("_keep"), F.col("one.mark").alias("_mark"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    named = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_mark")))
+    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(1)))
+    return named.withColumn("_turn", first).filter("_turn = 1").select("_row.*")
