@@ -66,10 +66,9 @@ RULES = [
 ]
 # ---- end of fixed values -----------------------------------------------------------------------------------------
 
-#: A sentence ends at a line feed, or at . ! ? ; : before white space.
-BREAK = r"[.!?;:]+[\x20\x09-\x0D]+|\n"
-#: Upper bound of a sentence that can be known; longer ones are not normalised.
-LONGEST = max(map(len, SENTENCES.values())) * 2
+#: A sentence ends at . ! ? ; : before white space, or at a line without letters and digits. Other line feeds end it unless it
+#: is known with the lines that follow: licence texts are often wrapped.
+BREAK = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x09-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*\n"
 
 
 def known_sentences() -> dict[str, str]:
@@ -94,9 +93,11 @@ def identified(docs: DataFrame) -> DataFrame:
     pairs = sorted(known_sentences().items())
     known = spark.createDataFrame(pairs, "sentence string, sid string")  # a fixed list: safe to broadcast
     rows = docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
-    parts = rows.select("doc_id", "mark", F.posexplode(F.split("text", BREAK)).alias("at", "part"))
-    short = parts.filter(F.length("part").between(8, LONGEST)).select("doc_id", "mark", "at", normalised(F.col("part")).alias("sentence"))
-    return short.join(F.broadcast(known), "sentence").select("doc_id", "mark", "at", "sid")
+    names = [sentence for sentence, _ in pairs]
+    lines = F.transform(F.split("text", BREAK), lambda p: F.when(p.contains("\n") & ~normalised(p).isin(names), F.split(p, "\n")).otherwise(F.array(p)))
+    parts = rows.select("doc_id", "mark", F.posexplode(F.flatten(lines)).alias("at", "part"))
+    sentences = parts.select("doc_id", "mark", "at", normalised(F.col("part")).alias("sentence"))
+    return sentences.join(F.broadcast(known), "sentence").select("doc_id", "mark", "at", "sid")
 
 
 def sequences(found: DataFrame) -> DataFrame:

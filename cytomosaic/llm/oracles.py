@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import SEGMENT
-from .licences import BREAK, LONGEST, RULES, known_sentences
+from .licences import BREAK, RULES, known_sentences
 from .lm import BACKOFF, MIN_COUNT, ORDER
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,12 +15,15 @@ def _values(rows) -> str:
 
 def licences() -> str:
     rules = [(i + 1, licence, "".join(f",{sid}," for sid in needed)) for i, (licence, needed) in enumerate(RULES)]
+    normal = f"trim(regexp_replace(translate({{}}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    names = ", ".join(f"'{x}'" for x in known_sentences())
     return f"""
 WITH RECURSIVE known(sentence, sid) AS (VALUES {_values(sorted(known_sentences().items()))}), rules(k, licence, needed) AS (VALUES {_values(rules)}),
- texts AS (SELECT DISTINCT doc_id, md5(text) AS mark, string_split_regex(text, '{BREAK}') AS l FROM documents WHERE text IS NOT NULL),
+ texts AS (SELECT DISTINCT doc_id, md5(text) AS mark, flatten(list_transform(string_split_regex(text, '{BREAK}'), lambda p:
+   CASE WHEN contains(p, chr(10)) AND {normal.format('p')} NOT IN ({names}) THEN string_split(p, chr(10)) ELSE [p] END)) AS l FROM documents WHERE text IS NOT NULL),
  parts AS (SELECT doc_id, mark, i AS pos, l[i] AS part FROM texts, unnest(range(1, len(l) + 1)) AS u(i)),
  found AS (SELECT doc_id, mark, pos, sid FROM (
-   SELECT *, trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM parts WHERE length(part) BETWEEN 8 AND {LONGEST})
+   SELECT *, {normal.format('part')} AS sentence FROM parts)
   JOIN known USING (sentence)),
  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, mark ORDER BY pos) AS run FROM found),
  seqs AS (SELECT doc_id, mark, min(pos) AS first, ',' || string_agg(sid, ',,' ORDER BY pos) || ',' AS sids FROM runs GROUP BY doc_id, mark, run),
