@@ -73,6 +73,28 @@ def sliced(make):
     return chosen
 
 
+#: Ranges whose totals meet in one window; the totals of such spans of ranges are summed once more.
+SPAN = 4096
+
+
+def range_starts(totals: DataFrame, keys: list[str], bucket: str, value: str) -> DataFrame:
+    """``totals`` (one row per key and range) with ``_start``: the sum of ``value`` over the key's earlier ranges.
+
+    Two levels: ranges within a span of SPAN range numbers, then spans, so a window holds few rows even for millions of ranges.
+    """
+    part = totals.withColumn("_span", F.floor(F.col(bucket) / SPAN))
+    ahead = lambda order, *more: Window.partitionBy(*keys, *more).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    spans = part.groupBy(*keys, "_span").agg(F.sum(value).alias("_sum"))
+    spans = spans.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"),
+                         F.coalesce(F.sum("_sum").over(ahead("_span", F.lit(0))), F.lit(0)).alias("_base"))
+    same = F.col("_span") == F.col("_s")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.coalesce(F.sum(value).over(ahead(bucket, "_span")), F.lit(0))
+    joined = part.withColumn("_inside", inside).join(spans, same)
+    return joined.withColumn("_start", F.col("_base") + F.col("_inside")).drop("_span", "_s", "_base", "_inside", *[f"_g{i}" for i in range(len(keys))])
+
+
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str, out: str) -> DataFrame:
     """Inclusive running sum of ``value`` by ``order`` within ``keys``, without a key's rows ever meeting in one task.
 
@@ -80,17 +102,15 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     the total of the ranges before it, taken from a table of one row per (key, range).
     """
     part = df.withColumn("_bucket", bucket)
-    totals = part.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
-                           F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    starts = range_starts(part.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total")), keys, "_bucket", "_total").select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_start")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = part.withColumn("_within", F.sum(value).over(inside))
     same = F.col("_bucket") == F.col("_b")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     rows = summed.join(starts, same).withColumn(out, F.col("_start") + F.col("_within"))
-    return rows.drop("_bucket", "_b", "_total", "_start", "_within", *[f"_k{i}" for i in range(len(keys))])
+    return rows.drop("_bucket", "_b", "_start", "_within", *[f"_k{i}" for i in range(len(keys))])
 
 
 def shared(spark: SparkSession, thing) -> Callable:

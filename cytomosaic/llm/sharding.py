@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .common import range_starts
+
 SEED = 20_240_229
 BUCKET_BYTES = 8 << 20
 #: A bucket with this many times the mean number of rows (equal ids) is scattered once more, by row position.
@@ -31,23 +34,25 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     home = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(buckets))
     loads = docs.select(home.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     mean = max(1, n // buckets)
-    heavy = loads.filter(F.col("n") > max(HEAVY * mean, 1000)).select("b", F.ceil(F.col("n") / mean).alias("ways"))
-    crowded = {r["b"]: r["ways"] for r in heavy.limit(100_001).collect()}
-    if crowded:  # a few (bucket, ways) pairs: heavy buckets hold HEAVY means each, so there are fewer than buckets / HEAVY
-        ways = F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair])
-        again = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.coalesce(ways[home], F.lit(1)))
-    else:
-        again = F.lit(0).cast("long")
+    heavy = cut(loads.filter(F.col("n") > max(HEAVY * mean, 1000)).select(F.col("b").alias("h"), F.ceil(F.col("n") / mean).alias("ways")))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     key = F.xxhash64("doc_id", "text")
-    scattered = docs.select(F.struct(key.alias("key"), whole.alias("row")).alias("item"), F.struct(home.alias("b"), again.alias("s")).alias("bucket"))
+    scattered = docs.select(F.struct(key.alias("key"), whole.alias("row")).alias("item"), home.alias("b"))
+    if heavy.isEmpty():
+        scattered = scattered.select("item", F.struct("b", F.lit(0).cast("long").alias("s")).alias("bucket"))
+    else:  # written once, as row positions may differ from one reading of docs to the next
+        part = F.pmod(F.col("again"), F.coalesce("ways", F.lit(1)))
+        scattered = cut(scattered.withColumn("again", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).join(heavy, F.col("b") == F.col("h"), "left").select(
+            "item", F.struct("b", part.alias("s")).alias("bucket")))
     arrays = scattered.groupBy("bucket").agg(F.collect_list("item").alias("items"))
     # rows arrive in any order: sorted, the seed alone decides the permutation, on a rerun or after a lost executor too
     ordered = F.array_sort("items") if "map<" not in docs.schema.simpleString() else F.col("items")
     mixed = arrays.select("bucket", F.transform(F.shuffle(ordered, F.lit(seed)), lambda x: x["row"]).alias("rows"))
     counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("bucket").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    first = range_starts(counts.groupBy("bucket.b").agg(F.sum("n").alias("n")), [], "b", "n").select(F.col("b").alias("_b"), F.col("_start").alias("_first"))
+    ahead = Window.partitionBy("bucket.b").orderBy("bucket.s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.withColumn("_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    starts = parts.join(first, F.col("bucket.b") == F.col("_b")).select(F.col("bucket").alias("at"), (F.col("_first") + F.col("_part")).alias("start"))
     placed = mixed.join(starts, F.col("bucket") == F.col("at")).select("start", F.posexplode("rows").alias("offset", "row"))
     return placed.select("row", (F.col("start") + F.col("offset")).alias("position"))
 
