@@ -150,7 +150,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Contexts | None:
     if not per_lang:
         return None
     share = F.create_map(*[x for lang, n in per_lang.items() for x in (F.lit(lang), F.lit(min(1.0, train_docs / n)))])[F.col("lang")]
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"))  # rows without doc_id are chosen by their text
+    place = F.pmod(F.xxhash64(name), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = labelled.filter(place < share).select("lang", "text")
     grams = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not grams.num_rows:

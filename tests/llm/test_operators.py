@@ -1,6 +1,7 @@
 """Every text operator against a plain version, on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import brute
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytomosaic.llm import chat, components, decontaminate, langid, licences, lm, mixing, repeats, sharding, simhash, topk
+from cytomosaic.llm import chat, common, components, decontaminate, langid, licences, lm, mixing, repeats, sharding, simhash, topk
 from cytomosaic.session import cut
 
 # columns that no operator may stumble over
@@ -84,6 +85,24 @@ def test_one_document_of_each_group_stays(odd, empty, docs, rows):
     assert simhash.one_per_group(empty).count() == 0
 
 
+def test_rows_that_share_an_id_but_no_group_stay_apart(spark):
+    a, b = words(random.Random(1), 50), words(random.Random(2), 50)
+    near = " ".join([*a.split()[:-1], "other"])
+    table = [(5, a), (5, a), (5, b), (9, b), (5, near), (None, a), (None, "alone here"), (None, "alone here")]
+    fp = {t: simhash.fingerprint(t.encode()) for t in (a, b, near)}
+    groups = 2 if (fp[a] ^ fp[near]).bit_count() <= simhash.RADIUS else 3
+    kept = [tuple(r) for r in simhash.one_per_group(spark.createDataFrame(table, "doc_id long, text string")).collect()]
+    assert kept.count((None, "alone here")) == 1 and kept.count((5, b)) == 1 and len(kept) == groups + 1 and (9, b) not in kept and (None, a) not in kept
+
+
+def test_starts_of_ranges_over_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPAN", 3)
+    table = [(k, r, (7 * r + len(k or "")) % 5) for k in ("a", "bb", None) for r in (0, 1, 2, 3, 5, 8, 9, 20)]
+    got = common.range_starts(spark.createDataFrame(table, "k string, r long, n long"), ["k"], "r", "n").collect()
+    assert len(got) == len(table)
+    assert all(g._start == sum(n for k, r, n in table if k == g.k and r < g.r) for g in got)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pigeonring_loses_no_link(spark, seed):
     """Random fingerprints around a few centres, among them one dense crowd that shares buckets."""
@@ -321,6 +340,15 @@ def test_licence_rules(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_and_commented_licence_texts(spark):
+    s = licences.SENTENCES
+    mit = "\n\n".join("\n".join(textwrap.wrap(s[k].capitalize() + ".", 60)) for k in ("MITgrant", "MITnotice", "ASIS", "MITliable"))
+    header = "\n".join(f" * {line}" for k in ("GPLfree3+", "GPLhope") for line in [*textwrap.wrap(s[k] + ".", 50), ""]) + "\n * " + s["GPLdetails"] + "."
+    spaced = (" " * 2000).join(s["MPLsubject"].split())
+    df = spark.createDataFrame([(1, "Copyright someone\n\n" + mit), (2, "/*\n *\n" + header + "\n */\nint x;"), (3, spaced)], "doc_id long, text string")
+    assert tuples(licences.scan(df), "doc_id", "licence", "n") == [(1, "MIT", 1), (2, "GPL-3.0-or-later", 1), (3, "MPL-2.0", 1)]
+
+
 def test_backoff_matches_brute_force(docs, odd, empty, rows):
     for df in (docs, odd):
         want = brute.backoff([(r.doc_id, r.text) for r in df.collect()])
@@ -388,6 +416,9 @@ def test_language_of_held_out_documents(spark, empty):
     assert all(0 <= r.score <= 1 for r in out.values()) and out[900].score == 0
     assert set(df.columns) <= set(got.columns)
     assert langid.train(empty) is None
+    nameless = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("doc_id", F.lit(None).cast("long"))
+    few, every = (langid.train(nameless, n).symbols[-1][0] for n in (10, 1000))
+    assert 0 < len(few) < len(every)
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
     assert langid.identify(empty, model).count() == 0
     kept = langid.in_known_language(df, model)
