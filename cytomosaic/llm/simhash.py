@@ -196,13 +196,18 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without their near-duplicates: of each group one row stays, that with the smallest doc_id.
+    """The rows of ``docs`` without their near-duplicates: of each group one row stays (see ``one_of_each``)."""
+    return one_of_each(docs, _grouped(docs))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of ``docs`` per component of ``grouped`` (doc_id, mark, component): that with the smallest doc_id.
 
     Rows without doc_id come after those with one, ties go by a hash of the text, and of wholly equal choices one row stays.
     Rows that share a doc_id but belong to different groups are kept apart. All columns are kept.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")
-    keep = _grouped(docs).groupBy("component").agg(F.min(rank).alias("one")).select(F.col("one.doc_id").alias("_keep"), F.col("one.mark").alias("_mark"))
+    keep = grouped.groupBy("component").agg(F.min(rank).alias("one")).select(F.col("one.doc_id").alias("_keep"), F.col("one.mark").alias("_mark"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
     named = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_mark")))
     first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(1)))
