@@ -95,8 +95,7 @@ def _(spark, d):
  p AS (SELECT vec_id, max(s / n) FILTER (la = lb) AS a, min(s / n) FILTER (la <> lb) AS b FROM d GROUP BY 1)
  SELECT 'given' AS variant, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM p""")
 def _(spark, d):
-    sample = quality.sample_vectors(demo.point_vectors(spark, d))
-    return quality.silhouette(sample, variant_labels(spark, d)).select("variant", *r6("silhouette"))
+    return quality.silhouette(demo.point_vectors(spark, d), variant_labels(spark, d)).select("variant", *r6("silhouette"))
 
 
 @register("scatter_given_labels", """v AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i))""", sql="""

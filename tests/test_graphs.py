@@ -206,3 +206,18 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"{i:04d}", f"{i + d:04d}") for i in range(n) for d in (-1, 1) if 0 <= i + d < n], "src string, dst string")
     nodes = spark.createDataFrame([(f"{i:04d}",) for i in range(n)], "cell_id string")
     assert {r.component for r in community.connected_components(edges, nodes).collect()} == {"0000"}
+
+
+def test_silhouette_is_of_all_rows_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TILE", 7)
+    rng = np.random.default_rng(4)
+    points, codes = rng.normal(0, 1, (60, 3)), rng.integers(0, 3, 60)
+    frame = spark.createDataFrame([(f"c{i}", [float(x) for x in p]) for i, p in enumerate(points)], "cell_id string, vec array<double>")
+    labels = spark.createDataFrame([("v", f"c{i}", str(c)) for i, c in enumerate(codes)], "variant string, cell_id string, label string")
+    dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(codes):
+        a = dist[i, codes == c].sum() / ((codes == c).sum() - 1)
+        b = min(dist[i, codes == o].mean() for o in set(codes) - {c})
+        want.append((b - a) / max(a, b))
+    assert abs(quality.silhouette(frame, labels).first().silhouette - np.mean(want)) < 1e-9
