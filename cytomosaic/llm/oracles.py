@@ -104,5 +104,51 @@ SELECT conv_id, n AS n_turns, segment, array_to_string(list_transform(list_slice
 FROM kept, unnest(range((n + {SEGMENT - 1}) // {SEGMENT})) AS u(segment)"""
 
 
+
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS held FROM w),
+ n AS (SELECT held, len(held) AS n, min(doc_id) AS node FROM s WHERE len(held) > 0 GROUP BY held),
+ q AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  WHERE (100 + 80) * len(list_intersect(a.held, b.held)) >= 80 * (a.n + b.n)),
+ p AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+ reach(node, other) AS (SELECT node, node FROM n UNION SELECT r.node, p.b FROM reach r JOIN p ON p.a = r.other),
+ c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.held) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, s.doc_id = coalesce(component_id, s.doc_id) AS kept
+FROM s LEFT JOIN n ON n.held = s.held LEFT JOIN c USING (node)"""
+
+
+def codebooks() -> str:
+    """Plain k-means, one pair of steps per round; entry 16 * part + index holds integer components as a list."""
+    good = "len(embedding) > 0 AND len(embedding) % 8 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    square = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = "a{r} AS MATERIALIZED (SELECT vec_id, p, x, arg_min(k, struct_pack(d := d, k := k)) AS k, min(d) AS d FROM (SELECT vec_id, v.p, x, k, " + square + " AS d FROM v JOIN c{r} e ON v.p = e.p) GROUP BY ALL)"
+    move = """c{n} AS MATERIALIZED (SELECT c{r}.p, c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+  SELECT p, k, list(f ORDER BY i) AS c FROM (SELECT p, k, i, CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT) AS f
+   FROM a{r}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY p, k, i) GROUP BY p, k) m ON m.p = c{r}.p AND m.k = c{r}.k)"""
+    rounds = ",\n ".join(f"{assign.format(r=r)},\n {move.format(r=r, n=r + 1)}" for r in range(6))
+    return f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {good}),
+ v AS MATERIALIZED (SELECT vec_id, p, list_slice(e, p * (len(e) // 8) + 1, (p + 1) * (len(e) // 8)) AS x FROM e, unnest(range(8)) AS u(p)),
+ f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e QUALIFY k < 16),
+ c0 AS MATERIALIZED (SELECT p, k, x AS c FROM v JOIN f USING (vec_id)),
+ {rounds},
+ {assign.format(r=6)},
+ o AS (SELECT vec_id, string_agg(lpad(lower(hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+ h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS sha FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM o JOIN e USING (vec_id), h"""
+
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
 SQL = {"op1_license_scan": licences(), "op4_fair_queueing": MIX, "op5_segment_topk": TOP_K, "op7_stupid_backoff": backoff(), "op8_suffix_automaton": HITS,
-       "op9_snapshot_collapse": CHATS}
+       "op9_snapshot_collapse": CHATS, "op11_superminhash": NEAR, "op12_drake_codebooks": codebooks(), "op13_hard_negatives": NEGATIVES}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import chat, decontaminate, langid, licences, lm, mixing, oracles, repeats, sharding, simhash, topk
+from . import chat, codebooks, decontaminate, langid, licences, lm, mixing, negatives, oracles, repeats, sharding, simhash, superminhash, topk
 from .common import table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,19 @@ def op10_ppm_language(spark, sf_dir):
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
     predicted = langid.identify(docs.select("doc_id", "text"), model)
     return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_superminhash(spark, sf_dir):
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_drake_codebooks(spark, sf_dir):
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.usable(table(spark, sf_dir, "embeddings"), moved), F.col("vec_id") % 100 == 0)
