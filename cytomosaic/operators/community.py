@@ -1,18 +1,29 @@
-"""Communities on weighted graphs as DataFrame loops.
+"""Communities on weighted graphs: modularity moves, connected parts and contraction, level after level.
 
-All variants (resolutions, blend weights) run in one loop: ``variant`` is a key of every join and aggregate, so a sweep
-costs about as much as its slowest member. Each round is written to the checkpoint folder.
+All variants (resolutions, blend weights) run together: ``variant`` is a key of every join and aggregate. A connected part of a
+variant rests by itself, when none of its nodes gains by a move. Parts of at most LOCAL_EDGES edges run their rounds inside a task,
+larger ones by joins that look at the active nodes only; both follow one rule on whole-number weights and give the same labels.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bucketed, cut
+from . import moving
 
-SCALE = 12
+#: Edges (both directions) of a connected part that a task may hold.
+LOCAL_EDGES = 1 << 20
+#: Weights count in units of 2 ** -UNIT.
+UNIT = 24
+#: Times that the levels run; every further time starts from the communities of the one before.
+STEPS = 2
 
 
 def modularity(edges: DataFrame, labels: DataFrame, by: list[str] | None = None, gamma: float = 1.0) -> DataFrame:
@@ -33,34 +44,82 @@ def modularity(edges: DataFrame, labels: DataFrame, by: list[str] | None = None,
 def communities(edges: DataFrame, variants: DataFrame, seed: int = 42) -> DataFrame:
     """Modularity communities (resolution ``gamma``) per variant as (variant, cell_id, label).
 
-    ``edges``: (variant, src, dst, weight), symmetric. ``variants``: (variant, gamma). Local moving with two random thirds of
-    the nodes per round, then contraction; a level is kept only where it raises the modularity. Every variant stops by itself,
-    when its rounds no longer raise its modularity, so its labels do not depend on the variants it runs with. Labels are numbered by size,
-    largest first.
+    ``edges``: (variant, src, dst, weight), symmetric. ``variants``: (variant, gamma). Nodes move to the neighbouring community that
+    gains most, communities are cut into connected parts and contracted, and so on until no node moves; STEPS times. A connected
+    part stops by itself and is not touched by the others, but for the total weight of its variant in the modularity. Labels are
+    numbered by size, largest first.
     """
-    graph = cut(edges.select("variant", "src", "dst", F.col("weight").cast("double").alias("weight")))
-    gammas = cut(variants.select("variant", F.col("gamma").cast("double").alias("gamma")))
-    scale = cut(graph.groupBy("variant").agg(F.sum("weight").alias("m2")).join(gammas, "variant"))
-    members = graph.select("variant", F.col("src").alias("cell_id")).distinct().withColumn("node", F.col("cell_id"))
-    quality, level = None, 0
-    while True:
-        moved = _local_moving(graph, scale, seed + 1000 * level)
-        graph = cut(_contract(graph, moved))
-        now = cut(_level_quality(graph, scale))
-        if quality is None:
-            better = now.select("variant")
-        else:
-            better = now.join(quality.withColumnRenamed("q", "before"), "variant").filter("q > before + 1e-9").select("variant")
-        members = cut(members.join(moved.join(better, "variant", "left_semi").select(
-            "variant", "node", F.col("comm").alias("_to")), ["variant", "node"], "left").select(
-            "variant", "cell_id", F.coalesce("_to", "node").alias("node")))
-        better = cut(better)
-        if better.isEmpty():
-            break
-        graph = cut(graph.join(better, "variant", "left_semi"))
-        quality = now.join(better, "variant", "left_semi")
-        level += 1
-    return number_by_size(members.withColumnRenamed("node", "raw"))
+    whole = F.round(F.col("weight").cast("double") * float(1 << UNIT)).cast("long")
+    graph = edges.select("variant", "src", "dst", whole.alias("w"))
+    scale = graph.groupBy("variant").agg(F.sum("w").alias("m2")).join(variants.select("variant", F.col("gamma").cast("double").alias("gamma")), "variant")
+    facts = {r.variant: (r.m2, r.gamma) for r in scale.collect()}  # one row per variant
+    both = _parts(cut(graph))
+    size = cut(both.groupBy("variant", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LOCAL_EDGES))
+    hashed = lambda c: F.xxhash64(F.lit(seed), c)
+    marked = both.select("variant", "part", "src", "dst", "w", hashed("src").alias("mark"))
+    if size.isEmpty():
+        return number_by_size(cut(_settled(marked, facts, seed, range(STEPS))))
+    large = size.select("variant", "part")
+    done = _settled(marked.join(F.broadcast(large), ["variant", "part"], "left_anti"), facts, seed, range(STEPS))
+    graph = cut(marked.join(F.broadcast(large), ["variant", "part"], "left_semi"))
+    raw = None
+    for step in range(STEPS):
+        raw = _levels(graph, raw, facts, seed, step)
+    return number_by_size(cut(done.unionByName(raw)))
+
+
+def _parts(graph: DataFrame) -> DataFrame:
+    """``graph`` with ``part``, the smallest node (with its variant) of each edge's connected part."""
+    name = lambda c: F.concat_ws("\u0001", "variant", c)
+    links = graph.select(name("src").alias("src"), name("dst").alias("dst"))
+    parts = connected_components(links, links.select(F.col("src").alias("cell_id")).distinct())
+    return cut(graph.join(parts.select(F.col("cell_id").alias("_node"), F.col("component").alias("part")), name("src") == F.col("_node")).drop("_node"))
+
+
+def _settled(graph: DataFrame, facts: dict, seed: int, steps: range, level: int = 0) -> DataFrame:
+    """(variant, cell_id, raw): the communities of parts that fit into a task, named by their smallest node."""
+    def run(table: pa.Table) -> pa.Table:
+        variant = table["variant"][0].as_py()
+        m2, gamma = facts[variant]
+        src, dst = (np.array(table[c].to_pylist(), object) for c in ("src", "dst"))
+        ids, first, a = np.unique(src, return_index=True, return_inverse=True)
+        mark, weight = table["mark"].to_numpy()[first], table["w"].to_numpy()
+        raw = moving.settle(a, np.searchsorted(ids, dst), weight, mark, gamma, m2, seed, steps, level)
+        return pa.table({"variant": pa.array([variant] * len(ids)), "cell_id": pa.array(ids.tolist()), "raw": pa.array(ids[raw].tolist())})
+
+    return graph.groupBy("variant", "part").applyInArrow(run, "variant string, cell_id string, raw string")
+
+
+def _levels(graph: DataFrame, start: DataFrame | None, facts: dict, seed: int, step: int) -> DataFrame:
+    """(variant, cell_id, raw) of large parts: levels by joins until what is left of a part fits into a task or rests."""
+    names = graph.select("variant", F.col("src").alias("cell_id")).distinct().withColumn("node", F.col("cell_id"))
+    if start is not None:
+        start = start.select("variant", F.col("cell_id").alias("node"), F.col("raw").alias("comm"))
+    final = None
+    for level in count():
+        label = _connected(graph, _moved(graph, start, facts, seed, step, level))
+        names = cut(names.join(label, ["variant", "node"]).select("variant", "cell_id", F.col("comm").alias("node")))
+        sizes = label.join(graph.select("variant", "part", F.col("src").alias("node")).distinct(), ["variant", "node"]).groupBy("variant", "part").agg(
+            F.count(F.lit(1)).alias("nodes"), F.countDistinct("comm").alias("comms"))
+        going = cut(sizes.filter("comms < nodes").select("variant", "part"))
+        if going.isEmpty():
+            kept = names.select("variant", "cell_id", F.col("node").alias("raw"))
+            return kept if final is None else _renamed(names, final)
+        graph = cut(_contract(graph.join(F.broadcast(going), ["variant", "part"], "left_semi"), label))
+        load = graph.groupBy("variant", "part").agg(F.count(F.lit(1)).alias("n"))
+        small = cut(load.filter(F.col("n") <= LOCAL_EDGES).select("variant", "part"))
+        fits = graph.join(F.broadcast(small), ["variant", "part"], "left_semi")
+        rest = _settled(fits, facts, seed, range(step, step + 1), level + 1)
+        final = cut(rest if final is None else final.unionByName(rest))
+        graph = cut(graph.join(F.broadcast(small), ["variant", "part"], "left_anti"))
+        start = None
+        if graph.isEmpty():
+            return _renamed(names, final)
+
+
+def _renamed(names: DataFrame, final: DataFrame) -> DataFrame:
+    to = final.select("variant", F.col("cell_id").alias("node"), "raw")
+    return cut(names.join(to, ["variant", "node"], "left").select("variant", "cell_id", F.coalesce("raw", "node").alias("raw")))
 
 
 def number_by_size(members: DataFrame) -> DataFrame:
@@ -70,89 +129,137 @@ def number_by_size(members: DataFrame) -> DataFrame:
     return members.join(size.select("variant", "raw", rank.cast("string").alias("label")), ["variant", "raw"]).select("variant", "cell_id", "label")
 
 
-#: A round that raises a variant's modularity by no more than RISE is quiet; after QUIET of them in a row the variant is at rest.
-RISE, QUIET = 1e-4, 1
-#: A level needs a dozen rounds or so; beyond this many something is wrong, and the run fails rather than returning half a result.
-GUARD = 1000
+def _totals(state: DataFrame) -> DataFrame:
+    """``state`` with the total degree of each node's community."""
+    return state.join(state.groupBy("variant", "comm").agg(F.sum("k").alias("tot")), ["variant", "comm"])
 
 
-def _with_totals(state: DataFrame) -> DataFrame:
-    """Attach the total degree of each node's community."""
-    totals = state.groupBy("variant", "comm").agg(F.sum("k").alias("tot"))
-    return state.join(totals, ["variant", "comm"])
+def _moved(graph: DataFrame, start: DataFrame | None, facts: dict, seed: int, step: int, level: int) -> DataFrame:
+    """(variant, node, comm) after moves until no node gains by one: the rounds of ``moving.move`` as joins.
 
+    The edges are laid out by (variant, src) once; a round reads the edges of its active nodes, sends them to their far ends'
+    communities and back, and writes the state of the nodes. Each part keeps its own share of movers; one row per part and round
+    reaches the driver.
+    """
+    laid = graph.filter("src <> dst").select("variant", "part", "src", "dst", "w")
+    with bucketed(laid, "variant", "src") as table:
+        return _rounds(graph, table, start, facts, seed, step, level)
 
-def _local_moving(graph: DataFrame, scale: DataFrame, seed: int) -> DataFrame:
-    """(variant, node, comm) after moving nodes to their best neighbouring community until rounds no longer raise the modularity.
 
-    Every variant keeps its best state and leaves the loop by itself: when none of its nodes wants to move, or after QUIET rounds
-    without a rise.
-    """
-    degree = graph.groupBy("variant", F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
-    state = cut(_with_totals(degree.withColumn("comm", F.col("node"))))
-    links_of = cut(graph.filter("src <> dst").join(degree.withColumnRenamed("node", "src"), ["variant", "src"]).select(
-        "variant", F.col("src").alias("node"), "dst", "weight", "k"))
-    facts = {r.variant: (r.m2, r.gamma) for r in scale.collect()}  # one row per variant
-    level = F.broadcast(scale)
-    best: dict[str, tuple] = {}
-    quiet: dict[str, int] = {}
-    settled: list[tuple] = []
-    for r in range(GUARD):
-        # a neighbour brings its community and that community's total, so the options of a node need no further join
-        other = state.select("variant", F.col("node").alias("dst"), "comm", "tot")
-        links = links_of.join(other, ["variant", "dst"]).select("variant", "node", "comm", "k", "tot", "weight", F.lit(False).alias("here"))
-        stay = state.select("variant", "node", "comm", "k", "tot", F.lit(0.0).alias("weight"), F.lit(True).alias("here"))
-        # dealt by node once: both groupings below follow that partitioning
-        options = links.unionByName(stay).repartition("variant", "node").groupBy("variant", "node", "comm").agg(
-            F.max("k").alias("k"), F.max("tot").alias("tot"), F.sum("weight").alias("k_in"), F.max("here").alias("here"))
-        rest = F.col("tot") - F.when(F.col("here"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("k_in") - F.col("gamma") * F.col("k") * rest / F.col("m2"), SCALE)
-        # ties stay; otherwise the larger hash wins, which keeps the result independent of the layout
-        pick = F.max_by("comm", F.struct(gain, F.col("here").cast("int"), F.xxhash64(F.lit(seed), "comm")))
-        mine = lambda c: F.max(F.when(F.col("here"), F.col(c)))
-        chosen = options.join(level, "variant").groupBy("variant", "node").agg(
-            F.max("k").alias("k"), pick.alias("to"), mine("comm").alias("own"), mine("k_in").alias("inside"), mine("tot").alias("was"))
-        turn = F.pmod(F.xxhash64(F.lit(seed + r), "node"), F.lit(3)) > 0  # a third stays put each round, a fresh one: it breaks swaps
-        moved = cut(_with_totals(chosen.select("variant", "node", "k", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("comm"),
-                                               (F.col("to") != F.col("own")).alias("wants"), "inside", "was")))
-        done = []
-        for row in moved.groupBy("variant").agg(F.count_if("wants").alias("n"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("was")).alias("t2")).collect():
-            m2, gamma = facts[row.variant]
-            q = row.inside / m2 - gamma * row.t2 / (m2 * m2)  # of the state before this round; loops add the same to every round
-            if row.variant not in best or q > best[row.variant][0] + RISE:
-                best[row.variant], quiet[row.variant] = (q, state), 0
-            else:
-                quiet[row.variant] += 1
-            if row.n == 0 or quiet[row.variant] >= QUIET:
-                done.append(row.variant)
-                settled.append((row.variant, best[row.variant][1]))
-        if set(best) == {v for v, _ in settled}:
-            break
-        state = moved.filter(~F.col("variant").isin(done)) if done else moved
-        links_of = links_of.filter(~F.col("variant").isin(done)) if done else links_of
+def _rounds(graph: DataFrame, table: DataFrame, start: DataFrame | None, facts: dict, seed: int, step: int, level: int) -> DataFrame:
+    spark = graph.sparkSession
+    nodes = graph.groupBy("variant", "part", F.col("src").alias("node")).agg(F.sum("w").alias("k"), F.first("mark").alias("mark"))
+    state = nodes.withColumn("comm", F.col("node")) if start is None else nodes.join(start, ["variant", "node"])
+    if start is None:
+        state = state.withColumn("cmark", F.col("mark"))
     else:
-        raise RuntimeError(f"communities did not settle in {GUARD} rounds")
-    out = None
-    for variant, table in settled:
-        part = table.filter(F.col("variant") == variant).select("variant", "node", "comm")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _contract(graph: DataFrame, moved: DataFrame) -> DataFrame:
-    a = moved.select("variant", F.col("node").alias("src"), F.col("comm").alias("ca"))
-    b = moved.select("variant", F.col("node").alias("dst"), F.col("comm").alias("cb"))
-    return graph.join(a, ["variant", "src"]).join(b, ["variant", "dst"]).groupBy(
-        "variant", F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("weight").alias("weight"))
-
-
-def _level_quality(graph: DataFrame, scale: DataFrame) -> DataFrame:
-    """Modularity of the contracted graph's own partition, per variant."""
-    per = graph.groupBy("variant", "src").agg(
-        F.sum("weight").alias("tot"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("inside"))
-    part = per.groupBy("variant").agg(F.sum("inside").alias("i"), F.sum(F.col("tot") * F.col("tot")).alias("t2"))
-    return part.join(scale, "variant").select(
-        "variant", (F.col("i") / F.col("m2") - F.col("gamma") * F.col("t2") / (F.col("m2") * F.col("m2"))).alias("q"))
+        name = nodes.select("variant", F.col("node").alias("comm"), F.col("mark").alias("cmark"))
+        state = state.join(name, ["variant", "comm"])
+    columns = ["variant", "part", "node", "k", "mark", "comm", "cmark", "tot"]
+    state = cut(_totals(state).select(*columns))
+    scale = spark.createDataFrame([(v, m2, g) for v, (m2, g) in facts.items()], "variant string, m2 long, gamma double")
+    at = lambda r: (r.variant, r.part)
+    going = {at(r): {"complete": True, "halvings": 0} for r in state.select("variant", "part").distinct().collect()}
+    active = state.select("variant", "part", "node")
+    for number in count():
+        wants = cut(_wishes(table, state, active, scale))
+        factor, shift = moving.turn_of(seed, step, level, number)
+        keyed = wants.withColumn("key", (F.lit(factor).cast("long") * F.pmod("mark", F.lit(moving.PRIME).cast("long")) + F.lit(shift).cast("long")) % F.lit(moving.PRIME).cast("long"))
+        found = {at(r): r.least for r in keyed.groupBy("variant", "part").agg(F.min(F.struct("key", "node")).alias("least")).collect()}
+        rest = [p for p in going if p not in found]
+        for p in rest:  # nobody among the active nodes wants to move: look at all once more, or be done
+            if going[p]["complete"]:
+                del going[p]
+            else:
+                going[p]["complete"] = True
+        if not going:
+            return state.select("variant", "node", "comm")
+        plan = spark.createDataFrame([(*p, moving.share_of(going[p]["halvings"]), found[p].node) for p in found],
+                                     "variant string, part string, share long, first string")
+        movers = cut(keyed.join(F.broadcast(plan), ["variant", "part"]).filter((F.col("key") < F.col("share")) | (F.col("node") == F.col("first"))).select(
+            "variant", "part", "node", "k", F.col("comm").alias("old"), F.col("to").alias("new"), F.col("to_mark").alias("new_mark")))
+        accepted = []
+        for p, (moves, inside, squares) in _effects(table, state, movers).items():
+            m2, gamma = facts[p[0]]
+            going[p]["complete"] = False
+            if moves == 1 or moving.rises(m2, gamma, inside, squares):
+                accepted.append(p)
+                going[p]["halvings"] = max(0, going[p]["halvings"] - 1)
+            else:
+                going[p]["halvings"] += 1
+        again = spark.createDataFrame([p for p in going if going[p]["complete"]], "variant string, part string")
+        active = wants.select("variant", "part", "node").unionByName(
+            state.join(F.broadcast(again), ["variant", "part"], "left_semi").select("variant", "part", "node"))
+        if accepted:
+            took = spark.createDataFrame(accepted, "variant string, part string")
+            movers = cut(movers.join(F.broadcast(took), ["variant", "part"], "left_semi"))
+            near = table.join(movers.select("variant", F.col("node").alias("src")), ["variant", "src"]).select("variant", "part", F.col("dst").alias("node"))
+            active = active.unionByName(near).distinct()
+            changed = state.join(movers.select("variant", "node", "new", "new_mark"), ["variant", "node"], "left")
+            state = cut(_totals(changed.select("variant", "part", "node", "k", "mark", F.coalesce("new", "comm").alias("comm"),
+                                               F.coalesce("new_mark", "cmark").alias("cmark"))).select(*columns))
+        active = cut(active)
+
+
+def _wishes(table: DataFrame, state: DataFrame, active: DataFrame, scale: DataFrame) -> DataFrame:
+    """The active nodes that gain by a move: (variant, part, node, k, mark, comm, to, to_mark)."""
+    own = state.join(active.select("variant", "node"), ["variant", "node"], "left_semi")
+    far = state.select("variant", F.col("node").alias("dst"), F.col("comm").alias("to"), F.col("cmark").alias("to_mark"), "tot")
+    near = table.join(own.select("variant", F.col("node").alias("src")), ["variant", "src"]).join(far, ["variant", "dst"])
+    options = near.select("variant", F.col("src").alias("node"), "to", "to_mark", "tot", "w").unionByName(
+        own.select("variant", "node", F.col("comm").alias("to"), F.col("cmark").alias("to_mark"), "tot", F.lit(0).cast("long").alias("w")))
+    summed = options.groupBy("variant", "node", "to").agg(F.max("to_mark").alias("to_mark"), F.max("tot").alias("tot"), F.sum("w").alias("w"))
+    tried = summed.join(own.select("variant", "part", "node", "k", "mark", "comm"), ["variant", "node"]).join(F.broadcast(scale), "variant")
+    here, real = F.col("to") == F.col("comm"), lambda c: F.col(c).cast("double")
+    rest = (F.col("tot") - F.when(here, F.col("k")).otherwise(F.lit(0).cast("long"))).cast("double")
+    gain = real("w") - F.col("gamma") * real("k") * rest / real("m2")
+    best = tried.withColumn("gain", gain).withColumn("here", here.cast("int")).groupBy("variant", "part", "node").agg(
+        F.max("k").alias("k"), F.max("mark").alias("mark"), F.max("comm").alias("comm"), F.max(F.when(F.col("here") == 1, F.col("gain"))).alias("stay"),
+        F.max(F.struct("gain", "here", "to_mark", "to")).alias("b"))
+    return best.filter((F.col("b.gain") - F.col("stay")) > moving.LEAST_GAIN * real("k")).select(
+        "variant", "part", "node", "k", "mark", "comm", F.col("b.to").alias("to"), F.col("b.to_mark").alias("to_mark"))
+
+
+def _effects(table: DataFrame, state: DataFrame, movers: DataFrame) -> dict:
+    """Per part: how many nodes move, and what this changes in the weight inside communities and in the sum of their squared totals."""
+    end = movers.select("variant", F.col("node").alias("dst"), F.col("new").alias("dst_new"))
+    far = state.select("variant", F.col("node").alias("dst"), F.col("comm").alias("dst_old"))
+    touched = table.join(movers.select("variant", F.col("node").alias("src"), "old", "new"), ["variant", "src"]).join(far, ["variant", "dst"]).join(
+        end, ["variant", "dst"], "left")
+    after = F.col("new") == F.coalesce("dst_new", "dst_old")
+    change = after.cast("long") - (F.col("old") == F.col("dst_old")).cast("long")
+    inside = touched.groupBy("variant", "part").agg(F.sum(F.col("w") * change * F.when(F.col("dst_new").isNull(), F.lit(2)).otherwise(F.lit(1))).alias("inside"))
+    delta = movers.select("variant", "part", F.explode(F.array(F.struct(F.col("old").alias("comm"), (-F.col("k")).alias("d")),
+                                                               F.struct(F.col("new").alias("comm"), F.col("k").alias("d")))).alias("e")).groupBy(
+        "variant", "part", F.col("e.comm").alias("comm")).agg(F.sum("e.d").alias("d"))
+    total = state.join(delta.select("variant", "comm"), ["variant", "comm"], "left_semi").groupBy("variant", "comm").agg(F.max("tot").alias("tot"))
+    # two factors below 2 ** 63 as decimals: their product is exact
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    square = exact("d") * (F.lit(2).cast("decimal(1,0)") * exact("tot") + exact("d")).cast("decimal(19,0)")
+    squares = delta.join(total, ["variant", "comm"]).groupBy("variant", "part").agg(F.sum(square.cast("decimal(38,0)")).alias("squares"))
+    moves = movers.groupBy("variant", "part").agg(F.count(F.lit(1)).alias("moves"))
+    rows = moves.join(inside, ["variant", "part"]).join(squares, ["variant", "part"]).collect()  # one row per large part
+    return {(r.variant, r.part): (r.moves, int(r.inside), int(r.squares)) for r in rows}
+
+
+def _connected(graph: DataFrame, moved: DataFrame) -> DataFrame:
+    """(variant, node, comm): each community cut into its connected parts, named by their smallest node."""
+    moved = cut(moved)
+    side = lambda c: moved.select("variant", F.col("node").alias(c), F.col("comm").alias(f"c_{c}"))
+    inside = graph.filter("src <> dst").join(side("src"), ["variant", "src"]).join(side("dst"), ["variant", "dst"]).filter("c_src = c_dst")
+    name = lambda c: F.concat_ws("\u0001", "variant", c)
+    found = connected_components(inside.select(name("src").alias("src"), name("dst").alias("dst")), moved.select(name("node").alias("cell_id")))
+    least = F.substring_index("component", "\u0001", -1)
+    named = moved.select("variant", "node", name("node").alias("cell_id")).join(found, "cell_id")
+    return cut(named.select("variant", "node", least.alias("comm")))
+
+
+def _contract(graph: DataFrame, label: DataFrame) -> DataFrame:
+    a = label.select("variant", F.col("node").alias("src"), F.col("comm").alias("ca"))
+    b = label.select("variant", F.col("node").alias("dst"), F.col("comm").alias("cb"))
+    mark = graph.select("variant", F.col("src").alias("ca"), "mark").distinct()
+    joined = graph.drop("mark").join(a, ["variant", "src"]).join(b, ["variant", "dst"]).groupBy("variant", "part", "ca", "cb").agg(F.sum("w").alias("w"))
+    return joined.join(mark, ["variant", "ca"]).select("variant", "part", F.col("ca").alias("src"), F.col("cb").alias("dst"), "w", "mark")
 
 
 def detect_communities(edges: DataFrame, resolution: float = 0.6, seed: int = 42) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +51,36 @@ def cut(df: DataFrame) -> DataFrame:
 
     A written table also carries its true size, so later joins can choose to broadcast it.
     """
+    return written(df)[0]
+
+
+@contextmanager
+def bucketed(df: DataFrame, *keys: str):
+    """``df`` laid out by ``keys`` in the shared checkpoint folder, so that joins on them read it without an exchange.
+
+    The table is known to the session's catalogue inside the block only; frames that outlive it must be written before.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"bucketed_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut`` with the path of the stage, for loops that remove a stage once the next one is written."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written stage; nothing that is still to run may read it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
