@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import bh_adjust, pearson, seeded_hash
+from ..functions.stats import bh_adjust, pearson
 from ..functions.tails import normal_two_sided
 from ..session import cut
 from .matrix import distinct_values
 from .neighbors import row_normalise, spatial_knn, symmetrise
+from .permutations import permuted, ranked
 
 
 def gene_index(expr: DataFrame) -> DataFrame:
@@ -222,75 +223,93 @@ def observed_enrichment(knn: DataFrame, labels: DataFrame) -> DataFrame:
     return grid.join(shares, ["type_a", "type_b"], "left").fillna(0.0, subset=["observed"])
 
 
+class LabelPlaces:
+    """Which label lies at which position of a slide: labels in order, as many positions each as the slide has cells of it.
+
+    One row per slide and label reaches the driver and goes to the tasks.
+    """
+
+    def __init__(self, labels: DataFrame):
+        rows = labels.groupBy("slide_id", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+        self.names = sorted({r.label for r in rows})
+        code = {x: i for i, x in enumerate(self.names)}
+        counts: dict[str, np.ndarray] = {}
+        for r in rows:
+            counts.setdefault(r.slide_id, np.zeros(len(code), np.int64))[code[r.label]] = r.n
+        self.ends = {slide: np.cumsum(c) for slide, c in counts.items()}
+
+    def codes(self, slide: np.ndarray, rank: np.ndarray, size: np.ndarray, key: np.ndarray, perms: np.ndarray, seed: int) -> np.ndarray:
+        """The label codes of some cells in each permutation: cells x perms."""
+        out = np.zeros((len(rank), len(perms)), np.int32)
+        order = np.argsort(slide, kind="stable")
+        for rows in np.split(order, np.flatnonzero(slide[order][1:] != slide[order][:-1]) + 1):
+            if len(rows):
+                out[rows] = np.searchsorted(self.ends[slide[rows[0]]], permuted(rank[rows], size[rows], key[rows], perms, seed), side="right")
+        return out
+
+
 def shuffled_labels(labels: DataFrame, permutations: Column, seed: int, per_bucket: int = 50_000) -> DataFrame:
-    """Uniform within-slide relabelling that keeps each slide's label counts.
+    """(perm, slide_id, cell_id, label): uniform relabelling within slides that keeps each slide's label counts.
 
-    A cell's rank under a seeded hash picks its label. Ranks come from hash-range buckets and their running
-    totals, so no slide is ranked by one task.
+    Every cell computes its labels from its rank, its slide's size and the seed (see ``permutations``).
     """
-    size = labels.groupBy("slide_id").agg(F.count(F.lit(1)).alias("_m"))
-    ends = labels.groupBy("slide_id", "label").agg(F.count(F.lit(1)).alias("c")).withColumn(
-        "end", F.sum("c").over(W.partitionBy("slide_id").orderBy("label")))
-    table = ends.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("end", "label"))).alias("_ends")).join(size, "slide_id")
-    buckets = F.ceil(F.col("_m") / per_bucket)
-    u = F.pmod(seeded_hash(seed, "perm", "cell_id"), F.lit(1 << 40))
-    rows = (labels.select("slide_id", "cell_id").join(table.select("slide_id", "_m"), "slide_id")
-            .withColumn("perm", F.explode(permutations)).withColumn("_u", u)
-            .withColumn("_b", F.floor(F.col("_u") / float(1 << 40) * buckets)))
-    tally = rows.groupBy("perm", "slide_id", "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_before", F.coalesce(F.sum("_c").over(W.partitionBy("perm", "slide_id").orderBy("_b").rowsBetween(
-            W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    local = F.row_number().over(W.partitionBy("perm", "slide_id", "_b").orderBy("_u", "cell_id"))
-    ranked = rows.withColumn("_local", local).join(tally, ["perm", "slide_id", "_b"]).join(
-        table.select("slide_id", "_ends"), "slide_id")
-    rank = F.col("_before") + F.col("_local")
-    label = F.filter("_ends", lambda e: e["end"] >= rank)[0]["label"]
-    return ranked.select("perm", "slide_id", "cell_id", label.alias("label"))
-
-
-def _permuted_pairs(edges: DataFrame, named: DataFrame, codes: DataFrame, n_types: int, first: int, last: int, seed: int) -> DataFrame:
-    """(perm, a, b, n): label pairs on the edges for permutations first .. last - 1, labels as codes.
-
-    Each cell carries its labels of all these permutations as one array, so an edge is joined once for all of them; pairs are
-    counted per task, and only permutations x types x types rows leave it.
+    places = LabelPlaces(labels)
+    rows = ranked(labels, per_bucket).withColumn("perms", permutations.cast("array<bigint>"))
+
+    def relabel(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf[at:at + 256]
+                perms = np.array(part["perms"].iloc[0], np.int64)
+                code = places.codes(*(part[c].to_numpy() for c in ("slide_id", "rank", "size", "key")), perms, seed)
+                yield pd.DataFrame({"perm": np.tile(perms, len(part)), "slide_id": np.repeat(part["slide_id"].to_numpy(), len(perms)),
+                                    "cell_id": np.repeat(part["cell_id"].to_numpy(), len(perms)), "label": np.array(places.names, object)[code.ravel()]})
+
+    return rows.mapInPandas(relabel, "perm long, slide_id string, cell_id string, label string")
+
+
+def permuted_pairs(edges: DataFrame, places: LabelPlaces, cells: DataFrame, n_permutations: int, seed: int) -> DataFrame:
+    """(perm, a, b, n): label pairs on the edges in each permutation, labels as codes.
+
+    ``cells`` is what ``ranked`` returns. An edge carries the ranks of its two cells only and passes once for all permutations;
+    pairs are counted per task, so permutations x labels x labels rows leave it.
     """
-    width = last - first
-    shuffled = shuffled_labels(named, F.sequence(F.lit(first), F.lit(last - 1)), seed).join(F.broadcast(codes), "label")
-    arrays = shuffled.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "code"))), lambda e: e["code"]).alias("codes"))
-    a = arrays.select(F.col("cell_id").alias("src"), F.col("codes").alias("a"))
-    b = arrays.select(F.col("cell_id").alias("dst"), F.col("codes").alias("b"))
+    n_types = max(1, len(places.names))
+    end = lambda side: cells.select(F.col("cell_id").alias(side), F.struct("slide_id", "rank", "size", "key").alias(f"{side}_at"))
 
     def count(batches):
-        total = np.zeros(width * n_types * n_types, np.int64)
-        place = np.arange(width) * n_types * n_types
+        perms = np.arange(n_permutations)
+        total, place = np.zeros(n_permutations * n_types * n_types, np.int64), perms * n_types * n_types
         for batch in batches:
-            x, y = (batch.column(c).flatten().to_numpy().reshape(-1, width).astype(np.int64) for c in ("a", "b"))
-            for at in range(0, len(x), 4096):
-                total += np.bincount((place + x[at:at + 4096] * n_types + y[at:at + 4096]).ravel(), minlength=len(total))
+            ends = pa.concat_arrays([batch.column(0), batch.column(1)])
+            slide, rank, size, key = (ends.field(c).to_numpy(zero_copy_only=False) for c in ("slide_id", "rank", "size", "key"))
+            number = {x: i for i, x in enumerate(dict.fromkeys(slide))}
+            _, first, at = np.unique(np.array([number[x] for x in slide], np.int64) * (1 << 40) + rank, return_index=True, return_inverse=True)
+            for start in range(0, n_permutations, 128):  # strips of permutations and edges bound the memory
+                some = perms[start:start + 128]
+                code = places.codes(slide[first], rank[first], size[first], key[first], some, seed)
+                for edge in range(0, batch.num_rows, 4096):
+                    x, y = (code[at[side:side + batch.num_rows][edge:edge + 4096]] for side in (0, batch.num_rows))
+                    total += np.bincount((place[some] + x * n_types + y).ravel(), minlength=len(total))
         hit = np.flatnonzero(total)
         perm, pair = np.divmod(hit, n_types * n_types)
-        yield pa.RecordBatch.from_pydict({"perm": pa.array((perm + first).astype(np.int32)), "a": pa.array((pair // n_types).astype(np.int32)),
+        yield pa.RecordBatch.from_pydict({"perm": pa.array(perm.astype(np.int32)), "a": pa.array((pair // n_types).astype(np.int32)),
                                           "b": pa.array((pair % n_types).astype(np.int32)), "n": pa.array(total[hit])})
 
-    joined = edges.join(a, "src").join(b, "dst").select("a", "b")
+    joined = edges.join(end("src"), "src").join(end("dst"), "dst").select("src_at", "dst_at")
     return joined.mapInArrow(count, "perm int, a int, b int, n long").groupBy("perm", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def enrichment_test(knn: DataFrame, labels: DataFrame, n_permutations: int = 500, seed: int = 42, chunk: int = 100) -> DataFrame:
+def enrichment_test(knn: DataFrame, labels: DataFrame, n_permutations: int = 500, seed: int = 42) -> DataFrame:
     """Observed shares against the permutation null: z, two-tailed p and BH over all pairs; no rows for fewer than 4 cells."""
     edges, named = cut(knn.select("src", "dst")), cut(labels.select("slide_id", "cell_id", "label"))
     if named.limit(4).count() < 4:
         edges, named = edges.limit(0), named.limit(0)
-    names = sorted(r.label for r in named.select("label").distinct().collect())  # one row per label
-    codes = named.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "label string, code int")
-    null = None
-    for start in range(0, n_permutations, chunk):
-        pairs = _permuted_pairs(edges, named, codes, max(1, len(names)), start, min(start + chunk, n_permutations), seed)
-        part = _shares(pairs.withColumnsRenamed({"a": "type_a", "b": "type_b"}), ["perm"])
-        part = cut(part.select("perm", "type_a", "type_b", "share"))
-        null = part if null is None else null.unionByName(part)
-    a, b = (codes.select(F.col("code").alias(f"_{c}"), F.col("label").alias(c)) for c in ("type_a", "type_b"))
-    null = null.withColumnsRenamed({"type_a": "_type_a", "type_b": "_type_b"}).join(F.broadcast(a), "_type_a").join(F.broadcast(b), "_type_b")
+    places = LabelPlaces(named)
+    pairs = permuted_pairs(edges, places, cut(ranked(named)), n_permutations, seed)
+    shares = _shares(pairs.withColumnsRenamed({"a": "type_a", "b": "type_b"}), ["perm"])
+    name = F.array(*[F.lit(x) for x in places.names]) if places.names else F.array().cast("array<string>")
+    null = shares.select("perm", name[F.col("type_a")].alias("type_a"), name[F.col("type_b")].alias("type_b"), "share")
     b = float(n_permutations)
     observed = observed_enrichment(edges, named)
     stat = observed.join(null, ["type_a", "type_b"], "left").groupBy("type_a", "type_b", "observed").agg(

@@ -10,7 +10,7 @@ from ..operators import roi, spatial
 from ..operators.ranks import score_test
 from ..session import cut
 from ..sources import demo
-from .registry import POINT_EXPR, POINTS, bh, knn_cte, p_normal, register, symmetric_cte
+from .registry import POINT_EXPR, POINTS, bh, enrichment_sql, knn_cte, p_normal, register, symmetric_cte
 
 AXIS = lr.Axis("E1", "E2", "E3")
 PAIR_GENES = ["E1", "E2", "E3", "E4", "E5"]
@@ -153,9 +153,13 @@ def _(spark, d):
     return spatial.observed_enrichment(nb.spatial_knn(demo.points(spark, d), 10), labels(spark, d)).select("type_a", "type_b", *r6("observed"))
 
 
-@register("neighbourhood_enrichment")
+SCORES = ["observed", "null_mean", "z_score", "p_value", "p_adj"]
+
+
+@register("neighbourhood_enrichment", POINTS, knn_cte(10), enrichment_sql(), sql=f"""
+ SELECT type_a, type_b, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)} FROM enriched""")
 def _(spark, d):
-    return spatial.enrichment_test(nb.spatial_knn(demo.points(spark, d), 10), labels(spark, d))
+    return spatial.enrichment_test(nb.spatial_knn(demo.points(spark, d), 10), labels(spark, d)).select("type_a", "type_b", *r6(*SCORES))
 
 
 @register("spatial_coherence", POINTS, knn_cte(15), sql="""

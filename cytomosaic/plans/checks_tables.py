@@ -14,7 +14,7 @@ from . import pipelines
 from .checks_core import BY_TYPE, DGE_OUT, MARKERS, PAIR, dge_out, rank_cte, t_sql
 from .checks_labels import MWU_OUT, SIG, mwu
 from .checks_spatial import AXIS, LR, MORAN, NEAR
-from .registry import CELLS, COUNTS, DENSE, FEATURES, METRICS, PANEL, POINT_EXPR, POINTS, SIGNATURES, SLIDES, STUDY, knn_cte, register
+from .registry import CELLS, COUNTS, DENSE, FEATURES, METRICS, PANEL, POINT_EXPR, POINTS, SIGNATURES, SLIDES, STUDY, enrichment_sql, knn_cte, register
 
 A, B = demo.REFERENCE, demo.TEST
 
@@ -348,10 +348,13 @@ def _(spark, d):
     return demo.cells(spark, d).limit(1).select(F.lit(pair[0]).alias("reference"), F.lit(pair[1]).alias("test"))
 
 
-@register("table_enrichment_stars")
+@register("table_enrichment_stars", POINTS, knn_cte(10), enrichment_sql(), sql="""
+ SELECT type_a, type_b, round(observed, 6) AS observed, round(z_score, 6) AS z_score, round(p_adj, 6) AS p_adj,
+  CASE WHEN p_adj < 0.001 THEN '***' WHEN p_adj < 0.01 THEN '**' WHEN p_adj < 0.05 THEN '*' ELSE 'ns' END AS stars FROM enriched""")
 def _(spark, d):
     labels = demo.points(spark, d).select("slide_id", "cell_id", F.col("cell_type").alias("label"))
-    return ft.enrichment_cells(spatial.enrichment_test(neighbors.spatial_knn(demo.points(spark, d), 10), labels))
+    out = ft.enrichment_cells(spatial.enrichment_test(neighbors.spatial_knn(demo.points(spark, d), 10), labels))
+    return out.select("type_a", "type_b", *r6("observed", "z_score", "p_adj"), "stars")
 
 
 @register("table_display_sample", CELLS, sql="SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS n_distinct FROM cells")

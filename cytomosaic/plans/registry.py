@@ -123,3 +123,39 @@ def bh(p: str, by: str = "") -> str:
     """SELECT-list pieces need two levels, so the caller supplies rk = row_number over p and m = family size."""
     part = f"PARTITION BY {by} " if by else ""
     return f"least(1.0, min({p} * m / rk) OVER ({part}ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+def enrichment_sql(n_permutations: int = 500, seed: int = 42) -> str:
+    """CTEs after ``points`` and ``knn``: every cell's position in each permutation by the keyed bijection, then shares, z and p of label pairs."""
+    def mixed(e):
+        step = "list_transform({}, lambda x: {})"
+        first = step.format(f"[({e}) & 2147483647]", "(xor(x, x >> 16) * 73244475) & 2147483647")
+        return step.format(step.format(first, "(xor(x, x >> 15) * 295559667) & 2147483647"), "xor(x, x >> 16)") + "[1]"
+
+    def network(source):
+        body = f"(SELECT *, x >> half AS l0, x & ((1 << half) - 1) AS r0 FROM {source})"
+        for i in range(4):
+            body = f"(SELECT *, r{i} AS l{i + 1}, xor(l{i}, {mixed(f'r{i} + ' + mixed(f'k + {7919 * i}'))} & ((1 << half) - 1)) AS r{i + 1} FROM {body})"
+        return f"SELECT slide_id, cell_id, perm, m, half, k, (l4 << half) | r4 AS x FROM {body}"
+
+    return f"""ranks AS (SELECT slide_id, cell_id, row_number() OVER (PARTITION BY slide_id ORDER BY md5(cell_id), cell_id) - 1 AS x, count(*) OVER (PARTITION BY slide_id) AS m,
+  CAST('0x' || substr(md5(slide_id), 1, 7) AS BIGINT) AS key FROM points),
+ begin_ AS (SELECT slide_id, cell_id, perm, m, CAST((length(bin(m - 1)) + 1) // 2 AS BIGINT) AS half, {mixed(f'key + perm * 48271 + {seed * 69621}')} AS k, x
+  FROM ranks, unnest(range({n_permutations})) AS u(perm)),
+ walk AS ({network('begin_')} UNION ALL {network('(SELECT * FROM walk WHERE x >= m)')}),
+ pos AS (SELECT slide_id, cell_type, row_number() OVER (PARTITION BY slide_id ORDER BY cell_type, cell_id) - 1 AS x FROM points),
+ shuffled AS (SELECT perm, cell_id, cell_type FROM walk JOIN pos USING (slide_id, x) WHERE walk.x < m),
+ null_n AS (SELECT a.perm, a.cell_type AS type_a, b.cell_type AS type_b, count(*) AS n FROM knn JOIN shuffled a ON a.cell_id = src
+  JOIN shuffled b ON b.cell_id = dst AND a.perm = b.perm GROUP BY 1, 2, 3),
+ null_s AS (SELECT *, n / sum(n) OVER (PARTITION BY perm, type_a) AS share FROM null_n),
+ seen AS (SELECT a.cell_type AS type_a, b.cell_type AS type_b, count(*) AS n FROM knn JOIN points a ON a.cell_id = src JOIN points b ON b.cell_id = dst GROUP BY 1, 2),
+ t AS (SELECT DISTINCT cell_type FROM points),
+ obs AS (SELECT x.cell_type AS type_a, y.cell_type AS type_b, coalesce(n / sum(n) OVER (PARTITION BY x.cell_type), 0) AS observed
+  FROM t x CROSS JOIN t y LEFT JOIN seen ON type_a = x.cell_type AND type_b = y.cell_type),
+ stat AS (SELECT type_a, type_b, observed, coalesce(sum(share), 0) AS s, coalesce(sum(share * share), 0) AS q, count(*) FILTER (share >= observed) AS ge,
+  count(*) FILTER (share > observed) AS gt FROM obs LEFT JOIN null_s USING (type_a, type_b) GROUP BY 1, 2, 3),
+ scored AS (SELECT type_a, type_b, observed, s / {n_permutations} AS null_mean, (observed - s / {n_permutations}) /
+  (sqrt(greatest(q / {n_permutations} - pow(s / {n_permutations}, 2), 0)) + 1e-12) AS z_score,
+  least(1.0, least(CASE WHEN observed <= 0 THEN {n_permutations} ELSE ge END, {n_permutations} - gt) * 2.0 / {n_permutations + 1} + 2.0 / {n_permutations + 1}) AS p_value FROM stat),
+ ordered AS (SELECT *, row_number() OVER (ORDER BY p_value) AS rk, count(*) OVER () AS m FROM scored),
+ enriched AS (SELECT type_a, type_b, observed, null_mean, z_score, p_value, {bh('p_value')} AS p_adj FROM ordered)"""
