@@ -66,8 +66,8 @@ def _(spark, d):
 
 @register("harmony_embedding")
 def _(spark, d):
-    scores, _, _ = embedding.pca(*study(spark, d), 10)
-    return embedding.harmony(scores, demo.cells(spark, d), max_iter=2, inner=2, n_clusters=10)
+    scores, _, _ = embedding.pca(*study(spark, d), StudyConfig.n_pcs)
+    return embedding.harmony(scores, demo.cells(spark, d), StudyConfig.batch_key, StudyConfig.harmony_max_iter, seed=StudyConfig.random_state)
 
 
 @register("fuzzy_neighbour_weights")
@@ -191,6 +191,6 @@ def _(spark, d):
 
 @register("preprocessing_pipeline")
 def _(spark, d):
-    config = StudyConfig(min_counts=200, max_counts=2000, min_genes=12, max_genes=40, n_pcs=10, harmony_max_iter=1, random_state=7)
+    config = StudyConfig(min_counts=200, max_counts=2000, min_genes=12, max_genes=40)
     done = pipelines.preprocess(demo.cells(spark, d), demo.counts(spark, d), config)
     return done.cells.select("slide_id", "cell_id", "cluster")
