@@ -1,9 +1,9 @@
 """Exact nearest-neighbour joins.
 
-Spatial: points collapse to distinct locations, each location gets a grid level at which its own tile is small,
-and 3 x 3 tile equi-joins find candidates. A location whose k-th distance exceeds what its tiles guarantee goes to a
-coarser level in the next round; nothing is capped. Embedding: vectors are cut into bounded blocks around pivots,
-block pairs that the triangle inequality rules out are never compared, and only top-k rows leave a block pair.
+Spatial: points collapse to distinct locations, and each slide is cut into tiles of bounded load, once. Every location meets its
+own tile first; only if the circle of its k-th distance leaves the tile does it also ask the other tiles that the circle reaches,
+which it finds through an index of the tiles at every grid level. Nothing is capped. Embedding: vectors are cut into bounded
+blocks around pivots, block pairs that the triangle inequality rules out are never compared, and only top-k rows leave a block pair.
 """
 
 from __future__ import annotations
@@ -12,13 +12,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut
+from ..session import cut
 
 FINEST = 26  # bits per axis of the finest grid
+#: Targets of a tile, and locations that meet them in one task.
+TILE, ASKING = 512, 8192
+_LEAF = ["slide_id", "level", "gx", "gy"]
+_NEAR = "array<struct<d2:double,dst:string>>"
 
 
 def _locations(points: DataFrame, keep: int) -> DataFrame:
@@ -27,12 +32,6 @@ def _locations(points: DataFrame, keep: int) -> DataFrame:
     return points.select("slide_id", "cell_id", "x", "y").withColumn("_rn", rank).filter(F.col("_rn") <= keep)
 
 
-def _gridded(df: DataFrame, frame: DataFrame) -> DataFrame:
-    side = F.lit(float(2**FINEST))
-    at = lambda c, lo: F.least(F.floor((F.col(c) - F.col(lo)) / F.col("_ext") * side), side - 1).cast("bigint")
-    return df.join(frame, "slide_id").withColumn("ix", at("x", "_x0")).withColumn("iy", at("y", "_y0"))
-
-
 def _tile(level: str, axis: str):
     return F.expr(f"shiftright({axis}, {FINEST} - {level})")
 
@@ -49,97 +48,151 @@ def spatial_knn(points: DataFrame, k: int, targets: DataFrame | None = None, poo
     sources, build = scope(home), scope((targets if targets is not None else home).select(
         "slide_id", "cell_id", "x", "y").filter(located))
     want = k + 1 if exclude_self else k
-
-    extent = sources.select("slide_id", "x", "y").unionByName(build.select("slide_id", "x", "y")).groupBy("slide_id").agg(
-        F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
-    size = build.groupBy("slide_id").agg(F.count(F.lit(1)).alias("_m"))
-    span = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
-    # start where an average tile holds about k targets
-    start = F.floor(F.log2(F.greatest(F.col("_m") / want, F.lit(1.0))) / 2.0).cast("int")
-    frame = broadcast_if_small(cut(extent.join(size, "slide_id").select(
-        "slide_id", "_x0", "_y0", F.when(span > 0, span).otherwise(F.lit(1.0)).alias("_ext"),
-        F.least(F.greatest(start, F.lit(0)), F.lit(FINEST)).alias("_start"))))
-
-    target = cut(_gridded(_locations(build, want), frame).select(
-        "slide_id", "ix", "iy", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("cell_id").alias("dst")))
-    asking = _gridded(sources.select("slide_id", "x", "y").distinct(), frame).withColumn(
-        "level", F.col("_start")).withColumn("_ub", F.lit(None).cast("double"))
-    pending = _refine(asking, target, cap=16 * want)
-    done, step = None, 1
-    while True:
-        found = _one_round(pending, target, want)
-        found = cut(found)
-        good = found.filter("_final").drop("_final")
-        done = good if done is None else done.unionByName(good)
-        rest = found.filter(~F.col("_final") & (F.col("level") > 0))
-        levels = [r[0] for r in rest.select("level").distinct().collect()]
-        if not levels:
-            break
-        # with k found, the level whose tiles are wider than the k-th distance must settle it; otherwise look further out
-        kth = F.element_at("near", -1)["dist"]
-        full = F.size("near") >= want
-        settle = F.floor(F.log2(F.col("_ext") / F.greatest(kth * (1.0 + 1e-6), F.col("_ext") * 1e-12)))
-        coarser = F.when(full, F.least(settle, F.col("level") - 1)).otherwise(F.col("level") - step)
-        pending = rest.withColumn("_ub", F.when(full, kth)).withColumn("level", F.greatest(coarser, F.lit(0)).cast("int")).drop("near")
-        step *= 2
-    per_location = done.select("slide_id", "x", "y", "near")
-
+    per_location = _nearest(sources, build, want)
     asked = sources.join(per_location, ["slide_id", "x", "y"])
     near = F.filter("near", lambda n: n["dst"] != F.col("cell_id")) if exclude_self else F.col("near")
     rows = asked.select("slide_id", F.col("cell_id").alias("src"), F.posexplode(F.slice(near, 1, k)).alias("_p", "n")).select(
-        "slide_id", "src", F.col("n.dst").alias("dst"), F.col("n.dist").alias("dist"), (F.col("_p") + 1).alias("rank"))
+        "slide_id", "src", F.col("n.dst").alias("dst"), F.sqrt("n.d2").alias("dist"), (F.col("_p") + 1).alias("rank"))
     if pool_slides:
         rows = rows.drop("slide_id").join(home.select("slide_id", F.col("cell_id").alias("src")), "src")
         rows = rows.select("slide_id", "src", "dst", "dist", "rank")
     return rows
 
 
-def _refine(asking: DataFrame, target: DataFrame, cap: int) -> DataFrame:
-    """Descend crowded tiles: locations whose tile holds more than ``cap`` targets move to finer levels."""
-    work = asking
-    tile = ["slide_id", "level", "_gx", "_gy"]
+def _nearest(sources: DataFrame, build: DataFrame, want: int) -> DataFrame:
+    """(slide_id, x, y, near): the ``want`` nearest targets of every distinct source location, by distance and id."""
+    extent = sources.select("slide_id", "x", "y").unionByName(build.select("slide_id", "x", "y")).groupBy("slide_id").agg(
+        F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
+    size = build.groupBy("slide_id").agg(F.count(F.lit(1)).alias("_m"))
+    span = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    start = F.floor(F.log2(F.greatest(F.col("_m") * 4.0 / TILE, F.lit(1.0))) / 2.0).cast("int")
+    frame = cut(extent.join(size, "slide_id").select(  # one row per slide
+        "slide_id", "_x0", "_y0", F.when(span > 0, span).otherwise(F.lit(1.0)).alias("_ext"), F.least(start, F.lit(FINEST)).alias("level")))
+    side = F.lit(float(2**FINEST))
+    at = lambda c, lo: F.least(F.floor((F.col(c) - F.col(lo)) / F.col("_ext") * side), side - 1).cast("bigint")
+    place = lambda df: df.join(frame, "slide_id").withColumn("ix", at("x", "_x0")).withColumn("iy", at("y", "_y0")).drop("_x0", "_y0", "_ext")
+    both = _locations(build, want).select("slide_id", "x", "y", F.col("cell_id").alias("dst"), F.lit(0).alias("kind")).unionByName(
+        sources.select("slide_id", "x", "y").distinct().select("slide_id", "x", "y", F.lit(None).cast("string").alias("dst"), F.lit(1).alias("kind")))
+    work = _tiled(cut(place(both)))
+    target = F.col("kind") == 0
+    edge = lambda f, c, name: f(F.when(target, F.col(c))).alias(name)
+    leaves = cut(work.groupBy(*_LEAF).agg(F.count_if(target).alias("n"), F.count_if(~target).alias("s"), edge(F.min, "x", "x0"), edge(F.max, "x", "x1"),
+                                          edge(F.min, "y", "y0"), edge(F.max, "y", "y1")))
+    first = cut(_met(work.withColumn("ub", F.lit(None).cast("double")), leaves.select(*_LEAF, "s"), want).join(frame.drop("level"), "slide_id"))
+    # the circle of the k-th distance stays inside the tile, whose sides on the rim of the grid have nothing beyond
+    width, last = F.col("_ext") / F.pow(F.lit(2.0), F.col("level").cast("double")), F.pow(F.lit(2.0), F.col("level").cast("double")) - 1
+    free = lambda c, lo, g: F.least(F.when(F.col(g) > 0, F.col(c) - (F.col(lo) + F.col(g) * width)).otherwise(F.lit(float("inf"))),
+                                    F.when(F.col(g) < last, F.col(lo) + (F.col(g) + 1) * width - F.col(c)).otherwise(F.lit(float("inf"))))
+    reach = F.when(F.size("near") >= want, F.sqrt(F.element_at("near", -1)["d2"]))
+    held = F.coalesce(reach < F.least(free("x", "_x0", "gx"), free("y", "_y0", "gy")) * (1.0 - 1e-9), F.lit(False))
+    first = first.withColumn("reach", reach * (1.0 + 1e-9)).withColumn("held", held)
+    asks = cut(_asks(first.filter("NOT held"), leaves, want))
+    load = asks.groupBy(*_LEAF).agg(F.count(F.lit(1)).alias("s"))
+    shelf = work.filter(target).join(load.drop("s"), _LEAF, "left_semi").select(*_LEAF, "x", "y", "dst", "kind", F.lit(None).cast("double").alias("ub"))
+    second = _met(shelf.unionByName(asks.select(*_LEAF, "x", "y", F.lit(None).cast("string").alias("dst"), F.lit(1).alias("kind"), "ub")), load, want)
+    open_ = first.filter("NOT held").select("slide_id", "x", "y", "near").unionByName(second.select("slide_id", "x", "y", "near"))
+    merged = open_.groupBy("slide_id", "x", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, want).alias("near"))
+    return first.filter("held").select("slide_id", "x", "y", "near").unionByName(merged)
+
+
+def _tiled(work: DataFrame) -> DataFrame:
+    """``work`` with the tile of each row (level, gx, gy): crowded tiles are split until none holds more than TILE targets.
+
+    Tiles of a single location at the finest grid stay; a location is never more than the wanted number of rows.
+    """
     while True:
-        placed = work.withColumn("_gx", _tile("level", "ix")).withColumn("_gy", _tile("level", "iy"))
-        # only tiles that somebody asks from matter: a crowd that has moved on stays in the coarse tile it left
-        crowded = target.join(work.select("slide_id", "level").distinct(), "slide_id").groupBy(
-            "slide_id", "level", _tile("level", "ix").alias("_gx"), _tile("level", "iy").alias("_gy")).agg(
-            F.count(F.lit(1)).alias("_n"), F.greatest(F.max("ix") - F.min("ix"), F.max("iy") - F.min("iy")).alias("_w")
-        ).filter((F.col("_n") > cap) & (F.col("level") < FINEST)).join(placed.select(*tile).distinct(), tile, "left_semi")
+        placed = work.withColumn("gx", _tile("level", "ix")).withColumn("gy", _tile("level", "iy"))
+        crowded = placed.filter("kind = 0").groupBy(*_LEAF).agg(
+            F.count(F.lit(1)).alias("_n"), F.greatest(F.max("ix") - F.min("ix"), F.max("iy") - F.min("iy")).alias("_w")).filter(
+            (F.col("_n") > TILE) & (F.col("level") < FINEST))
         # go straight to tiles of the clump's own extent, split further by its load
-        fit = FINEST - F.ceil(F.log2(F.col("_w") + 1.0)) + F.floor(F.log2(F.col("_n") / float(cap)) / 2.0)
+        fit = FINEST - F.ceil(F.log2(F.col("_w") + 1.0)) + F.floor(F.log2(F.col("_n") * 4.0 / TILE) / 2.0)
         crowded = cut(crowded.withColumn("_to", F.least(F.greatest(fit, F.col("level") + 1), F.lit(FINEST)).cast("int")).drop("_n", "_w"))
         if crowded.isEmpty():
-            return work
-        work = cut(placed.join(crowded, tile, "left").withColumn("level", F.coalesce("_to", "level")).drop("_to", "_gx", "_gy"))
-
-
-def _one_round(pending: DataFrame, target: DataFrame, want: int) -> DataFrame:
-    """Candidates from the 3 x 3 tiles around each pending location, the best ``want`` of them, and whether they are final."""
-    active = pending.select("slide_id", "level").distinct()
-    shelf = target.join(active, "slide_id").withColumn("_gx", _tile("level", "ix")).withColumn("_gy", _tile("level", "iy"))
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    ask = (pending.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-           .withColumn("_gx", _tile("level", "ix") + F.col("_dx")).withColumn("_gy", _tile("level", "iy") + F.col("_dy"))
-           .filter((F.col("_gx") >= 0) & (F.col("_gy") >= 0)))
-    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    pairs = ask.select("slide_id", "level", "x", "y", "_ub", "_gx", "_gy").join(
-        shelf.select("slide_id", "level", "_gx", "_gy", "tx", "ty", "dst"), ["slide_id", "level", "_gx", "_gy"]
-    ).select("slide_id", "x", "y", "_ub", (dx * dx + dy * dy).alias("d2"), "dst").filter(
-        F.col("_ub").isNull() | (F.col("d2") <= F.col("_ub") * F.col("_ub") * (1.0 + 1e-9))).drop("_ub")
-    rank = F.row_number().over(W.partitionBy("slide_id", "x", "y").orderBy("d2", "dst"))
-    best = pairs.withColumn("_r", rank).filter(F.col("_r") <= want)
-    near = F.transform(F.array_sort(F.collect_list(F.struct("_r", "dst", F.sqrt("d2").alias("dist")))),
-                       lambda s: F.struct(s["dst"].alias("dst"), s["dist"].alias("dist")))
-    lists = best.groupBy("slide_id", "x", "y").agg(near.alias("near"), F.sqrt(F.max("d2")).alias("_kth"))
-    # everything closer than the nearest outer edge of the 3 x 3 tiles has been seen
-    width = F.col("_ext") / F.pow(F.lit(2.0), F.col("level").cast("double"))
-    gap = lambda c, lo, axis: F.least(
-        F.col(c) - (F.col(lo) + (_tile("level", axis) - 1) * width), F.col(lo) + (_tile("level", axis) + 2) * width - F.col(c))
-    seen = F.least(gap("x", "_x0", "ix"), gap("y", "_y0", "iy")) * (1.0 - 1e-9)
-    final = ((F.size("near") >= want) & (F.col("_kth") < seen)) | (F.col("level") == 0)
-    return pending.join(lists, ["slide_id", "x", "y"], "left").withColumn(
-        "near", F.coalesce("near", F.array().cast("array<struct<dst:string,dist:double>>"))).withColumn(
-        "_final", F.coalesce(final, F.lit(False))).drop("_kth")
+            return placed
+        work = cut(placed.join(crowded, _LEAF, "left").withColumn("level", F.coalesce("_to", "level")).drop("_to", "gx", "gy"))
+
+
+def _met(rows: DataFrame, load: DataFrame, want: int) -> DataFrame:
+    """(slide_id, level, gx, gy, x, y, near): every asking row (kind 1) with the nearest targets (kind 0) of its tile, up to its ``ub``.
+
+    Tiles from which more than ASKING rows ask (``load``: s per tile) are dealt to several tasks, each with all the tile's targets.
+    """
+    split = load.filter(F.col("s") > ASKING).select(*_LEAF, F.ceil(F.col("s") / ASKING).cast("int").alias("_c"))
+    own = F.array(F.pmod(F.xxhash64("x", "y"), F.col("_c")).cast("int"))
+    rows = rows.join(split, _LEAF, "left").withColumn("salt", F.explode(F.when(F.col("_c").isNull(), F.array(F.lit(0))).when(
+        F.col("kind") == 0, F.sequence(F.lit(0), F.col("_c") - 1)).otherwise(own))).drop("_c")
+
+    def meet(table: pa.Table) -> pa.Table:
+        kind, x, y = (table[c].to_numpy() for c in ("kind", "x", "y"))
+        ask, hold = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+        ids = np.array(table["dst"].take(pa.array(hold)).to_pylist(), object)
+        order = np.argsort(ids, kind="stable")
+        ids, tx, ty = ids[order], x[hold][order], y[hold][order]
+        limit = table["ub"].to_numpy()[ask].astype(float)
+        limit = np.where(np.isnan(limit), np.inf, limit * limit * (1.0 + 1e-9))
+        found = [np.zeros((3, 0))]
+        for at in range(0, len(ask) if len(ids) else 0, 256):
+            sx, sy = x[ask[at:at + 256], None], y[ask[at:at + 256], None]
+            d2 = (sx - tx) * (sx - tx) + (sy - ty) * (sy - ty)
+            top = limit[at:at + 256]
+            if len(ids) > want:
+                top = np.minimum(top, np.partition(d2, want - 1, axis=1)[:, want - 1])
+            row, column = np.nonzero(d2 <= top[:, None])
+            dist = d2[row, column]
+            by = np.lexsort((column, dist, row))  # ties go to the smaller id
+            row, column, dist = row[by], column[by], dist[by]
+            starts = np.searchsorted(row, np.arange(len(sx)))
+            keep = np.arange(len(row)) - starts[row] < want
+            found.append(np.stack((row[keep] + at, column[keep], dist[keep])))
+        row, column, dist = np.concatenate(found, axis=1)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row.astype(np.int64), minlength=len(ask))))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(dist), pa.array(ids[column.astype(np.int64)].tolist(), pa.string())], ["d2", "dst"])
+        out = table.select([*_LEAF, "x", "y"]).take(pa.array(ask))
+        return out.append_column("near", pa.ListArray.from_arrays(pa.array(offsets), pairs))
+
+    kind = rows.schema["slide_id"].dataType.simpleString()
+    return rows.select(*_LEAF, "salt", "x", "y", "dst", "kind", "ub").groupBy(*_LEAF, "salt").applyInArrow(
+        meet, f"slide_id {kind}, level int, gx bigint, gy bigint, x double, y double, near {_NEAR}")
+
+
+def _asks(pending: DataFrame, leaves: DataFrame, want: int) -> DataFrame:
+    """(slide_id, level, gx, gy, x, y, ub): the other tiles that the circle around each pending location may reach.
+
+    The radius is the k-th distance in the own tile or, with fewer than k targets there, the farthest corner of the smallest block
+    of tiles around it that holds k (all of the slide, if it has fewer). The circle covers at most 3 x 3 tiles of the grid level at
+    which tiles are as wide as the radius; there it finds the tiles of that level and below, and on coarser levels those of
+    exactly that level.
+    """
+    full = leaves.filter("n > 0")
+    blocks = full.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumn(
+        "bx", F.expr("shiftright(gx, level - l)")).withColumn("by", F.expr("shiftright(gy, level - l)"))
+    blocks = blocks.select("slide_id", "l", "bx", "by", "n", "x0", "x1", "y0", "y1", F.col("level").alias("leaf_level"), F.col("gx").alias("leaf_x"),
+                           F.col("gy").alias("leaf_y"))
+    short = pending.filter("reach IS NULL")
+    sums = blocks.groupBy("slide_id", "l", "bx", "by").agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"),
+                                                           F.max("y1").alias("y1")).filter(F.col("n") >= want)
+    far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(f"{c}1") - F.col(c)))
+    up = short.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumn("bx", F.expr("shiftright(gx, level - l)")).withColumn(
+        "by", F.expr("shiftright(gy, level - l)"))
+    radius = up.join(sums, ["slide_id", "l", "bx", "by"], "left").groupBy("slide_id", "x", "y").agg(
+        (F.min(F.sqrt(far("x") * far("x") + far("y") * far("y"))) * (1.0 + 1e-9)).alias("reach"))
+    asking = pending.filter("reach IS NOT NULL").drop("near", "held").unionByName(
+        short.drop("near", "held", "reach").join(radius, ["slide_id", "x", "y"]))
+    span = full.groupBy("slide_id").agg(F.min("level").alias("_low"), F.max("level").alias("_high"))
+    ext, ub = F.col("_ext"), F.coalesce("reach", F.col("_ext") * 4.0)
+    level = F.greatest(F.least(F.floor(F.log2(ext / F.greatest(ub, ext * 1e-9))).cast("int"), F.col("_high")), F.lit(0))
+    asking = asking.join(span, "slide_id").withColumn("ub", ub).withColumn("_to", level).withColumn(
+        "l", F.explode(F.sequence(F.least("_low", "_to"), F.col("_to"))))
+    tiles = F.pow(F.lit(2.0), F.col("l").cast("double"))
+    number = lambda c, lo, sign: F.least(F.greatest(F.floor((F.col(c) + sign * F.col("ub") - F.col(lo)) / ext * tiles * (1.0 + sign * 1e-9)), F.lit(0.0)), tiles - 1).cast("bigint")
+    spread = asking.withColumn("bx", F.explode(F.sequence(number("x", "_x0", -1), number("x", "_x0", 1)))).withColumn(
+        "by", F.explode(F.sequence(number("y", "_y0", -1), number("y", "_y0", 1))))
+    gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
+    near = F.col("reach").isNull() | (gap("x") * gap("x") + gap("y") * gap("y") <= F.col("ub") * F.col("ub"))
+    other = (F.col("leaf_level") != F.col("level")) | (F.col("leaf_x") != F.col("gx")) | (F.col("leaf_y") != F.col("gy"))
+    found = spread.join(blocks.drop("n"), ["slide_id", "l", "bx", "by"]).filter(((F.col("l") == F.col("_to")) | (F.col("leaf_level") == F.col("l"))) & near & other)
+    return found.select("slide_id", F.col("leaf_level").alias("level"), F.col("leaf_x").alias("gx"), F.col("leaf_y").alias("gy"), "x", "y", F.col("reach").alias("ub"))
 
 
 def nearest_of_class(points: DataFrame, targets: DataFrame, pool_slides: bool = False) -> DataFrame:

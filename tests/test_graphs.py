@@ -47,6 +47,23 @@ def test_spatial_knn_with_a_hot_spot_and_outliers(spark):
     assert found(neighbors.spatial_knn(points_frame(spark, xy), 5)) == brute(xy, 5)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_spatial_knn_in_small_tiles(spark, monkeypatch, seed):
+    monkeypatch.setattr(neighbors, "TILE", 8)
+    monkeypatch.setattr(neighbors, "ASKING", 5)
+    rng = np.random.default_rng(seed)
+    clump = rng.normal(size=(60, 2)) * 1e-5 + 40
+    xy = [tuple(p) for p in np.round(np.concatenate([rng.random((150, 2)) * 100, clump, [[40.0, 40.0]] * 25, [[1e5, -3e4], [-2e5, 0.0]]]), 7)]
+    slides = ["a" if i % 7 else "b" for i in range(len(xy))]
+    frame = points_frame(spark, xy, slides)
+    assert found(neighbors.spatial_knn(frame, 6)) == brute(xy, 6, slides)
+    few = frame.filter("cast(substring(cell_id, 2) AS int) % 20 = 3")
+    near = {r.cell_id: (r.nearest_id, r.dist) for r in neighbors.nearest_of_class(frame, few).collect()}
+    for i, (p, s) in enumerate(zip(xy, slides)):
+        d = sorted((((p[0] - a) * (p[0] - a) + (p[1] - b) * (p[1] - b)) ** 0.5, f"p{j:04d}") for j, ((a, b), t) in enumerate(zip(xy, slides)) if j % 20 == 3 and t == s)
+        assert near[f"p{i:04d}"] == ((d[0][1], d[0][0]) if d else (None, None))
+
+
 def test_spatial_knn_layout_and_slides(spark):
     rng = np.random.default_rng(1)
     xy, slides = rng.normal(size=(150, 2)).tolist(), [f"s{i % 3}" for i in range(150)]
