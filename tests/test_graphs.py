@@ -153,6 +153,32 @@ def test_pca_matches_numpy_and_scores_are_uncorrelated(spark):
         embedding.pca(expr.filter("gene in ('g0', 'g1')"), cells, 3)
 
 
+def test_subspace_iteration_on_a_flat_spectrum():
+    rng = np.random.default_rng(9)
+    q = np.linalg.qr(rng.normal(size=(400, 400)))[0]
+    matrix = (q * np.concatenate([np.linspace(3, 2, 20), np.linspace(1.9, 0.5, 380)])) @ q.T
+    passes = []
+    value, vector = embedding.leading_vectors(lambda v: passes.append(v.shape[1]) or matrix @ v, 400, 12)
+    assert np.abs(value - np.linalg.eigvalsh(matrix)[::-1][:12]).max() < 1e-9 and np.abs(matrix @ vector - vector * value).max() < 1e-7
+    assert len(passes) < 60 and max(passes) <= 22
+
+
+def test_pca_keeps_all_distances_with_all_components(spark):
+    rng = np.random.default_rng(10)
+    x = np.maximum(rng.normal(size=(70, 30)), 0)
+    expr = spark.createDataFrame([("s", str(i), f"g{j:02d}", float(x[i, j])) for i in range(69) for j in range(30) if x[i, j] > 0],
+                                 "slide_id string, cell_id string, gene string, lognorm double")
+    x[69] = 0.0  # a cell without any entry
+    cells = spark.createDataFrame([("s", str(i)) for i in range(70)], "slide_id string, cell_id string")
+    scores, loadings, variance = embedding.pca(expr, cells, 29)
+    got = {r.cell_id: np.array(r.vec) for r in scores.collect()}
+    s = np.stack([got[str(i)] for i in range(70)])
+    flat = x - x.mean(0)
+    rest = flat - s @ np.linalg.pinv(s) @ flat  # all but the last component
+    assert np.linalg.norm(rest, 2) ** 2 == pytest.approx(np.sort(np.linalg.eigvalsh(flat.T @ flat))[0], rel=1e-6)
+    assert variance.agg({"ratio": "sum"}).first()[0] < 1 and loadings.count() == 30 * 29
+
+
 def test_harmony_identity_and_mixing(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(120, 3)) + np.repeat([[4, 0, 0], [0, 4, 0]], 60, axis=0)
