@@ -306,6 +306,14 @@ def refine_domains(labels: DataFrame, graph: DataFrame, min_cells: int = 30) ->
     return base.join(choice, "cell_id", "left").select("cell_id", F.coalesce("to", "label").alias("label"))
 
 
+def lineage_levels(names: list[str], most: int = 12) -> list[str]:
+    """The variants of a lineage table: all, or beyond ``most`` every so-manyth with the last."""
+    if len(names) <= most:
+        return names
+    some = names[::max(1, len(names) // most)]
+    return some if some[-1] == names[-1] else [*some, names[-1]]
+
+
 def lineage(assignments: DataFrame, order: list[str]) -> DataFrame:
     """Overlaps between consecutive variants: cells, share of the parent and of the child cluster."""
     spark = assignments.sparkSession

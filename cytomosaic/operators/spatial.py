@@ -181,18 +181,23 @@ def local_coexpression(knn: DataFrame, expr: DataFrame, cells: DataFrame, genes:
 
     def partial(batches):
         total, seen = np.zeros((g, g)), np.zeros((g, g))
-        for pdf in batches:
-            for rows in pdf["xs"]:
-                x = np.stack(list(rows)).astype(float)
-                sd = x.std(0)
-                live = sd >= 1e-9
-                z = np.where(live, (x - x.mean(0)) / np.where(live, sd, 1.0), 0.0)
-                total += z.T @ z / len(x)
-                seen += np.outer(live, live)
+        for batch in batches:
+            lists = batch.column("xs")
+            length, flat = lists.value_lengths().to_numpy(), lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, g)
+            first = np.cumsum(length) - length
+            for k in np.unique(length):  # cells of as many neighbours make one array
+                cells_of = np.flatnonzero(length == k)
+                for at in range(0, len(cells_of) if k else 0, 1024):
+                    x = flat[first[cells_of[at:at + 1024], None] + np.arange(k)]
+                    sd = x.std(1)
+                    live = sd >= 1e-9
+                    z = np.where(live[:, None], (x - x.mean(1, keepdims=True)) / np.where(live, sd, 1.0)[:, None], 0.0)
+                    total += np.einsum("nkg,nkh->gh", z, z, optimize=True) / k
+                    seen += live.T.astype(float) @ live
         i, j = np.triu_indices(g, 1)
-        yield pd.DataFrame({"i": i, "j": j, "t": total[i, j], "n": seen[i, j]})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "t": total[i, j], "n": seen[i, j]})
 
-    sums = per_cell.select("xs").mapInPandas(partial, "i int, j int, t double, n double").groupBy("i", "j").agg(
+    sums = per_cell.select("xs").mapInArrow(partial, "i int, j int, t double, n double").groupBy("i", "j").agg(
         F.sum("t").alias("t"), F.sum("n").alias("n"))
     value = F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(F.lit(0.0))
     upper = sums.select("i", "j", value.alias("value"))

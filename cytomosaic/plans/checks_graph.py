@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import StudyConfig
-from ..operators import community, embedding, neighbors, quality, spatial, summaries, sweeps
+from ..operators import community, descent, embedding, neighbors, quality, spatial, summaries, sweeps
 from ..session import cut
 from ..sources import demo
 from . import pipelines
@@ -75,6 +75,14 @@ def _(spark, d):
     return pipelines.expression_graph(demo.point_vectors(spark, d), 12)
 
 
+@register("embedding_knn_descent", sql="SELECT count(*) AS n_cells, 10 * count(*) AS n_edges, true AS recall_of_95_percent FROM embeddings")
+def _(spark, d):
+    vectors = demo.point_vectors(spark, d)
+    # blocks far smaller than the table, so that the rounds do the work
+    found = cut(descent.descent_knn(vectors, 10, block_rows=128))
+    return descent.recall(found, neighbors.embedding_knn(vectors, 10)).select("n_cells", "n_edges", (F.col("recall") >= 0.95).alias("recall_of_95_percent"))
+
+
 # ---- communities and quality -------------------------------------------------------------------------------
 
 @register("communities")
@@ -123,7 +131,7 @@ def _(spark, d):
 @register("cluster_lineage")
 def _(spark, d):
     g = cut(pipelines.expression_graph(demo.point_vectors(spark, d), 12))
-    names = ["0.30", "0.60", "1.20"]
+    names = community.lineage_levels([f"{0.1 * i:.2f}" for i in range(1, 21)])
     variants = spark.createDataFrame([(n, float(n)) for n in names], "variant string, gamma double")
     spread = g.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names])))
     return community.lineage(cut(community.communities(spread, variants)), names)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import StudyConfig
-from ..operators import annotate, community, composition, dge, embedding, ligand_receptor, neighbors, normalize, panel, qc, spatial, sweeps
+from ..operators import annotate, community, composition, descent, dge, embedding, ligand_receptor, neighbors, normalize, panel, qc, spatial, sweeps
 from ..operators.matrix import group_gene_stats
 from ..schemas import CELL_KEY
 from ..session import cut
@@ -27,9 +27,11 @@ class Preprocessed:
     counts: DataFrame
 
 
-def expression_graph(vectors: DataFrame, n_neighbors: int) -> DataFrame:
-    """Fuzzy weighted neighbour graph of an embedding."""
-    near = cut(neighbors.embedding_knn(vectors, n_neighbors))
+def expression_graph(vectors: DataFrame, n_neighbors: int, method: str = "descent") -> DataFrame:
+    """Fuzzy weighted neighbour graph of an embedding: neighbours by ``descent``, or ``exact``, whose work grows with the block pairs."""
+    if method not in ("descent", "exact"):
+        raise ValueError(f"unknown neighbour method {method}")
+    near = cut((descent.descent_knn if method == "descent" else neighbors.embedding_knn)(vectors, n_neighbors))
     return embedding.fuzzy_weights(near, n_neighbors)
 
 
