@@ -8,7 +8,7 @@ only if it reaches the outer bound. The bounds are floats, rounded outwards; whe
 the result is that of plain k-means with ties to the lower index. As in Drake and Hamerly (2012), b starts at a quarter of the
 entries and then follows what the parts needed.
 
-The state is a column beside the vector and is written once per round. Entry sums change by integer deltas of the parts that moved,
+The state is a column beside the vector; it is written once per round, and the round before is removed. Entry sums change by integer deltas of the parts that moved,
 added up by Spark; only entries (parts x 16 x width numbers per vector length) reach the driver.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, remove, written
 from .topk import INT64
 
 PARTS, ENTRIES, ROUNDS = 8, 16, 6
@@ -214,14 +214,16 @@ def fit(rows: DataFrame) -> tuple[DataFrame, dict[int, list[np.ndarray]], list[d
     Coded rows hold vec_id, label, code (two hex digits a part), error and codebooks_sha256. Work per round and length: distances
     computed, parts settled with 0, 1, ... of their closest entries, and b.
     """
-    rows = cut(rows)
-    books = _first_books(rows)
+    state, path = written(rows)
+    books = _first_books(state)
     moved = {d: [np.zeros(len(p)) for p in parts] for d, parts in books.items()}
     totals = {d: [(np.zeros(p.shape, object), np.zeros(len(p), object)) for p in parts] for d, parts in books.items()}
     b = {d: min(max(1, ENTRIES // 4), len(parts[0]) - 1) for d, parts in books.items()}
-    state, held, work = rows, None, []
+    held, work = None, []
     for turn in range(ROUNDS + 1):
-        state = cut(_round(state, books, moved, held, dict(b)))
+        last = path
+        state, path = written(_round(state, books, moved, held, dict(b)))
+        remove(rows.sparkSession, last)
         held, done = dict(b), {d: np.zeros(b[d] + 3, np.int64) for d in b}
         for r in _deltas(state, books).collect():
             if r.part < 0:
