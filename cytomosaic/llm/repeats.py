@@ -1,18 +1,19 @@
-"""Removal of long exact repeats with Burrows-Wheeler transforms merged by interleave refinement.
+"""Removal of long exact repeats by interleave refinement of the suffixes of anchored regions.
 
 A string of ``LENGTH`` bytes is removed wherever it starts more than once in the corpus. Two steps:
 
 1. *Anchors.* In every LENGTH-byte window the ``GRAM``-byte string with the smallest hash (leftmost on ties) is its anchor. Equal
    windows have equal anchors at equal offsets, so windows whose anchor occurs once are unique, and all others meet by anchor.
    An anchor's *region* is the text of all its windows; a region that occurs again as a whole is repeated as a whole.
-2. *Merging.* Within an anchor bucket each distinct region is a shard with its own transform; symbols are blocks of ``STEP`` bytes, so a
-   suffix's predecessor starts STEP bytes earlier. The interleave of all shards starts sorted by one block. Each round takes every
-   suffix's preceding symbol in the present order and deals the predecessors stably by it (the last-to-first step), which sorts by
-   one block more; no suffix is compared or sorted anew. A class of the interleave after round r shares r blocks (its common prefix),
+2. *Merging.* Within an anchor bucket each distinct region is a shard; symbols are blocks of ``STEP`` bytes, so a suffix's predecessor
+   starts STEP bytes earlier. The interleave of all shards starts sorted by one block. Each round sorts the predecessors of the
+   suffixes that remain by (preceding symbol, class), which makes the order reach one block further; symbols stand in by 64-bit
+   hashes, transforms are not stored, and no two suffixes are compared beyond that. A class of the interleave after round r shares r blocks (its common prefix),
    a suffix alone in its class is settled and leaves with all its predecessors, and what is left after LENGTH / STEP rounds are the
    repeated windows, whose runs are the repeated intervals.
 
-The interleave holds suffix numbers rather than shard numbers, so a shard needs no order of its own.
+The interleave holds suffix numbers rather than shard numbers, so a shard needs no order of its own. Regions and windows that occur
+again are told by counts of 64-bit hashes, which are not checked on the bytes.
 """
 
 from __future__ import annotations
