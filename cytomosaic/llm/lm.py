@@ -1,12 +1,16 @@
-"""Stupid-backoff language model over bytes, counted and scored relationally.
+"""Stupid-backoff language model over words, counted and scored relationally, every document by the counts of all others.
 
-``S(b | 4 bytes before) = count(5 bytes) / count(4 bytes before, followed by anything)`` if the 5 bytes occur at least
-``min_count`` times, else ``BACKOFF * S(b | 3 bytes before)``, down to single bytes, which need no count. Texts are led by
-``ORDER - 1`` zero bytes, so each byte ends exactly one ORDER-gram.
+Words are runs of bytes other than ASCII white space, A-Z lower-cased. ``S(w | u v) = count(u v w) / count(u v)`` if other rows
+hold ``u v w`` at all, else ``BACKOFF * S(w | v)``, down to ``count(w) / words``; a word that no other row holds counts as
+BACKOFF. No count is too small to matter. A row's own n-grams are taken off the counts that score it: otherwise no n-gram of the
+corpus would ever back off, and a text of words nobody else uses would score best.
 
-Documents form blocks. A block's ORDER-grams are exploded and pre-aggregated; their sums over all blocks are the count table,
-hash-partitioned by n-gram, from which the tables of shorter n-grams follow by grouping. Joined, they give every distinct
-ORDER-gram its score; joined to the blocks' n-grams, the score travels back to each block, where it is summed per document.
+Documents form blocks of bounded bytes. A block's n-grams are exploded and pre-aggregated; hash-partitioned by n-gram, they are
+summed over all blocks. The sums are joined back to the blocks that hold the n-gram, where scores are summed per document; only
+n-grams of two or more blocks travel back, as a block knows the counts of the others itself.
+
+n-grams are compared by 64-bit hashes of their words, which are not checked on the words. They travel as sorted runs, one row per
+block and bucket: as one row each they would take about three times the space.
 """
 
 from __future__ import annotations
@@ -16,151 +20,251 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .common import partitions, slices
+from ..session import broadcast_if_small, cut
+from .common import WORD, cut_at_space, partitions, slices
 
-ORDER = 5
+ORDER = 3
 BACKOFF = 0.4
-MIN_COUNT = 5
-#: doc_ids per block; blocks follow doc_id because files usually do, so that a task meets few blocks.
-BLOCK_IDS = 4096
-_PIECE = 1 << 20
-
-
-def _codes(text: bytes, order: int = ORDER):
-    """Codes of the ``order`` bytes that end at each byte of ``text``, in pieces."""
-    lead = b"\0" * (order - 1)
-    for at in range(0, len(text), _PIECE):
-        part = lead + text[at:at + _PIECE]
-        raw = np.frombuffer(part, np.uint8)
-        code = np.zeros(len(raw) - order + 1, np.int64)
-        for i in range(order):
-            code = (code << 8) | raw[i:len(raw) - order + 1 + i]
-        yield code
-        lead = part[-(order - 1):]
-
-
-def block_of(doc_id="doc_id"):
-    """Block of a row; rows without doc_id are dealt over a thousand blocks by their text."""
-    return F.coalesce(F.floor(F.col(doc_id) / BLOCK_IDS), -1 - F.pmod(F.xxhash64("text"), F.lit(1000)))
-
-
-def explode_grams(batches):
-    """(block, gram, n) per task: the distinct n-grams of each block's documents, sums flushed when a few million are held."""
-    held: dict[int, list] = {}
-    size = 0
-
-    def merged(parts):
-        gram = np.concatenate([g for g, _ in parts])
-        n = np.concatenate([c for _, c in parts])
-        key, at = np.unique(gram, return_inverse=True)
-        return key, np.bincount(at, n, len(key)).astype(np.int64)
-
-    def flush():
-        for block, parts in held.items():
-            gram, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array(gram), pa.array(n)], ["block", "gram", "n"])
+#: doc_ids per block (blocks follow doc_id because files usually do, so that a task meets few of them), and bytes of a block at most, about.
+BLOCK_IDS, BLOCK_BYTES = 8192, 64 << 20
+#: Bytes of text whose n-grams meet in one bucket, about.
+BUCKET_BYTES = 16 << 20
+#: Distinct n-grams that a task holds before it passes them on.
+_HELD = 8_000_000
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((31, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word: a polynomial of its bytes, mixed. Long texts are taken in pieces."""
+    found = [np.zeros(0, np.uint64)]
+    for piece in cut_at_space(text.encode().lower()) if text else ():
+        raw = np.frombuffer(piece, np.uint8)
+        inside = np.concatenate(([False], ~_SPACE[raw], [False]))
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        if not len(starts):
+            continue
+        lengths = ends - starts
+        first = np.cumsum(lengths) - lengths
+        power = np.cumprod(np.full(int(lengths.max()), _BASE))
+        body = raw[inside[1:-1]].astype(np.uint64) + np.uint64(1)
+        found.append(_mixed(np.add.reduceat(body * power[np.arange(len(body)) - np.repeat(first, lengths)], first)))
+    return np.concatenate(found)
+
+
+def gram_hashes(words: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams of 1 to ORDER words, by last word."""
+    grams = [words]
+    for k in range(2, ORDER + 1):
+        grams.append(_mixed(grams[-1][:-1] * _BASE + words[k - 1:] + np.uint64(k)))
+    return grams
+
+
+def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, counts) of several such pairs."""
+    if len(parts) == 1:
+        return parts[0]
+    gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return gram, np.bincount(at, np.concatenate([n for _, n in parts]), len(gram)).astype(np.int64)
+
+
+class Counts:
+    """Counts of the n-grams of some texts, added up whenever a few million wait."""
+
+    def __init__(self):
+        self.parts, self.waiting, self.waits = [], [], 0
+
+    def add(self, text, copies: int = 1):
+        grams = gram_hashes(word_hashes(text))
+        if copies > 1:
+            gram, n = np.unique(np.concatenate(grams), return_counts=True)
+            self.parts.append((gram, n * copies))
+            return
+        self.waiting += grams
+        self.waits += sum(map(len, grams))
+        if self.waits > 1 << 21:
+            self.settle()
+
+    def settle(self):
+        if self.waiting:
+            self.parts.append(np.unique(np.concatenate(self.waiting), return_counts=True))
+            self.waiting, self.waits = [], 0
+        while len(self.parts) > 1 and len(self.parts[-2][0]) < 2 * len(self.parts[-1][0]):
+            self.parts[-2:] = [_added(self.parts[-2:])]
+
+    def size(self) -> int:
+        return self.waits + sum(len(g) for g, _ in self.parts)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
+        return _added(self.parts) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
+
+
+def _run(gram: np.ndarray, n: np.ndarray) -> tuple[int, bytes, bytes]:
+    """A run of sorted n-grams, as the steps between them, with its counts."""
+    return len(gram), _packed(np.diff(gram, prepend=np.uint64(0))), _packed(n)
+
+
+def _opened(size: int, steps: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unpacked(steps, size), dtype=np.uint64), _unpacked(n, size).astype(np.int64)
+
+
+RUN = "size long, steps binary, n binary"
+
+
+def _runs(keys: dict, runs: list) -> pa.Table:
+    sizes, steps, n = zip(*runs) if runs else ((), (), ())
+    kinds = {k: pa.array(v, pa.int64()) for k, v in keys.items()}
+    return pa.table(kinds | {"size": pa.array(sizes, pa.int64()), "steps": pa.array(steps, pa.binary()), "n": pa.array(n, pa.binary())})
+
+
+def count_grams(n_buckets: int):
+    """(block, text) -> (bucket, block, run): the distinct n-grams of each block's documents, cut by bucket."""
+    width = (1 << 64) // n_buckets + 1
+    edges = np.array([b * width for b in range(n_buckets)], np.uint64)
+
+    def flushed(held):
+        for block, counts in held.items():
+            gram, n = counts.all()
+            at = [*np.searchsorted(gram, edges).tolist(), len(gram)]
+            filled = [b for b in range(n_buckets) if at[b] < at[b + 1]]
+            for lo in range(0, len(filled), 64):
+                some = filled[lo:lo + 64]
+                yield from _runs({"bucket": some, "block": [block] * len(some)}, [_run(gram[at[b]:at[b + 1]], n[at[b]:at[b + 1]]) for b in some]).to_batches()
         held.clear()
 
-    for batch in slices(batches):
-        waiting: dict[int, list] = {}
-        waits = 0
-
-        def settle():
-            for block, codes in waiting.items():
-                held.setdefault(block, []).append(np.unique(np.concatenate(codes), return_counts=True))
-            waiting.clear()
-
-        for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for code in _codes(text.encode()) if text else ():
-                waiting.setdefault(block, []).append(code)
-                waits += len(code)
-                if waits > 1 << 21:
-                    settle()
-                    waits = 0
-        settle()
-        held = {b: [merged(p)] if len(p) > 1 else p for b, p in held.items()}
-        size = sum(len(p[0][0]) for p in held.values())
-        if size > 3_000_000:
-            yield from flush()
-    yield from flush()
-
-
-def scored_grams(counts: DataFrame, min_count: int = MIN_COUNT, order: int = ORDER) -> DataFrame:
-    """(gram, logp, used): natural log of the stupid-backoff score of every counted ORDER-gram and the n-gram length it came from."""
-    rows = counts
-    for k in range(order, 0, -1):
-        gram = F.col("gram").bitwiseAND((1 << (8 * k)) - 1)
-        if k == order:
-            rows = rows.withColumn(f"c{k}", F.col("n"))
-        else:
-            shorter = counts.groupBy(gram.alias(f"g{k}")).agg(F.sum("n").alias(f"c{k}"))
-            rows = rows.withColumn(f"g{k}", gram).join(shorter, f"g{k}")
-        if k > 1:  # how often the k - 1 bytes are followed by anything
-            history = counts.groupBy(F.shiftright(gram, 8).alias(f"h{k}")).agg(F.sum("n").alias(f"t{k}"))
-            rows = rows.withColumn(f"h{k}", F.shiftright(gram, 8)).join(history, f"h{k}")
-    rows = rows.withColumn("t1", F.lit(counts.agg(F.sum("n")).first()[0] or 1))
-    score, used = None, None
-    for k in range(1, order + 1):
-        own = F.log(F.col(f"c{k}") / F.col(f"t{k}"))
-        score = own if k == 1 else F.when(F.col(f"c{k}") >= min_count, own).otherwise(score + float(np.log(BACKOFF)))
-        used = F.lit(1) if k == 1 else F.when(F.col(f"c{k}") >= min_count, k).otherwise(used)
-    return rows.select("gram", score.alias("logp"), used.alias("used"))
-
-
-def sum_scores(batches):
-    """Per document sums; rows come sorted by block, a block's scored n-grams before its documents."""
-    block, grams, values, used, ready = None, [], [], [], None
-    for batch in batches:
-        cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        blocks = cols["block"].to_numpy()
-        kind = cols["kind"].to_numpy()
-        gram, logp, use = (cols[c].to_numpy(zero_copy_only=False) for c in ("gram", "logp", "used"))
+    def count(batches):
+        held: dict[int, Counts] = {}
+        for batch in slices(batches):
+            for block, text, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                held.setdefault(block, Counts()).add(text, copies)
+            if sum(c.size() for c in held.values()) > _HELD:
+                yield from flushed(held)
+        yield from flushed(held)
+
+    return count
+
+
+def sum_bucket(rows: pa.Table) -> pa.Table:
+    """One bucket's runs -> (block, run): for each block its n-grams that other blocks hold too, with the counts over all blocks."""
+    blocks = rows["block"].to_numpy()
+    own: dict[int, list] = {}
+    for block, *run in zip(blocks.tolist(), *(rows[c].to_pylist() for c in ("size", "steps", "n"))):
+        own.setdefault(block, []).append(_opened(*run))
+    own = {b: _added(parts) for b, parts in own.items()}
+    gram, at = np.unique(np.concatenate([g for g, _ in own.values()]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([n for _, n in own.values()]), len(gram)).astype(np.int64)
+    keys, runs, lo = [], [], 0
+    for block, (mine, n) in own.items():
+        everywhere = total[at[lo:lo + len(mine)]]
+        lo += len(mine)
+        other = everywhere != n
+        if other.any():
+            keys.append(block)
+            runs.append(_run(mine[other], everywhere[other]))
+    return _runs({"block": keys}, runs)
+
+
+SCORED = "doc_id long, n_words long, log_score double, n_backoff long, copies long"
+
+
+def score_text(text, known: np.ndarray, total: np.ndarray, n_corpus: int) -> tuple[int, float, int]:
+    """(words, log score, words scored by fewer than ORDER words) under the counts without one row of this text."""
+    words = word_hashes(text)
+    n = len(words)
+    if not n:
+        return 0, 0.0, 0
+    grams = gram_hashes(words)
+    distinct, at, mine = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    others = (total[np.searchsorted(known, distinct)] - mine)[at].astype(np.float64)
+    counts = np.split(others, np.cumsum([len(g) for g in grams])[:-1])
+    rest = max(n_corpus - n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.log(np.where(counts[0] > 0, counts[0], BACKOFF) / rest)
+        used = np.ones(n, np.int64)
+        for k in range(2, ORDER + 1):
+            here = counts[k - 1]
+            seen = here > 0
+            own = np.log(here / counts[k - 2][:len(here)])
+            logs[k - 1:] = np.where(seen, own, logs[k - 1:] + np.log(BACKOFF))
+            used[k - 1:][seen] = k
+    return n, float(logs.sum()), int((used < ORDER).sum())
+
+
+def score_block(n_corpus: int):
+    """A block's documents and the counts that other blocks share with it -> scores."""
+
+    def score_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        rows = [docs.select(["doc_id", "text", "copies"]).slice(lo, 256) for lo in range(0, docs.num_rows, 256)]
+        counts = Counts()
+        for part in rows:
+            for text, copies in zip(part["text"].to_pylist(), part["copies"].to_pylist()):
+                counts.add(text, copies)
+        known, total = counts.all()
+        for run in zip(*(shared[c].to_pylist() for c in ("size", "steps", "n"))):
+            gram, everywhere = _opened(*run)
+            total[np.searchsorted(known, gram)] = everywhere
         out = []
-        edges = np.concatenate(([0], np.flatnonzero((blocks[1:] != blocks[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(blocks)]))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if lo == hi:
-                continue
-            if blocks[lo] != block:
-                block, grams, values, used, ready = blocks[lo], [], [], [], None
-            if kind[lo] == 0:
-                grams.append(gram[lo:hi])
-                values.append(logp[lo:hi])
-                used.append(use[lo:hi])
-                continue
-            if ready is None:
-                g = np.concatenate(grams).astype(np.int64) if grams else np.zeros(0, np.int64)
-                order = np.argsort(g)
-                ready = g[order], np.concatenate(values)[order] if grams else g, np.concatenate(used)[order] if grams else g
-            for doc_id, text in zip(cols["doc_id"].slice(lo, hi - lo), cols["text"].slice(lo, hi - lo)):
-                doc_id, text = doc_id.as_py(), text.as_py()
-                n, s, backed = 0, 0.0, 0
-                for code in _codes(text.encode()) if text else ():
-                    found, times = np.unique(code, return_counts=True)
-                    at = np.searchsorted(ready[0], found)
-                    n += len(code)
-                    s += float(ready[1][at] @ times)
-                    backed += int(times[ready[2][at] < ORDER].sum())
-                out.append((doc_id, n, s, backed))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
-                                              pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.int64())],
-                                             ["doc_id", "n_bytes", "log_score", "n_backoff"])
-
-
-def score(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """(doc_id, n_bytes, log_score, n_backoff): stupid-backoff score of every whole text under the counts of all of ``docs``.
-
-    One row per row of ``docs``; a null or empty text has 0 bytes and log_score 0. n_backoff counts bytes scored by fewer than
-    ORDER bytes. Other columns are ignored.
+        for part in rows:
+            for doc_id, text, copies in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "copies"))):
+                out.append((doc_id, *score_text(text, known, total, n_corpus), copies))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "log_score", "n_backoff", "copies"])
+
+    return score_rows
+
+
+def in_blocks(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, block, copies), the words and the bytes of all rows.
+
+    Rows of BLOCK_IDS neighbouring ids are a block, rows without id are dealt over a thousand by their text. A block of more
+    than BLOCK_BYTES is cut by hash of id and text, and its equal rows become one with their number.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("home", F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), -1 - F.pmod(F.xxhash64("text"), F.lit(1000))))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    homes = cut(rows.groupBy("home").agg(F.sum(size).alias("bytes"), F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).alias("words")))
+    words, held = homes.agg(F.sum("words"), F.sum("bytes")).first()
+    heavy = homes.filter(F.col("bytes") > BLOCK_BYTES).select("home", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
+    one = F.lit(1).cast("long").alias("copies")
+    if heavy.isEmpty():
+        return rows.select("doc_id", "text", F.col("home").alias("block"), one), words or 0, held or 0
+    named = rows.join(broadcast_if_small(heavy), "home", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.col("parts"))
+    light = named.filter("parts IS NULL").select("doc_id", "text", F.xxhash64("home").alias("block"), one)
+    split = named.filter("parts IS NOT NULL").groupBy("doc_id", "text", F.xxhash64("home", salt).alias("block")).agg(F.count(F.lit(1)).alias("copies"))
+    return light.unionByName(split), words, held
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, log_score, n_backoff): stupid-backoff score of every whole text under the counts of all other rows.
+
+    One row per row of ``docs``; equal texts get equal scores, repeated rows are other rows of each other. A text that is null
+    or has no word has 0 words and log_score 0. n_backoff counts words scored by an n-gram of fewer than ORDER words, the first
+    words of a text included. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("block", block_of())
-    per_block = rows.select("block", "text").mapInArrow(explode_grams, "block long, gram long, n long")
-    per_block = cut(per_block.groupBy("block", "gram").agg(F.sum("n").alias("n")))
-    scores = scored_grams(cut(per_block.groupBy("gram").agg(F.sum("n").alias("n"))), min_count)
-    back = per_block.select("block", "gram").join(scores, "gram")
-    nothing = F.lit(None)
-    union = back.select("block", F.lit(0).alias("kind"), "gram", "logp", "used", nothing.cast("long").alias("doc_id"), nothing.cast("string").alias("text")).union(
-        rows.select("block", F.lit(1).alias("kind"), nothing.cast("long"), nothing.cast("double"), nothing.cast("int"), "doc_id", "text"))
-    return union.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "kind").mapInArrow(
-        sum_scores, "doc_id long, n_bytes long, log_score double, n_backoff long")
+    rows, n_words, n_bytes = in_blocks(docs)
+    buckets = max(partitions(docs.sparkSession), -(-n_bytes // BUCKET_BYTES))
+    counted = rows.select("block", "text", "copies").mapInArrow(count_grams(buckets), f"bucket long, block long, {RUN}")
+    shared = counted.groupBy("bucket").applyInArrow(sum_bucket, f"block long, {RUN}")
+    scored = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(score_block(n_words), SCORED)
+    return scored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "copies")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from .chat import SEGMENT
 from .licences import BREAK, RULES, known_sentences
-from .lm import BACKOFF, MIN_COUNT, ORDER
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,21 +63,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 
 def backoff() -> str:
-    width = 2 * ORDER
-    counts = ", ".join(f"sum(n) OVER (PARTITION BY right(g, {2 * k})) AS c{k}" for k in range(1, ORDER + 1))
-    totals = ", ".join(f"sum(n) OVER (PARTITION BY substr(g, {width - 2 * k + 1}, {2 * k - 2})) AS t{k}" if k > 1 else "sum(n) OVER () AS t1" for k in range(1, ORDER + 1))
-    score, used = "ln(c1::DOUBLE / t1)", "1"
-    for k in range(2, ORDER + 1):
-        score = f"CASE WHEN c{k} >= {MIN_COUNT} THEN ln(c{k}::DOUBLE / t{k}) ELSE {score} + ln({BACKOFF}::DOUBLE) END"
-        used = f"CASE WHEN c{k} >= {MIN_COUNT} THEN {k} ELSE {used} END"
+    by = ["c", "b, c", "a, b, c"]
+    counts = ", ".join(f"count(*) OVER (PARTITION BY {p}) - count(*) OVER (PARTITION BY r, {p}) AS c{k}" for k, p in enumerate(by, 1))
     return f"""
-WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, repeat('00', {ORDER - 1}) || hex(encode(coalesce(text, ''))) AS x FROM documents),
- g AS (SELECT doc_id, substr(x, 2 * i + 1, {width}) AS g FROM d, unnest(range(n_bytes)) AS u(i)),
- c AS (SELECT g, count(*) AS n FROM g GROUP BY g),
- w AS (SELECT g, {counts}, {totals} FROM c),
- s AS (SELECT g, {score} AS logp, {used} AS used FROM w)
-SELECT d.doc_id, n_bytes, CAST(count(*) FILTER (used < {ORDER}) AS BIGINT) AS n_backoff, CASE WHEN n_bytes > 0 THEN round(sum(logp) / n_bytes, 6) END AS mean_log_score
-FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN s ON s.g = g.g GROUP BY d.doc_id, n_bytes"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ p AS (SELECT r, i, len(w) AS n_words, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+ x AS (SELECT r, i, count(*) OVER () - n_words AS rest, {counts} FROM p),
+ y AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS h2, lag(c2) OVER (PARTITION BY r ORDER BY i) AS h3 FROM x),
+ s AS (SELECT r, CASE WHEN i > 2 AND c3 > 0 THEN 3 WHEN i > 1 AND c2 > 0 THEN 2 ELSE 1 END AS used, CASE WHEN i > 2 AND c3 > 0 THEN ln(c3::DOUBLE / h3)
+  WHEN i > 1 AND c2 > 0 THEN ln(c2::DOUBLE / h2) + (CASE WHEN i > 2 THEN ln(0.4::DOUBLE) ELSE 0 END)
+  ELSE ln(CASE WHEN c1 > 0 THEN c1::DOUBLE ELSE 0.4::DOUBLE END / greatest(rest, 1)) + least(i - 1, 2) * ln(0.4::DOUBLE) END AS logp FROM y)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(count(*) FILTER (used < 3) AS BIGINT) AS n_backoff, CASE WHEN len(w) > 0 THEN round(sum(logp) / len(w), 6) END AS mean_log_score
+FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, doc_id, w"""
 
 
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

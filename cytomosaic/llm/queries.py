@@ -61,8 +61,8 @@ def op6_bwt_dedup(spark, sf_dir):
 @query
 def op7_stupid_backoff(spark, sf_dir):
     scored = lm.score(table(spark, sf_dir, "documents"))
-    mean = F.when(F.col("n_bytes") > 0, F.round(F.col("log_score") / F.col("n_bytes"), 6))
-    return scored.select("doc_id", "n_bytes", "n_backoff", mean.alias("mean_log_score"))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
+    return scored.select("doc_id", "n_words", "n_backoff", mean.alias("mean_log_score"))
 
 
 @query

@@ -141,28 +141,21 @@ def crc32(text):
     return zlib.crc32(text.encode())
 
 
-def backoff(docs, order=5, weight=0.4, min_count=5):
-    """docs: [(doc_id, text)] -> [(doc_id, n_bytes, log_score, n_backoff)]"""
-    grams, history, total = [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)], 0
-    raws = [(t or "").encode() for _, t in docs]
-    for r in raws:
-        padded = b"\0" * (order - 1) + r
-        for i in range(len(r)):
-            g = padded[i:i + order]
-            total += 1
-            for k in range(1, order + 1):
-                grams[k][g[-k:]] += 1
-                history[k][g[-k:-1]] += 1
+def backoff(docs, order=3, weight=0.4):
+    """docs: [(doc_id, text)] -> [(doc_id, n_words, log_score, n_backoff)], each row scored by the words of the other rows"""
+    split = [tuple((t or "").encode().lower().split()) for _, t in docs]
+    grams = [Counter(w[i:i + k] for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in split]
+    total, words = sum(grams, Counter()), sum(map(len, split))
     out = []
-    for (doc_id, _), r in zip(docs, raws):
-        padded, s, backed = b"\0" * (order - 1) + r, 0.0, 0
-        for i in range(len(r)):
-            g, k = padded[i:i + order], order
-            while k > 1 and grams[k][g[-k:]] < min_count:
-                k -= 1
-            s += (order - k) * math.log(weight) + math.log(grams[k][g[-k:]] / history[k][g[-k:-1]])
+    for (doc_id, _), w, own in zip(docs, split, grams):
+        s, backed, count = 0.0, 0, lambda g, own=own: total[g] - own[g]
+        for i in range(len(w)):
+            longest = min(i + 1, order)
+            k = next((k for k in range(longest, 1, -1) if count(w[i + 1 - k:i + 1])), 1)
+            g = w[i + 1 - k:i + 1]
+            s += (longest - k) * math.log(weight) + math.log(count(g) / count(g[:-1]) if k > 1 else (count(g) or weight) / max(words - len(w), 1))
             backed += k < order
-        out.append((doc_id, len(r), s, backed))
+        out.append((doc_id, len(w), s, backed))
     return out
 
 

@@ -349,14 +349,51 @@ def test_wrapped_and_commented_licence_texts(spark):
     assert tuples(licences.scan(df), "doc_id", "licence", "n") == [(1, "MIT", 1), (2, "GPL-3.0-or-later", 1), (3, "MPL-2.0", 1)]
 
 
-def test_backoff_matches_brute_force(docs, odd, empty, rows):
+def _backoff_rows(rows):
+    return sorted(((d, n, round(s, 4), b) for d, n, s, b in rows), key=str)
+
+
+def test_backoff_matches_brute_force(docs, odd, empty, monkeypatch):
     for df in (docs, odd):
-        want = brute.backoff([(r.doc_id, r.text) for r in df.collect()])
-        got = [(r.doc_id, r.n_bytes, r.log_score, r.n_backoff) for r in lm.score(df).collect()]
-        assert sorted(((d, n, round(s, 4), b) for d, n, s, b in got), key=str) == sorted(((d, n, round(s, 4), b) for d, n, s, b in want), key=str)
+        want = _backoff_rows(brute.backoff([(r.doc_id, r.text) for r in df.collect()]))
+        read = lambda df=df: _backoff_rows((r.doc_id, r.n_words, r.log_score, r.n_backoff) for r in lm.score(df).collect())
+        assert read() == want
+        with monkeypatch.context() as m:  # many blocks, most of them cut, and many buckets
+            m.setattr(lm, "BLOCK_IDS", 8)
+            m.setattr(lm, "BLOCK_BYTES", 900)
+            m.setattr(lm, "BUCKET_BYTES", 4000)
+            assert read() == want
     assert lm.score(empty).count() == 0
 
 
+def test_backoff_tells_shuffled_words_and_copies_apart(spark):
+    rng = random.Random(3)
+    vocabulary = words(rng, 30).split()
+    after = {w: rng.sample(vocabulary, 2) for w in vocabulary}
+
+    def fluent(n=80):
+        said = [rng.choice(vocabulary)]
+        while len(said) < n:
+            said.append(rng.choice(after[said[-1]]))
+        return said
+
+    texts = [fluent() for _ in range(60)]
+    mixed = rng.sample(texts[0], len(texts[0]))
+    strange = words(rng, 80, "zqxj")
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, " ".join(mixed)), (101, strange), (102, strange.upper()), (103, words(rng, 80, "vwyu"))]
+    mean = {r.doc_id: r.log_score / r.n_words for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(mean[i] for i in range(60)) > mean[100]  # fluent texts above their words shuffled
+    assert mean[101] == mean[102] > mean[103] + 3  # a text said twice far above one said once
+
+
+def test_word_hashes_see_whole_words_only():
+    long = "a" * (1 << 20) + " b\x0bB\u00a0b\tc " + "x" * 3000
+    got = lm.word_hashes(long)
+    want = long.encode().lower().split()
+    assert len(got) == len(want) and len(set(got.tolist())) == len(set(want))
+    assert lm.word_hashes(" \t\n").size == lm.word_hashes(None).size == lm.word_hashes("").size == 0
+
+
 def languages(n=40):
     rng = random.Random(8)
     kinds = {"aa": "abcde", "bb": "defgh", "cc": "éèçàü"}
