@@ -6,11 +6,11 @@ BACKOFF. No count is too small to matter. A row's own n-grams are taken off the
 corpus would ever back off, and a text of words nobody else uses would score best.
 
 Documents form blocks of bounded bytes. A block's n-grams are exploded and pre-aggregated; hash-partitioned by n-gram, they are
-summed over all blocks. The sums are joined back to the blocks that hold the n-gram, where scores are summed per document; only
-n-grams of two or more blocks travel back, as a block knows the counts of the others itself.
+summed over all blocks. The sums go back to the blocks that hold the n-gram, where scores are summed per document.
 
 n-grams are compared by 64-bit hashes of their words, which are not checked on the words. They travel as sorted runs, one row per
-block and bucket: as one row each they would take about three times the space.
+block and bucket: as one row each they would take about three times the space. A block knows its n-grams in order, so only counts
+travel back.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from .common import WORD, cut_at_space, partitions, slices
 ORDER = 3
 BACKOFF = 0.4
 #: doc_ids per block (blocks follow doc_id because files usually do, so that a task meets few of them), and bytes of a block at most, about.
-BLOCK_IDS, BLOCK_BYTES = 8192, 64 << 20
+BLOCK_IDS, BLOCK_BYTES = 4096, 24 << 20
 #: Bytes of text whose n-grams meet in one bucket, about.
 BUCKET_BYTES = 16 << 20
-#: Distinct n-grams that a task holds before it passes them on.
+#: n-grams that a task holds before it counts them and passes them on.
 _HELD = 8_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -67,44 +67,13 @@ def gram_hashes(words: np.ndarray) -> list[np.ndarray]:
     return grams
 
 
-def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct n-grams, counts) of several such pairs."""
-    if len(parts) == 1:
-        return parts[0]
-    gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    return gram, np.bincount(at, np.concatenate([n for _, n in parts]), len(gram)).astype(np.int64)
-
-
-class Counts:
-    """Counts of the n-grams of some texts, added up whenever a few million wait."""
-
-    def __init__(self):
-        self.parts, self.waiting, self.waits = [], [], 0
-
-    def add(self, text, copies: int = 1):
-        grams = gram_hashes(word_hashes(text))
-        if copies > 1:
-            gram, n = np.unique(np.concatenate(grams), return_counts=True)
-            self.parts.append((gram, n * copies))
-            return
-        self.waiting += grams
-        self.waits += sum(map(len, grams))
-        if self.waits > 1 << 21:
-            self.settle()
-
-    def settle(self):
-        if self.waiting:
-            self.parts.append(np.unique(np.concatenate(self.waiting), return_counts=True))
-            self.waiting, self.waits = [], 0
-        while len(self.parts) > 1 and len(self.parts[-2][0]) < 2 * len(self.parts[-1][0]):
-            self.parts[-2:] = [_added(self.parts[-2:])]
-
-    def size(self) -> int:
-        return self.waits + sum(len(g) for g, _ in self.parts)
-
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
-        self.settle()
-        return _added(self.parts) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _counted(grams: list, repeats: list = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, counts) of arrays of n-grams and of (n-grams, counts) pairs."""
+    gram, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_counts=True)
+    if not repeats:
+        return gram, n
+    gram, at = np.unique(np.concatenate([gram, *(g for g, _ in repeats)]), return_inverse=True)
+    return gram, np.bincount(at, np.concatenate([n, *(m for _, m in repeats)]), len(gram)).astype(np.int64)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -118,117 +87,143 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
 
 
-def _run(gram: np.ndarray, n: np.ndarray) -> tuple[int, bytes, bytes]:
-    """A run of sorted n-grams, as the steps between them, with its counts."""
-    return len(gram), _packed(np.diff(gram, prepend=np.uint64(0))), _packed(n)
+def _edges(n_buckets: int) -> np.ndarray:
+    """First n-gram of every bucket; buckets are equal ranges of hashes."""
+    width = (1 << 64) // n_buckets + 1
+    return np.array([b * width for b in range(n_buckets)], np.uint64)
 
 
-def _opened(size: int, steps: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_unpacked(steps, size), dtype=np.uint64), _unpacked(n, size).astype(np.int64)
+RUN = "bucket long, block long, size long, steps binary, n binary"
 
 
-RUN = "size long, steps binary, n binary"
+def count_grams(n_buckets: int):
+    """(block, text, copies) -> (bucket, block, run): the distinct n-grams of each block's documents, cut by bucket.
 
+    A run is sorted n-grams as the steps between them, with their counts.
+    """
+    edges = _edges(n_buckets)
 
-def _runs(keys: dict, runs: list) -> pa.Table:
-    sizes, steps, n = zip(*runs) if runs else ((), (), ())
-    kinds = {k: pa.array(v, pa.int64()) for k, v in keys.items()}
-    return pa.table(kinds | {"size": pa.array(sizes, pa.int64()), "steps": pa.array(steps, pa.binary()), "n": pa.array(n, pa.binary())})
+    def runs(block, grams, repeats):
+        gram, n = _counted(grams, repeats)
+        at = [*np.searchsorted(gram, edges).tolist(), len(gram)]
+        filled = [b for b in range(n_buckets) if at[b] < at[b + 1]]
+        for lo in range(0, len(filled), 64):
+            cuts = [(b, slice(at[b], at[b + 1])) for b in filled[lo:lo + 64]]
+            rows = [(b, block, c.stop - c.start, _packed(np.diff(gram[c], prepend=np.uint64(0))), _packed(n[c])) for b, c in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "size", "steps", "n"])
 
+    def count(batches):
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
 
-def count_grams(n_buckets: int):
-    """(block, text) -> (bucket, block, run): the distinct n-grams of each block's documents, cut by bucket."""
-    width = (1 << 64) // n_buckets + 1
-    edges = np.array([b * width for b in range(n_buckets)], np.uint64)
-
-    def flushed(held):
-        for block, counts in held.items():
-            gram, n = counts.all()
-            at = [*np.searchsorted(gram, edges).tolist(), len(gram)]
-            filled = [b for b in range(n_buckets) if at[b] < at[b + 1]]
-            for lo in range(0, len(filled), 64):
-                some = filled[lo:lo + 64]
-                yield from _runs({"bucket": some, "block": [block] * len(some)}, [_run(gram[at[b]:at[b + 1]], n[at[b]:at[b + 1]]) for b in some]).to_batches()
-        held.clear()
+        def flush():
+            while held:
+                block, (grams, repeats) = held.popitem()
+                yield from runs(block, grams, repeats)
 
-    def count(batches):
-        held: dict[int, Counts] = {}
         for batch in slices(batches):
             for block, text, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                held.setdefault(block, Counts()).add(text, copies)
-            if sum(c.size() for c in held.values()) > _HELD:
-                yield from flushed(held)
-        yield from flushed(held)
+                grams, repeats = held.setdefault(block, ([], []))
+                found = gram_hashes(word_hashes(text))
+                size += sum(map(len, found))
+                if copies == 1:
+                    grams += found
+                else:
+                    gram, n = _counted(found)
+                    repeats.append((gram, n * copies))
+            if size > _HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     return count
 
 
 def sum_bucket(rows: pa.Table) -> pa.Table:
-    """One bucket's runs -> (block, run): for each block its n-grams that other blocks hold too, with the counts over all blocks."""
-    blocks = rows["block"].to_numpy()
+    """One bucket's runs -> (bucket, block, size, more): for each n-gram of a block in order, how often the other blocks hold it."""
     own: dict[int, list] = {}
-    for block, *run in zip(blocks.tolist(), *(rows[c].to_pylist() for c in ("size", "steps", "n"))):
-        own.setdefault(block, []).append(_opened(*run))
-    own = {b: _added(parts) for b, parts in own.items()}
-    gram, at = np.unique(np.concatenate([g for g, _ in own.values()]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([n for _, n in own.values()]), len(gram)).astype(np.int64)
-    keys, runs, lo = [], [], 0
-    for block, (mine, n) in own.items():
-        everywhere = total[at[lo:lo + len(mine)]]
+    for block, size, steps, n in zip(*(rows[c].to_pylist() for c in ("block", "size", "steps", "n"))):
+        own.setdefault(block, []).append((np.cumsum(_unpacked(steps, size), dtype=np.uint64), _unpacked(n, size).astype(np.int64)))
+    blocks = {b: parts[0] if len(parts) == 1 else _counted([], parts) for b, parts in own.items()}
+    own.clear()
+    gram, at = np.unique(np.concatenate([g for g, _ in blocks.values()]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([n for _, n in blocks.values()]), len(gram)).astype(np.int64)
+    out, lo = [], 0
+    for block, (mine, n) in blocks.items():
+        out.append((block, len(mine), _packed(total[at[lo:lo + len(mine)]] - n)))
         lo += len(mine)
-        other = everywhere != n
-        if other.any():
-            keys.append(block)
-            runs.append(_run(mine[other], everywhere[other]))
-    return _runs({"block": keys}, runs)
+    block, size, more = zip(*out)
+    return pa.table([pa.array([rows["bucket"][0].as_py()] * len(block), pa.int64()), pa.array(block, pa.int64()), pa.array(size, pa.int64()),
+                     pa.array(more, pa.binary())], ["bucket", "block", "size", "more"])
+
+
+def other_counts(gram: np.ndarray, doc: np.ndarray, copies: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """For every n-gram occurrence of a block, how often rows other than its own hold the n-gram.
+
+    ``doc`` is the occurrence's row, ascending; ``copies`` the number of equal rows a row stands for; ``more`` the counts in
+    other blocks by distinct n-gram.
+    """
+    order = np.argsort(gram, kind="stable")  # equal n-grams stay in the order of rows
+    ranked, owner = gram[order], doc[order]
+    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    pair = first.copy()
+    pair[1:] |= owner[1:] != owner[:-1]
+    del ranked
+    at = np.flatnonzero(pair)
+    mine = np.diff(at, append=len(gram))  # occurrences in one row
+    starts = np.flatnonzero(first[at])
+    total = np.add.reduceat(mine * copies[owner[at]], starts) + more
+    others = np.repeat(total, np.diff(starts, append=len(at))) - mine
+    out = np.empty(len(gram), np.int64)
+    out[order] = np.repeat(others, mine)
+    return out
 
 
 SCORED = "doc_id long, n_words long, log_score double, n_backoff long, copies long"
 
 
-def score_text(text, known: np.ndarray, total: np.ndarray, n_corpus: int) -> tuple[int, float, int]:
-    """(words, log score, words scored by fewer than ORDER words) under the counts without one row of this text."""
-    words = word_hashes(text)
-    n = len(words)
-    if not n:
-        return 0, 0.0, 0
-    grams = gram_hashes(words)
-    distinct, at, mine = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    others = (total[np.searchsorted(known, distinct)] - mine)[at].astype(np.float64)
-    counts = np.split(others, np.cumsum([len(g) for g in grams])[:-1])
-    rest = max(n_corpus - n, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        logs = np.log(np.where(counts[0] > 0, counts[0], BACKOFF) / rest)
-        used = np.ones(n, np.int64)
-        for k in range(2, ORDER + 1):
-            here = counts[k - 1]
-            seen = here > 0
-            own = np.log(here / counts[k - 2][:len(here)])
-            logs[k - 1:] = np.where(seen, own, logs[k - 1:] + np.log(BACKOFF))
-            used[k - 1:][seen] = k
-    return n, float(logs.sum()), int((used < ORDER).sum())
+def score_texts(texts: list, copies: np.ndarray, more, n_corpus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, log score, words scored by fewer than ORDER words) of the rows of a block."""
+    words = [word_hashes(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    rows = np.arange(len(texts), dtype=np.int32)
+    if not sizes.sum():
+        return sizes, np.zeros(len(texts)), sizes
+    by_order = list(zip(*(gram_hashes(w) for w in words)))
+    del words
+    doc = np.concatenate([np.repeat(rows, np.maximum(sizes - k, 0)) for k in range(ORDER)])
+    split = np.cumsum([sum(map(len, g)) for g in by_order])[:-1]
+    gram = np.concatenate([g for order in by_order for g in order])
+    del by_order
+    # occurrences of all orders lie one after the other: rows ascend within an order, so the last sort key is the row
+    counts = np.split(other_counts(gram, doc, copies, more), split)
+    del gram
+    whose = doc[:split[0]] if len(split) else doc
+    place = np.arange(len(whose)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    log, rest = np.log(BACKOFF), np.log(np.maximum(n_corpus - sizes, 1))
+    logs = np.log(np.where(counts[0] > 0, counts[0], BACKOFF)) - rest[whose]
+    used = np.ones(len(whose), np.int8)
+    history, ends = counts[0], np.flatnonzero(place >= 0)
+    for k in range(2, ORDER + 1):
+        before, ends = ends, np.flatnonzero(place >= k - 1)  # words that end an n-gram of k - 1 words, of k words
+        seen = counts[k - 1] > 0
+        shorter = history[np.searchsorted(before, ends - 1)]
+        logs[ends[~seen]] += log
+        logs[ends[seen]] = np.log(counts[k - 1][seen] / shorter[seen])
+        used[ends[seen]] = k
+        history = counts[k - 1]
+    return sizes, np.bincount(whose, logs, len(texts)), np.bincount(whose, used < ORDER, len(texts)).astype(np.int64)
 
 
 def score_block(n_corpus: int):
-    """A block's documents and the counts that other blocks share with it -> scores."""
+    """A block's documents and the counts of their n-grams in the other blocks -> scores."""
 
     def score_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        rows = [docs.select(["doc_id", "text", "copies"]).slice(lo, 256) for lo in range(0, docs.num_rows, 256)]
-        counts = Counts()
-        for part in rows:
-            for text, copies in zip(part["text"].to_pylist(), part["copies"].to_pylist()):
-                counts.add(text, copies)
-        known, total = counts.all()
-        for run in zip(*(shared[c].to_pylist() for c in ("size", "steps", "n"))):
-            gram, everywhere = _opened(*run)
-            total[np.searchsorted(known, gram)] = everywhere
-        out = []
-        for part in rows:
-            for doc_id, text, copies in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "copies"))):
-                out.append((doc_id, *score_text(text, known, total, n_corpus), copies))
-        columns = list(zip(*out)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "log_score", "n_backoff", "copies"])
+        runs = sorted(zip(*(shared[c].to_pylist() for c in ("bucket", "size", "more"))))
+        more = np.concatenate([np.zeros(0, np.int64), *(_unpacked(data, size).astype(np.int64) for _, size, data in runs)])
+        copies = docs["copies"].to_numpy()
+        found = score_texts(docs["text"].to_pylist(), copies, more, n_corpus)
+        return pa.table([docs["doc_id"].combine_chunks(), *map(pa.array, found), pa.array(copies)], ["doc_id", "n_words", "log_score", "n_backoff", "copies"])
 
     return score_rows
 
@@ -264,7 +259,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     rows, n_words, n_bytes = in_blocks(docs)
     buckets = max(partitions(docs.sparkSession), -(-n_bytes // BUCKET_BYTES))
-    counted = rows.select("block", "text", "copies").mapInArrow(count_grams(buckets), f"bucket long, block long, {RUN}")
-    shared = counted.groupBy("bucket").applyInArrow(sum_bucket, f"block long, {RUN}")
+    counted = rows.select("block", "text", "copies").mapInArrow(count_grams(buckets), RUN)
+    shared = counted.groupBy("bucket").applyInArrow(sum_bucket, "bucket long, block long, size long, more binary")
     scored = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(score_block(n_words), SCORED)
     return scored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "copies")
