@@ -26,11 +26,13 @@ from .common import WORD, cut_at_space, partitions, slices
 ORDER = 3
 BACKOFF = 0.4
 #: doc_ids per block (blocks follow doc_id because files usually do, so that a task meets few of them), and bytes of a block at most, about.
-BLOCK_IDS, BLOCK_BYTES = 4096, 24 << 20
+BLOCK_IDS, BLOCK_BYTES = 8192, 40 << 20
 #: Bytes of text whose n-grams meet in one bucket, about.
 BUCKET_BYTES = 16 << 20
 #: n-grams that a task holds before it counts them and passes them on.
 _HELD = 8_000_000
+#: Ranges of hashes (by the first three bits) that a block's n-grams are ranked in, to hold less at a time.
+_PARTS = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,8 +70,12 @@ def gram_hashes(words: np.ndarray) -> list[np.ndarray]:
 
 
 def _counted(grams: list, repeats: list = ()) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct n-grams, counts) of arrays of n-grams and of (n-grams, counts) pairs."""
-    gram, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_counts=True)
+    """(sorted distinct n-grams, counts) of arrays of n-grams and of (n-grams, counts) pairs; empties the list of arrays."""
+    gram = np.concatenate([np.zeros(0, np.uint64), *grams])
+    grams.clear()
+    gram.sort()
+    starts = np.flatnonzero(np.concatenate(([len(gram) > 0], gram[1:] != gram[:-1])))
+    gram, n = gram[starts], np.diff(starts, append=len(gram))
     if not repeats:
         return gram, n
     gram, at = np.unique(np.concatenate([gram, *(g for g, _ in repeats)]), return_inverse=True)
@@ -116,10 +122,9 @@ def count_grams(n_buckets: int):
         held: dict[int, tuple[list, list]] = {}
         size = 0
 
-        def flush():
-            while held:
-                block, (grams, repeats) = held.popitem()
-                yield from runs(block, grams, repeats)
+        def flush(keep=None):
+            for block in [b for b in held if b != keep]:
+                yield from runs(block, *held.pop(block))
 
         for batch in slices(batches):
             for block, text, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -131,9 +136,12 @@ def count_grams(n_buckets: int):
                 else:
                     gram, n = _counted(found)
                     repeats.append((gram, n * copies))
-            if size > _HELD:
-                yield from flush()
-                size = 0
+            if size > _HELD:  # blocks that are behind go, the one being read only if it alone is too large
+                yield from flush(block)
+                size = sum(map(len, held[block][0])) + sum(len(g) for g, _ in held[block][1])
+                if size > 2 * _HELD:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     return count
@@ -163,19 +171,23 @@ def other_counts(gram: np.ndarray, doc: np.ndarray, copies: np.ndarray, more: np
     ``doc`` is the occurrence's row, ascending; ``copies`` the number of equal rows a row stands for; ``more`` the counts in
     other blocks by distinct n-gram.
     """
-    order = np.argsort(gram, kind="stable")  # equal n-grams stay in the order of rows
-    ranked, owner = gram[order], doc[order]
-    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    pair = first.copy()
-    pair[1:] |= owner[1:] != owner[:-1]
-    del ranked
-    at = np.flatnonzero(pair)
-    mine = np.diff(at, append=len(gram))  # occurrences in one row
-    starts = np.flatnonzero(first[at])
-    total = np.add.reduceat(mine * copies[owner[at]], starts) + more
-    others = np.repeat(total, np.diff(starts, append=len(at))) - mine
     out = np.empty(len(gram), np.int64)
-    out[order] = np.repeat(others, mine)
+    done = 0
+    for part in range(_PARTS):
+        here = np.flatnonzero(gram >> np.uint64(61) == part)
+        if not len(here):
+            continue
+        here = here[np.argsort(gram[here], kind="stable")]  # equal n-grams stay in the order of rows
+        ranked, owner = gram[here], doc[here]
+        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        pair = first.copy()
+        pair[1:] |= owner[1:] != owner[:-1]
+        at = np.flatnonzero(pair)
+        mine = np.diff(at, append=len(here))  # occurrences in one row
+        starts = np.flatnonzero(first[at])
+        total = np.add.reduceat(mine * copies[owner[at]], starts) + more[done:done + len(starts)]
+        out[here] = np.repeat(np.repeat(total, np.diff(starts, append=len(at))) - mine, mine)
+        done += len(starts)
     return out
 
 
