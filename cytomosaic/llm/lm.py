@@ -26,7 +26,7 @@ from .common import WORD, cut_at_space, partitions, slices
 ORDER = 3
 BACKOFF = 0.4
 #: doc_ids per block (blocks follow doc_id because files usually do, so that a task meets few of them), and bytes of a block at most, about.
-BLOCK_IDS, BLOCK_BYTES = 8192, 40 << 20
+BLOCK_IDS, BLOCK_BYTES = 6144, 32 << 20
 #: Bytes of text whose n-grams meet in one bucket, about.
 BUCKET_BYTES = 16 << 20
 #: n-grams that a task holds before it counts them and passes them on.
@@ -194,19 +194,21 @@ def other_counts(gram: np.ndarray, doc: np.ndarray, copies: np.ndarray, more: np
 SCORED = "doc_id long, n_words long, log_score double, n_backoff long, copies long"
 
 
-def score_texts(texts: list, copies: np.ndarray, more, n_corpus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_texts(texts, copies: np.ndarray, more, n_corpus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, log score, words scored by fewer than ORDER words) of the rows of a block."""
     words = [word_hashes(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    rows = np.arange(len(texts), dtype=np.int32)
     if not sizes.sum():
-        return sizes, np.zeros(len(texts)), sizes
-    by_order = list(zip(*(gram_hashes(w) for w in words)))
-    del words
-    doc = np.concatenate([np.repeat(rows, np.maximum(sizes - k, 0)) for k in range(ORDER)])
-    split = np.cumsum([sum(map(len, g)) for g in by_order])[:-1]
-    gram = np.concatenate([g for order in by_order for g in order])
-    del by_order
+        return sizes, np.zeros(len(words)), sizes
+    per_order = [np.maximum(sizes - k, 0) for k in range(ORDER)]
+    doc = np.concatenate([np.repeat(np.arange(len(words), dtype=np.int32), n) for n in per_order])
+    split = np.cumsum([n.sum() for n in per_order])[:-1]
+    gram = np.empty(len(doc), np.uint64)
+    ends = [np.cumsum(n) + start for n, start in zip(per_order, [0, *split.tolist()])]
+    for i in range(len(words)):
+        for k, found in enumerate(gram_hashes(words[i])):
+            gram[ends[k][i] - len(found):ends[k][i]] = found
+        words[i] = None
     # occurrences of all orders lie one after the other: rows ascend within an order, so the last sort key is the row
     counts = np.split(other_counts(gram, doc, copies, more), split)
     del gram
@@ -224,7 +226,7 @@ def score_texts(texts: list, copies: np.ndarray, more, n_corpus: int) -> tuple[n
         logs[ends[seen]] = np.log(counts[k - 1][seen] / shorter[seen])
         used[ends[seen]] = k
         history = counts[k - 1]
-    return sizes, np.bincount(whose, logs, len(texts)), np.bincount(whose, used < ORDER, len(texts)).astype(np.int64)
+    return sizes, np.bincount(whose, logs, len(words)), np.bincount(whose, used < ORDER, len(words)).astype(np.int64)
 
 
 def score_block(n_corpus: int):
@@ -234,7 +236,7 @@ def score_block(n_corpus: int):
         runs = sorted(zip(*(shared[c].to_pylist() for c in ("bucket", "size", "more"))))
         more = np.concatenate([np.zeros(0, np.int64), *(_unpacked(data, size).astype(np.int64) for _, size, data in runs)])
         copies = docs["copies"].to_numpy()
-        found = score_texts(docs["text"].to_pylist(), copies, more, n_corpus)
+        found = score_texts((t.as_py() for t in docs["text"]), copies, more, n_corpus)
         return pa.table([docs["doc_id"].combine_chunks(), *map(pa.array, found), pa.array(copies)], ["doc_id", "n_words", "log_score", "n_backoff", "copies"])
 
     return score_rows
