@@ -247,6 +247,35 @@ def test_queues_in_many_ranges(docs, rows, monkeypatch):
     assert tuples(mixing.decide(slim, cut(mixing.schedule(slim))), "doc_id", "copies") == whole
 
 
+def test_groups_of_copies_are_cut_by_count(spark, monkeypatch):
+    """600 equal rows without id, and 300 with one id, among others: every source meets its target to one document."""
+    word = "w " * 4
+    made = [(None, word, "a")] * 600 + [(i, word, "a") for i in range(100)]
+    made += [(7000, word, "b")] * 300 + [(1000 + i, word, "b") for i in range(400)] + [(3000 + i, word, "c") for i in range(700)]
+    made += [(None, None, "d")] * 40 + [(9000, "", "d")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    slim = cut(mixing.sized(docs))
+    plan = cut(mixing.schedule(slim))
+    decided = mixing.decide(slim, plan).collect()
+    assert len(decided) == len(made)
+    taken, target = Counter(), {}
+    for r in decided:
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 4 for s in "abcd")
+    assert sum(taken.values()) <= 1.5 * 4 * 2100
+    assert all(r.copies == 1 for r in decided if r.source == "d")
+    want = sorted((str(r.doc_id), r.source, r.copies) for r in decided)
+    mixed = Counter((str(r.doc_id), r.source) for r in mixing.mix(docs).collect())
+    total = Counter()
+    for d, s, n in want:
+        total[d, s] += n
+    assert mixed == total
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    monkeypatch.setattr(mixing, "UNFOLD", 7)
+    assert sorted((str(r.doc_id), r.source, r.copies) for r in mixing.decide(slim, cut(mixing.schedule(slim))).collect()) == want
+
+
 def test_shards_are_gapless_and_keep_every_row(odd, empty, monkeypatch):
     for bucket in (8 << 20, 300):
         got = sharding.shards(odd, 5, bucket_bytes=bucket)
