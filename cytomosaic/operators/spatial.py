@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,35 +32,90 @@ def packed_cells(expr: DataFrame, index: DataFrame) -> DataFrame:
     return entries.select("cell_id", F.col("e.gene_idx").alias("gi"), F.col("e.v").alias("gv"))
 
 
-def edge_products(edges: DataFrame, packed: DataFrame) -> DataFrame:
-    """Sum over edges of weight x value(src) x value(dst) per gene; each task returns one partial row per gene."""
-    left = packed.select(F.col("cell_id").alias("src"), F.col("gi").alias("ga"), F.col("gv").alias("va"))
-    right = packed.select(F.col("cell_id").alias("dst"), F.col("gi").alias("gb"), F.col("gv").alias("vb"))
-    rows = edges.select("src", "dst", "weight").join(left, "src").join(right, "dst").select("weight", "ga", "va", "gb", "vb")
+#: Cells of a tile, and edges and genes that are multiplied at a time.
+TILE_CELLS, EDGES_AT_ONCE, GENES_AT_ONCE = 512, 8192, 256
 
-    def keys(batch, genes, values, width):
-        lists = batch.column(genes).combine_chunks() if hasattr(batch.column(genes), "combine_chunks") else batch.column(genes)
-        lengths = np.diff(np.asarray(lists.offsets))
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        return row * width + lists.flatten().to_numpy(zero_copy_only=False), batch.column(values).flatten().to_numpy(zero_copy_only=False)
 
-    def partial(batches):
-        acc = np.zeros(0)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            width = 1 + max(int(batch.column(c).flatten().to_numpy(zero_copy_only=False).max()) for c in ("ga", "gb"))
-            ka, va = keys(batch, "ga", "va", width)
-            kb, vb = keys(batch, "gb", "vb", width)
-            common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-            weight = batch.column("weight").to_numpy(zero_copy_only=False)[common // width]
-            part = np.bincount(common % width, weights=weight * va[ia] * vb[ib], minlength=width)
-            if len(part) > len(acc):
-                acc = np.concatenate([acc, np.zeros(len(part) - len(acc))])
-            acc[:len(part)] += part
-        yield pa.RecordBatch.from_pydict({"gene_idx": pa.array(np.arange(len(acc)), pa.int32()), "s": pa.array(acc, pa.float64())})
-
-    return rows.mapInArrow(partial, "gene_idx int, s double").groupBy("gene_idx").agg(F.sum("s").alias("cross"))
+def _interleaved(x: Column, y: Column) -> Column:
+    """Bits of two whole numbers (up to 26 bits) in turn: near places get near keys."""
+
+    def spread(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
+def cell_tiles(cells: DataFrame) -> DataFrame:
+    """(cell_id, tile): up to TILE_CELLS cells that follow each other on a slide's interleaved grid.
+
+    Crowded places get more tiles, equal locations follow cell_id. Cells without coordinates, or a table without them, are tiled
+    by cell_id. The table is written, so that a cell has one tile whatever is computed again.
+    """
+    slide = F.col("slide_id") if "slide_id" in cells.columns else F.lit("")
+    if not {"x", "y"} <= set(cells.columns):
+        placed = cells.select("cell_id", slide.alias("slide_id"), F.lit(-1).cast("long").alias("_z"))
+    else:
+        side = float(2**26 - 1)
+        known = cells.select("cell_id", slide.alias("slide_id"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in "xy"])
+        frame = known.groupBy(F.col("slide_id").alias("_s")).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.greatest(
+            F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_w"))
+        grid = [F.when(F.col("_w") > 0, F.floor((F.col(c) - F.col(f"_{c}")) / F.col("_w") * side)).otherwise(F.lit(0)).cast("long") for c in "xy"]
+        joined = known.join(frame, F.col("slide_id").eqNullSafe(F.col("_s")), "left")
+        placed = joined.select("cell_id", "slide_id", F.coalesce(_interleaved(*grid), F.lit(-1)).alias("_z"))
+    order = ["slide_id", "_z", "cell_id"]
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ordered.select("cell_id", F.floor(F.monotonically_increasing_id() / TILE_CELLS).alias("tile")))
+
+
+def tiled_edges(edges: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(tile, src, dst, weight): every edge in the tile of that end which has fewer edges, so no tile holds a hub's edges."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("cell_id")).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+    home = ends.join(tiles, "cell_id", "left").select("cell_id", "n", F.coalesce("tile", F.xxhash64("cell_id")).alias("tile"))
+    a = home.select(F.col("cell_id").alias("src"), F.col("n").alias("na"), F.col("tile").alias("ta"))
+    b = home.select(F.col("cell_id").alias("dst"), F.col("n").alias("nb"), F.col("tile").alias("tb"))
+    return edges.select("src", "dst", "weight").join(a, "src").join(b, "dst").select(
+        F.when(F.col("na") <= F.col("nb"), F.col("ta")).otherwise(F.col("tb")).alias("tile"), "src", "dst", "weight")
+
+
+def _tile_products(edges: pa.Table, cells: pa.Table) -> pa.Table:
+    """Sum of weight x value(src) x value(dst) per gene of one tile; cells without a row of values are all zero."""
+    ids = cells["cell_id"].combine_chunks()
+    ends = [pc.index_in(edges[c].combine_chunks(), value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False) for c in ("src", "dst")]
+    live = (ends[0] >= 0) & (ends[1] >= 0)
+    src, dst = ends[0][live], ends[1][live]
+    weight = edges["weight"].to_numpy()[live]
+    lists = cells["gi"].combine_chunks()
+    row = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    genes, column = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    value = cells["gv"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    by = np.argsort(column, kind="stable")
+    row, column, value = row[by], column[by], value[by]
+    total = np.zeros(len(genes))
+    for lo in range(0, len(genes), GENES_AT_ONCE):
+        hi = min(lo + GENES_AT_ONCE, len(genes))
+        a, b = np.searchsorted(column, (lo, hi))
+        dense = np.zeros((len(ids), hi - lo))
+        dense[row[a:b], column[a:b] - lo] = value[a:b]
+        for at in range(0, len(src), EDGES_AT_ONCE):
+            part = slice(at, at + EDGES_AT_ONCE)
+            total[lo:hi] += weight[part] @ (dense[src[part]] * dense[dst[part]])
+    seen = np.flatnonzero(total)
+    return pa.table({"gene_idx": pa.array(genes[seen], pa.int32()), "s": pa.array(total[seen], pa.float64())})
+
+
+def edge_products(edges: DataFrame, packed: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Sum over edges of weight x value(src) x value(dst) per gene (gene_idx, cross).
+
+    An edge moves as two ids. A cell's values move once to each tile that has one of its edges: its own, and those of which it
+    lies on the rim. A tile gives one row per gene.
+    """
+    work = cut(tiled_edges(edges, tiles))
+    asked = work.select(F.col("tile").alias("at"), F.explode(F.array("src", "dst")).alias("cell_id")).distinct()
+    values = asked.join(packed, "cell_id").select("at", "cell_id", "gi", "gv")
+    parts = work.groupBy("tile").cogroup(values.groupBy("at")).applyInArrow(_tile_products, "gene_idx int, s double")
+    return parts.groupBy("gene_idx").agg(F.sum("s").alias("cross"))
 
 
 def spatial_graph(points: DataFrame, k: int, pool_slides: bool = False) -> DataFrame:
@@ -85,7 +141,7 @@ def morans_scan(graph: DataFrame, expr: DataFrame, cells: DataFrame) -> DataFram
     s0s2 = node.agg(F.sum("out").alias("s0"), F.sum((F.col("out") + F.col("in")) * (F.col("out") + F.col("in"))).alias("s2"),
                     F.sum((F.col("out") > 0).cast("double")).alias("wsum"))
     index = cut(gene_index(expr))
-    cross = edge_products(norm, packed_cells(expr, index)).join(index, "gene_idx").select("gene", "cross")
+    cross = edge_products(norm, packed_cells(expr, index), cell_tiles(cells)).join(index, "gene_idx").select("gene", "cross")
     loads = share.join(degree.select(F.col("src").alias("cell_id"), F.lit(1.0).alias("r")), "cell_id", "full").fillna(0.0)
     v = F.col("lognorm").cast("double")
     sums = expr.join(loads, "cell_id", "left").groupBy("gene").agg(

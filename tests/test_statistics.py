@@ -82,6 +82,33 @@ def test_moran_on_a_chain(spark):
     assert out["flat"].morans_i is None and out["flat"].p_value == 1.0
 
 
+def test_edge_products_by_tiles(spark, monkeypatch):
+    """Small tiles, a crowded place, a hub, cells without values, without coordinates and outside the cell table."""
+    monkeypatch.setattr(spatial, "TILE_CELLS", 4)
+    rng = np.random.default_rng(3)
+    cells = [("s%d" % (i % 2), "c%03d" % i, float(rng.random()), float(rng.random())) for i in range(40)]
+    cells += [("s0", "c%03d" % i, 0.5, 0.5) for i in range(40, 60)] + [("s1", "c060", float("nan"), 1.0), (None, "c061", None, None)]
+    values = {(c[1], g): float(rng.random()) for c in cells[:-10] for g in range(7) if rng.random() < 0.5}
+    names = [c[1] for c in cells]
+    pairs = {(a, b) for a in names for b in rng.choice(names, 3)} | {("c000", b) for b in names} | {("c001", "zzz")}
+    edges = [(a, b, float(rng.random())) for a, b in sorted(pairs)]
+    want = np.zeros(7)
+    for a, b, w in edges:
+        for g in range(7):
+            want[g] += w * values.get((a, g), 0.0) * values.get((b, g), 0.0)
+    points = spark.createDataFrame(cells, "slide_id string, cell_id string, x double, y double")
+    expr = spark.createDataFrame([(c, g, v) for (c, g), v in values.items()], "cell_id string, gene int, lognorm double")
+    packed = expr.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct(F.col("gene").alias("gene_idx"), F.col("lognorm").alias("v")))).alias("e")).select(
+        "cell_id", F.col("e.gene_idx").alias("gi"), F.col("e.v").alias("gv"))
+    graph = spark.createDataFrame(edges, "src string, dst string, weight double")
+    for known in (points, points.select("cell_id")):
+        tiles = spatial.cell_tiles(known)
+        assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] <= 4 and tiles.count() == len(cells)
+        got = {r.gene_idx: r.cross for r in spatial.edge_products(graph, packed, tiles).collect()}
+        assert [got[g] for g in range(7)] == pytest.approx(want)
+    assert spatial.edge_products(graph.limit(0), packed, tiles).count() == 0
+
+
 def test_composition_worked_example(spark):
     data = {"a1": ("a", (10, 20, 30)), "a2": ("a", (12, 18, 30)), "b1": ("b", (25, 15, 20)), "b2": ("b", (24, 16, 20))}
     rows = [(rep, cond, t, rep + t + str(i)) for rep, (cond, ns) in data.items() for t, n in zip("xyz", ns) for i in range(n)]
