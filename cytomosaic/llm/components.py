@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Edges that one task may finish: 4 MB of them, some tens of MB as its union-find.
+FITS = 1 << 18
+
 
 def local_forest(batches):
     """Replace a task's edges by star edges to the smallest node of each of their components: fewer rows, same components."""
@@ -40,12 +43,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a and b, long, not null): the smallest node it reaches.
 
     Every round rewrites the edges so that nodes hang on smaller ones; a round that changes nothing leaves stars, and their
-    centres are the components. The number of rounds grows with the logarithm of the largest component. Nothing but two
-    counts per round reaches the driver; each round is written to the shared checkpoint folder.
+    centres are the components. The number of rounds grows with the logarithm of the largest component. As soon as no more than
+    FITS edges are left, a task joins them at once. Nothing but counts reaches the driver; each round is written to the shared
+    checkpoint folder.
     """
     edges = cut(edges.filter("a <> b").mapInArrow(local_forest, "a long, b long").distinct())
-    before = None
+    before, left = None, edges.count()
     while True:
+        if left <= FITS:
+            return _named(cut(edges.coalesce(1).mapInArrow(local_forest, "a long, b long")))
         # large star: larger neighbours of a node move to the smallest node around it
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -57,6 +63,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(moved.select("e.*").filter("a <> b").distinct())
         state = edges.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first()
         if state[0] == state[2] and state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                edges.select(F.col("b"), F.col("b")).distinct())
-        before = state
+            return _named(edges)
+        before, left = state, state[0]
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b"), F.col("b")).distinct())

@@ -142,6 +142,18 @@ def test_components_of_chain_star_and_loop(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("fits", [components.FITS, 500, 0])
+def test_components_of_few_edges_take_few_stages(spark, monkeypatch, fits):
+    stages, path = [], [(i, i + 1) for i in range(0, 3000) if i % 1000 != 999]
+    monkeypatch.setattr(components, "FITS", fits)
+    monkeypatch.setattr(components, "cut", lambda df: stages.append(cut(df)) or stages[-1])
+    links = spark.createDataFrame(random.Random(3).sample(path, len(path)), "a long, b long").repartition(16)
+    got = dict(tuples(components.components(links), "node", "component"))
+    assert got == {i: i // 1000 * 1000 for i in range(3000)}
+    if fits == components.FITS and fits > 500:
+        assert len(stages) == 2
+
+
 def test_repeats_match_brute_force(docs, odd, empty, rows):
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans")
     for df in (docs, odd):
