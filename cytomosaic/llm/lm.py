@@ -31,8 +31,10 @@ BLOCK_IDS, BLOCK_BYTES = 6144, 32 << 20
 BUCKET_BYTES = 16 << 20
 #: n-grams that a task holds before it counts them and passes them on.
 _HELD = 8_000_000
-#: Ranges of hashes (by the first three bits) that a block's n-grams are ranked in, to hold less at a time.
-_PARTS = 8
+#: Ranges of hashes (by the first five bits) that a block's n-grams are ranked in, and ranges of a bucket's, to hold less at a time.
+_PARTS = 32
+#: Words of a block that are scored at a time, about.
+_AT_ONCE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,13 +156,18 @@ def sum_bucket(rows: pa.Table) -> pa.Table:
         own.setdefault(block, []).append((np.cumsum(_unpacked(steps, size), dtype=np.uint64), _unpacked(n, size).astype(np.int64)))
     blocks = {b: parts[0] if len(parts) == 1 else _counted([], parts) for b, parts in own.items()}
     own.clear()
-    gram, at = np.unique(np.concatenate([g for g, _ in blocks.values()]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([n for _, n in blocks.values()]), len(gram)).astype(np.int64)
-    out, lo = [], 0
-    for block, (mine, n) in blocks.items():
-        out.append((block, len(mine), _packed(total[at[lo:lo + len(mine)]] - n)))
-        lo += len(mine)
-    block, size, more = zip(*out)
+    first, last = min(int(g[0]) for g, _ in blocks.values()), max(int(g[-1]) for g, _ in blocks.values())
+    inner = np.array([first + (last - first) * i // _PARTS for i in range(1, _PARTS)], np.uint64)
+    ends = {b: [0, *np.searchsorted(g, inner).tolist(), len(g)] for b, (g, _) in blocks.items()}
+    for i in range(_PARTS):
+        held = [(g[ends[b][i]:ends[b][i + 1]], n[ends[b][i]:ends[b][i + 1]]) for b, (g, n) in blocks.items()]
+        gram, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([n for _, n in held]), len(gram)).astype(np.int64)
+        lo = 0
+        for mine, n in held:  # the counts of a block give way to those of the others
+            n[:] = total[at[lo:lo + len(mine)]] - n
+            lo += len(mine)
+    block, size, more = zip(*((b, len(g), _packed(n)) for b, (g, n) in blocks.items()))
     return pa.table([pa.array([rows["bucket"][0].as_py()] * len(block), pa.int64()), pa.array(block, pa.int64()), pa.array(size, pa.int64()),
                      pa.array(more, pa.binary())], ["bucket", "block", "size", "more"])
 
@@ -171,10 +178,13 @@ def other_counts(gram: np.ndarray, doc: np.ndarray, copies: np.ndarray, more: np
     ``doc`` is the occurrence's row, ascending; ``copies`` the number of equal rows a row stands for; ``more`` the counts in
     other blocks by distinct n-gram.
     """
-    out = np.empty(len(gram), np.int64)
+    out = np.empty(len(gram), np.int32)
+    range_of = np.empty(len(gram), np.uint8)
+    for at in range(0, len(gram), _AT_ONCE):
+        range_of[at:at + _AT_ONCE] = gram[at:at + _AT_ONCE] >> np.uint64(59)
     done = 0
     for part in range(_PARTS):
-        here = np.flatnonzero(gram >> np.uint64(61) == part)
+        here = np.flatnonzero(range_of == part)
         if not len(here):
             continue
         here = here[np.argsort(gram[here], kind="stable")]  # equal n-grams stay in the order of rows
@@ -186,6 +196,8 @@ def other_counts(gram: np.ndarray, doc: np.ndarray, copies: np.ndarray, more: np
         mine = np.diff(at, append=len(here))  # occurrences in one row
         starts = np.flatnonzero(first[at])
         total = np.add.reduceat(mine * copies[owner[at]], starts) + more[done:done + len(starts)]
+        if out.dtype == np.int32 and total.max() > np.iinfo(np.int32).max:
+            out = out.astype(np.int64)
         out[here] = np.repeat(np.repeat(total, np.diff(starts, append=len(at))) - mine, mine)
         done += len(starts)
     return out
@@ -211,8 +223,18 @@ def score_texts(texts, copies: np.ndarray, more, n_corpus: int) -> tuple[np.ndar
         words[i] = None
     # occurrences of all orders lie one after the other: rows ascend within an order, so the last sort key is the row
     counts = np.split(other_counts(gram, doc, copies, more), split)
-    del gram
-    whose = doc[:split[0]] if len(split) else doc
+    del gram, doc
+    total = [np.concatenate(([0], np.cumsum(n))) for n in per_order]
+    log_score, n_backoff = np.zeros(len(words)), np.zeros(len(words), np.int64)
+    rows = np.unique([*np.searchsorted(total[0], np.arange(0, total[0][-1], _AT_ONCE)).tolist(), len(words)])
+    for lo, hi in zip([0, *rows.tolist()], rows.tolist()):
+        log_score[lo:hi], n_backoff[lo:hi] = _score_rows([c[t[lo]:t[hi]] for c, t in zip(counts, total)], sizes[lo:hi], n_corpus)
+    return sizes, log_score, n_backoff
+
+
+def _score_rows(counts: list, sizes: np.ndarray, n_corpus: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log score, words scored by fewer than ORDER words) of rows of ``sizes`` words from the counts of their n-grams, by order."""
+    whose = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(whose)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     log, rest = np.log(BACKOFF), np.log(np.maximum(n_corpus - sizes, 1))
     logs = np.log(np.where(counts[0] > 0, counts[0], BACKOFF)) - rest[whose]
@@ -226,7 +248,19 @@ def score_texts(texts, copies: np.ndarray, more, n_corpus: int) -> tuple[np.ndar
         logs[ends[seen]] = np.log(counts[k - 1][seen] / shorter[seen])
         used[ends[seen]] = k
         history = counts[k - 1]
-    return sizes, np.bincount(whose, logs, len(words)), np.bincount(whose, used < ORDER, len(words)).astype(np.int64)
+    return np.bincount(whose, logs, len(sizes)), np.bincount(whose, used < ORDER, len(sizes)).astype(np.int64)
+
+
+def _joined(runs: list) -> np.ndarray:
+    """The counts of (size, packed counts) runs, one after the other."""
+    out, lo = np.empty(sum(size for size, _ in runs), np.int32), 0
+    for size, data in runs:
+        part = _unpacked(data, size)
+        if out.dtype == np.int32 and size and part.max() > np.iinfo(np.int32).max:
+            out = out.astype(np.int64)
+        out[lo:lo + size] = part
+        lo += size
+    return out
 
 
 def score_block(n_corpus: int):
@@ -234,7 +268,7 @@ def score_block(n_corpus: int):
 
     def score_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
         runs = sorted(zip(*(shared[c].to_pylist() for c in ("bucket", "size", "more"))))
-        more = np.concatenate([np.zeros(0, np.int64), *(_unpacked(data, size).astype(np.int64) for _, size, data in runs)])
+        more = _joined([run[1:] for run in runs])
         copies = docs["copies"].to_numpy()
         found = score_texts((t.as_py() for t in docs["text"]), copies, more, n_corpus)
         return pa.table([docs["doc_id"].combine_chunks(), *map(pa.array, found), pa.array(copies)], ["doc_id", "n_words", "log_score", "n_backoff", "copies"])

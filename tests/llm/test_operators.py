@@ -2,10 +2,12 @@
 
 import random
 import textwrap
+import tracemalloc
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,6 +429,25 @@ def test_backoff_tells_shuffled_words_and_copies_apart(spark):
     assert mean[101] == mean[102] > mean[103] + 3  # a text said twice far above one said once
 
 
+def test_block_and_bucket_hold_few_bytes_per_ngram():
+    """Peaks of numpy's arrays while a block is scored and a bucket summed, for every n-gram that they hold."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 2000) % 50_000) for _ in range(400)]
+    grams = [g for t in texts for g in lm.gram_hashes(lm.word_hashes(t))]
+    occurrences, (gram, n) = sum(map(len, grams)), lm._counted(list(grams))
+    more = rng.integers(1, 9, len(gram)).astype(np.int32)
+    rows = [(0, b, len(gram), lm._packed(np.diff(gram, prepend=np.uint64(0))), lm._packed(n)) for b in range(8)]
+    runs = pa.table([pa.array(c) for c in zip(*rows)], ["bucket", "block", "size", "steps", "n"])
+    peaks = []
+    for run in (lambda: lm.score_texts(iter(texts), np.ones(len(texts), np.int64), more, 10**7), lambda: lm.sum_bucket(runs)):
+        tracemalloc.start()
+        out = run()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert np.array_equal(lm._unpacked(out["more"][3].as_py(), len(gram)).astype(np.int64), 7 * n)
+    assert peaks[0] < 26 * occurrences and peaks[1] < 30 * 8 * len(gram), (peaks[0] / occurrences, peaks[1] / len(gram) / 8)
+
+
 def test_word_hashes_see_whole_words_only():
     long = "a" * (1 << 20) + " b\x0bB\u00a0b\tc " + "x" * 3000
     got = lm.word_hashes(long)
