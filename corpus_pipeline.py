@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group whose five-word shingles are alike to 0.8 or more.
 
+    Candidates are links of SimHash fingerprints by pigeonring, and for pairs beyond their reach MinHash; an exact check follows.
     Repeated rows are copies of each other: one stays. Rows that share a doc_id, or have none, take part by their text. All
     columns stay.
     """

@@ -1,9 +1,11 @@
 """Near-duplicate texts for a corpus: Jaccard similarity of five-word shingle sets of at least 0.8, checked exactly.
 
-Candidates come from MinHash: 128 minima in 32 bands of 4. A pair at similarity 0.8 shares no band with probability
-(1 - 0.8^4)^32 = 5e-8. Texts that share a band fall into one cluster, by stars and never by pairs. The shingle sets of a cluster
-then meet: they are compared exactly, through lists of the texts that hold a shingle. A cluster of more than TILE texts is
-compared tile against tile, so no task holds it. Equal shingle sets are one text from the start.
+Candidates are the links of SimHash fingerprints of these sets, found by the pigeonring filter (``simhash``). Three bits reach
+few of the pairs near 0.8, of which about ten bits differ; these come from MinHash as well: 128 minima in 32 bands of 4, so a pair at
+similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8. Texts that are linked or share a band fall into one cluster, by
+stars and never by pairs. The shingle sets of a cluster then meet: they are compared exactly, through lists of the texts that hold
+a shingle. A cluster of more than TILE texts is compared tile against tile, so no task holds it. Equal shingle sets are one text
+from the start.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import cut_at_space, slices
 from .components import components
-from .simhash import one_of_each
+from .simhash import bit_counts, link_edges, majority, one_of_each
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # a fraction of integers: the comparison is exact
@@ -66,15 +68,21 @@ def band_keys(held: np.ndarray) -> np.ndarray:
     return key
 
 
+def fingerprint(held: np.ndarray) -> int | None:
+    """The SimHash fingerprint of a shingle set, as a signed number; none of an empty set."""
+    return int(np.uint64(majority(bit_counts(held), len(held))).view(np.int64)) if len(held) else None
+
+
 def _sketches(batches):
     for batch in slices(batches):
-        node, keys = [], []
+        node, fp, keys = [], [], []
         for text in batch.column(2).to_pylist():
             held = shingles(text.encode()) if text else np.zeros(0, np.uint64)
             node.append(xxhash.xxh64_intdigest(held.tobytes()) if len(held) else 0)
+            fp.append(fingerprint(held))
             keys.append(band_keys(held).view(np.int64) if len(held) else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)),
-                                          pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "keys"])
+                                          pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "fp", "keys"])
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], side: np.ndarray | None = None):
@@ -130,6 +138,15 @@ def _tile_links(batches):
     yield from links()
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that tie the nodes of ``prints`` (node, fp) whose fingerprints are linked: equal ones by a star, others by their stars' centres."""
+    least = cut(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = prints.join(least, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}"))
+    near = link_edges(least.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return equal.unionByName(near)
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, node, component) of every row: component is the same for all rows that are linked, over any number of texts.
 
@@ -137,11 +154,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    sketch = cut(rows.mapInArrow(_sketches, "doc_id long, mark long, node long, keys array<long>"))
+    sketch = cut(rows.mapInArrow(_sketches, "doc_id long, mark long, node long, fp long, keys array<long>"))
     keys = cut(sketch.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")))
     met = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
-    clusters = cut(components(keys.join(met, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))).select(
-        "node", F.col("component").alias("cluster")))
+    shared = keys.join(met, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    links = fingerprint_links(sketch.filter("fp IS NOT NULL").select("node", "fp").distinct())
+    clusters = cut(components(shared.unionByName(links)).select("node", F.col("component").alias("cluster")))
     size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("g"))
     # one text of each node: its smallest mark, and of rows with that mark any
     one = sketch.groupBy("node").agg(F.min("mark").alias("mark")).join(clusters, "node").join(size, "cluster")

@@ -27,6 +27,19 @@ SEED = 42
 SMALL = 48
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return bits
+
+
+def majority(bits: np.ndarray, total: int) -> int:
+    """The fingerprint of ``total`` hashes: the bits that over half of them have."""
+    return int(np.packbits(2 * bits > total, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Fingerprint of one whole text; 0 without words."""
     bits, total, tail = np.zeros(64, np.int64), 0, []
@@ -42,11 +55,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())],
                           np.uint64)
         total += len(hashes)
-        for at in range(0, len(hashes), 1 << 16):
-            bits += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits += bit_counts(hashes)
     if not total:
         return digest(b" ".join(tail), SEED) if tail else 0
-    return int(np.packbits(2 * bits > total, bitorder="little").view(np.uint64)[0])
+    return majority(bits, total)
 
 
 def _marks(texts):

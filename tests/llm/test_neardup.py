@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,32 @@ def test_stage_keeps_one_of_all_that_are_alike(spark, monkeypatch, tile):
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(groups(rows).values()) and kept[0].node == "clash"
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_fingerprints_alone_bring_copies_together(spark, monkeypatch):
+    """Without bands, what is linked is what fingerprints within 3 bits tie and the exact check confirms."""
+    monkeypatch.setattr(neardup, "band_keys", lambda held: np.zeros(0, np.uint64))
+    rng = random.Random(11)
+    texts = []
+    for i in range(6):
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(800)]
+        for j in range(5):
+            near = list(base)
+            near[100 * j + i] = f"new{j}"
+            texts.append(" ".join(near))
+    prints = [neardup.fingerprint(neardup.shingles(t.encode())) % (1 << 64) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if a // 5 == b // 5 and (prints[a] ^ prints[b]).bit_count() <= 3:
+                group = [group[b] if g == group[a] else g for g in group]
+    assert len(set(group)) < 12
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(90, None), (91, "")], "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").count()
+    assert kept == len(set(group)) + 1
+
+
+def test_fingerprints_tie_by_stars(spark):
+    rows = [(5, 0b111), (3, 0b111), (9, 0), (4, -1), (8, -2), (7, 1 << 40 | 1 << 50 | 1 << 60 | 1)]
+    links = {(r.a, r.b) for r in neardup.fingerprint_links(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    assert {frozenset(x) for x in links} == {frozenset(x) for x in ((5, 3), (3, 9), (4, 8))}
