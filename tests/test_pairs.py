@@ -44,6 +44,13 @@ def test_hashed_neighbours_meet_without_a_join_of_pairs(spark, monkeypatch):
     assert "CartesianProduct" in seen[0] and "BroadcastNestedLoop" not in seen[0]
 
 
+def test_exact_neighbours_of_several_cells(spark):
+    x = np.random.default_rng(7).normal(size=(120, 4))
+    got = neighbors.exact_neighbours(frame(spark, x[:50]), frame(spark, x), 5, query_rows=20, block_rows=50)
+    assert {(r.src, r.dst) for r in got.collect()} == {e for e in brute(x, 5) if e[0] < "v0050"}
+    assert neighbors.exact_neighbours(frame(spark, x).limit(0), frame(spark, x), 5).count() == 0  # before: Expected Array, got ChunkedArray
+
+
 def test_descent_compares_all_pairs_up_to_a_size(spark, monkeypatch):
     monkeypatch.setattr(descent, "BLOCK_ROWS", 64)
     x = np.random.default_rng(5).normal(size=(400, 20))
