@@ -99,3 +99,22 @@ def test_variants_have_their_own_resolution(spark):
     variants = spark.createDataFrame([("low", 0.2), ("high", 3.0)], "variant string, gamma double")
     n = {r.variant: r.n for r in community.communities(both, variants).groupBy("variant").agg(F.countDistinct("label").alias("n")).collect()}
     assert n["low"] < n["high"]
+
+
+@pytest.mark.parametrize("stars", [0, 1 << 20])
+def test_parts_of_a_graph_by_stars(spark, monkeypatch, stars):
+    from cytomosaic.operators import community
+
+    monkeypatch.setattr(community, "STARS", stars)
+    monkeypatch.setattr(community, "HELD_NODES", 7)
+    links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40) if i % 10 != 9] + [("x", "x")]
+    rows = [("v", *e, 1) for a, b in links for e in {(a, b), (b, a)}]
+    found = community._parts(spark.createDataFrame(rows, "variant string, src string, dst string, w long").repartition(5))
+    assert found.columns == ["variant", "src", "dst", "w", "part"] and found.count() == len(rows)
+    for r in found.collect():
+        assert r.part.split("\u0001")[-1] == ("x" if r.src == "x" else f"n{int(r.src[1:]) // 10 * 10:03d}")
+    calls = []
+    real = community.connected_components
+    monkeypatch.setattr(community, "connected_components", lambda *a: calls.append(1) or real(*a))
+    community._parts(spark.createDataFrame(rows, "variant string, src string, dst string, w long"))
+    assert bool(calls) == (stars == 0)

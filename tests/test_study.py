@@ -93,3 +93,24 @@ def test_spatial_settings_show_in_the_result(study):
 def test_default_marker_sets_are_used(spark):
     assert pipelines.study_signatures(spark).filter("gene = 'Agrp'").count() == 1
     assert dge.pick_conditions(spark.createDataFrame([("b",), ("a",), ("a",)], "condition string")) == ("a", "b")
+
+
+def test_staged_quality_control_derives_the_counts_once(spark):
+    from cytomosaic.operators import qc
+
+    cells = spark.createDataFrame([("s", str(i)) for i in range(6)], "slide_id string, cell_id string")
+    derived = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    rows = [("s", str(i), f"g{j}", 5) for i in range(6) for j in range(i)]
+    kind = "slide_id string, cell_id string, gene string, count int"
+    counts = spark.createDataFrame(rows, kind).mapInArrow(seen, kind)
+    limits = {"min_counts": 10, "min_genes": 2}
+    got = [sorted(map(tuple, t.collect())) for t in qc.run_qc(cells, counts, 3, stage=True, **limits)[:2]]
+    assert derived.value == len(rows)
+    assert got == [sorted(map(tuple, t.collect())) for t in qc.run_qc(cells, counts, 3, **limits)[:2]]
+    assert [r[1] for r in got[0]] == ["2", "3", "4", "5"] and {r[2] for r in got[1]} == {"g0", "g1", "g2"}
