@@ -115,4 +115,4 @@ def test_staged_quality_control_does_not_derive_the_counts_again(spark):
     got = [sorted(map(tuple, t.collect())) for t in staged]
     assert before > 0 and derived.value == before
     assert got == [sorted(map(tuple, t.collect())) for t in qc.run_qc(cells, counts, 3, **limits)[:2]]
-    assert [r[1] for r in got[0]] == ["2", "3", "4", "5"] and {r[2] for r in got[1]} == {"g0", "g1", "g2"}
+    assert [r[1] for r in got[0]] == ["2", "3", "4", "5"] and {r[0] for r in got[1]} == {"g0", "g1", "g2"}
