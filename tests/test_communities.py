@@ -118,3 +118,45 @@ def test_parts_of_a_graph_by_stars(spark, monkeypatch, stars):
     monkeypatch.setattr(community, "connected_components", lambda *a: calls.append(1) or real(*a))
     community._parts(spark.createDataFrame(rows, "variant string, src string, dst string, w long"))
     assert bool(calls) == (stars == 0)
+
+
+def test_variants_share_a_graph(spark):
+    rows = weighted(np.random.default_rng(6), 70) + weighted(np.random.default_rng(7), 9, "q", 2)
+    both = frame(spark, rows, "low").unionByName(frame(spark, rows, "high"))
+    variants = spark.createDataFrame([("low", 0.2), ("high", 3.0)], "variant string, gamma double")
+    shared = community.communities(frame(spark, rows).drop("variant"), variants)
+    assert sorted(shared.collect()) == sorted(community.communities(both, variants).collect())
+
+
+def test_large_parts_of_a_shared_graph_by_joins(spark, monkeypatch):
+    rows = weighted(np.random.default_rng(1), 20) + weighted(np.random.default_rng(2), 5, "q", 2)
+    variants = spark.createDataFrame([("low", 0.2), ("high", 3.0)], "variant string, gamma double")
+    monkeypatch.setattr(community, "STEPS", 1)
+    whole = sorted(community.communities(frame(spark, rows).drop("variant"), variants).collect())
+    monkeypatch.setattr(community, "LOCAL_EDGES", 20)
+    assert sorted(community.communities(frame(spark, rows).drop("variant"), variants).collect()) == whole
+
+
+def test_a_part_of_thirty_million_edges_runs_in_a_task():
+    assert community.LOCAL_EDGES >= 30_000_000  # before, a graph of 600,000 cells went through rounds of joins
+
+
+@pytest.mark.parametrize("strip", [30, 1 << 18])
+def test_rounds_pass_over_strips(monkeypatch, strip):
+    src, dst, w, mark = arrays(weighted(np.random.default_rng(4), 200))
+    monkeypatch.setattr(moving, "STRIP", 1 << 18)
+    whole = moving.settle(src, dst, w, mark, 1.0, int(w.sum()), 1, range(2))
+    monkeypatch.setattr(moving, "STRIP", strip)
+    assert (moving.settle(src, dst, w, mark, 1.0, int(w.sum()), 1, range(2)) == whole).all()
+    a, b = (np.random.default_rng(s).integers(-(1 << 62), 1 << 62, 100) for s in (1, 2))
+    assert moving.dot(a, b) == sum(int(x) * int(y) for x, y in zip(a, b))
+
+
+def test_stars_of_many_chunks_meet(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(community, "LINKS", 3)
+    links = [(i, i + 1) for i in range(40) if i % 10 != 9]
+    batches = [pa.RecordBatch.from_pydict({"src": [a], "dst": [b]}) for a, b in links[::-1]]
+    out = pa.Table.from_batches(community._stars(iter(batches), None)).to_pydict()
+    assert dict(zip(out["src"], out["dst"])) == {i: i // 10 * 10 for i in range(40) if i % 10}
