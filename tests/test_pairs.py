@@ -88,3 +88,25 @@ def test_names_are_numbered_in_order(spark):
     df = spark.createDataFrame(edges, "variant string, src string, dst string, weight double")
     got = community.communities(df, spark.createDataFrame([("one", 0.5)], "variant string, gamma double")).filter(F.col("label") == "0")
     assert {r.cell_id for r in got.collect()} == {"a", "b", "c"}
+
+
+def test_silhouette_of_more_labels_than_a_pass_takes_leaves_sums_in_their_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    codes = {"a": rng.integers(0, 280, 300), "b": rng.integers(0, 40, 300), "c": rng.integers(0, 3, 300)}
+    labels = spark.createDataFrame([(v, f"v{i:04d}", str(c)) for v, code in codes.items() for i, c in enumerate(code)], "variant string, cell_id string, label string")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+
+    def want(code):
+        mean = np.array([[d[i, code == c].sum() / max((code == c).sum() - (code[i] == c), 1) for c in np.unique(code)] for i in range(300)])
+        own = np.searchsorted(np.unique(code), code)
+        a, many = mean[np.arange(300), own].copy(), np.bincount(own)[own] > 1
+        mean[np.arange(300), own] = np.inf
+        return np.where(many, (mean.min(1) - a) / np.maximum(np.maximum(mean.min(1), a), 1e-300), 0.0).mean()
+
+    for wide, past in ((1024, 1 << 28), (50, 1 << 28), (1024, 2000)):  # before, more than 1,024 labels met as one row per cell and label
+        monkeypatch.setattr(quality, "WIDE", wide)
+        monkeypatch.setattr(quality, "PAST", past)
+        got = quality.silhouette(frame(spark, x), labels)
+        assert {r.variant: r.silhouette for r in got.collect()} == pytest.approx({v: want(c) for v, c in codes.items()}, abs=1e-9)
+        assert "CoGroup" not in plan_of(got) and ("FlatMapGroupsInArrow" in plan_of(got)) == (past == 2000)
