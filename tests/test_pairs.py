@@ -110,3 +110,20 @@ def test_silhouette_of_more_labels_than_a_pass_takes_leaves_sums_in_their_tasks(
         got = quality.silhouette(frame(spark, x), labels)
         assert {r.variant: r.silhouette for r in got.collect()} == pytest.approx({v: want(c) for v, c in codes.items()}, abs=1e-9)
         assert "CoGroup" not in plan_of(got) and ("FlatMapGroupsInArrow" in plan_of(got)) == (past == 2000)
+
+
+def test_ids_decide_among_equal_distances_only():
+    rng = np.random.default_rng(9)
+    row, dist, dst = rng.integers(0, 20, 600), np.round(rng.integers(0, 6, 600) / 3.0, 12), np.array([f"v{i}" for i in rng.permutation(600)])
+    assert (pairs._ordered(row, dist, dst) == np.lexsort((dst, dist, row))).all()
+
+
+def test_targets_are_prepared_once_for_several_sources():
+    x = np.concatenate([np.random.default_rng(10).normal(size=(90, 5)), np.zeros((10, 5))])
+    ids = np.array([f"v{i:04d}" for i in range(100)])
+    targets, found = pairs.Targets(ids, x), set()
+    for lo in (0, 40):
+        nearest = pairs.Nearest(ids[lo:lo + 60], x[lo:lo + 60], np.full(60, np.inf), 4)
+        nearest.meet(targets, lambda a, b: None)
+        found |= {e for batch in nearest.edges() for e in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist())}
+    assert found == brute(x, 4) and len(targets.made) == 1
